@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import first_match, flag, ratio
-from riskloom.operators.scan import join_null_safe, melt, quantiles
+from riskloom.operators.scan import cut_points, join_null_safe, melt, quantiles
+from riskloom.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------------
 DEFAULT_STATUSES = (
@@ -101,17 +102,32 @@ def temporal_buckets(df: DataFrame) -> DataFrame:
     )
 
 
-def group_table(df: DataFrame, key: str, cols: Sequence[str], prefix: str) -> DataFrame:
-    """Mean, sample deviation and exact median of each column per group, one row per group."""
-    moments = df.groupBy(key).agg(
-        *[F.avg(c).alias(f"{prefix}{c}_mean") for c in cols],
-        *[F.stddev_samp(c).alias(f"{prefix}{c}_std") for c in cols],
-    )
-    med = quantiles(melt(df, [key], cols), "value", [0.5], by=[key, "feature"], names=["m"])
-    wide = med.groupBy(key).agg(
-        *[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"{prefix}{c}_median") for c in cols]
-    )
-    return join_null_safe(moments, wide, [key], "left")
+def group_tables(df: DataFrame, prefixes: Mapping[str, str], cols: Sequence[str]) -> dict[str, DataFrame]:
+    """Mean, sample deviation and exact median per group, one small table per key.
+
+    The medians of all keys come from one pass: each row is listed under (key, group).
+    """
+    groups = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("group")) for k in prefixes])
+    listed = df.select(F.explode(groups).alias("g"), *cols).select("g.key", "g.group", *cols)
+    long = melt(listed, ["key", "group"], cols)
+    # The value distribution does not depend on the keys, so neither do the cut points.
+    cuts = cut_points(melt(df, [], cols), "value")
+    medians = quantiles(long, "value", [0.5], by=["key", "group", "feature"], names=["m"], cuts=cuts)
+    # One row per group and column, read once per key below: kept as a written table.
+    medians = cut_lineage(medians)
+    out = {}
+    for key, prefix in prefixes.items():
+        moments = df.groupBy(key).agg(
+            *[F.avg(c).alias(f"{prefix}{c}_mean") for c in cols],
+            *[F.stddev_samp(c).alias(f"{prefix}{c}_std") for c in cols],
+        )
+        mine = (
+            medians.where(F.col("key") == key)
+            .groupBy(F.col("group").alias(key))
+            .agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"{prefix}{c}_median") for c in cols])
+        )
+        out[key] = join_null_safe(moments, mine.withColumn(key, F.col(key).cast(df.schema[key].dataType)), [key], "left")
+    return out
 
 
 def group_stats(
@@ -125,8 +141,7 @@ def group_stats(
     size Spark sees at run time, so a key with many groups still works.
     """
     out = df
-    for key, prefix in prefixes.items():
-        table = group_table(df, key, cols, prefix)
+    for key, table in group_tables(df, prefixes, cols).items():
         out = join_null_safe(out, table, [key], "left")
     return out
 

@@ -123,6 +123,24 @@ def running_min(
     return _attach(local, offsets, by).select(*df.columns, F.least("__m", "__floor").alias(out))
 
 
+def with_next(df: DataFrame, order: str, out: str, by: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
+    """Add the next greater row's `order` value within `by` (NULL on the last row)."""
+    cuts = cut_points(df, order) if cuts is None else cuts
+    rows = with_slice(df, order, cuts)
+    firsts = rows.groupBy(*by, SLICE).agg(F.min(order).alias("__first"))
+    after = Window.partitionBy(*by).orderBy(SLICE)
+    offsets = firsts.select(*by, SLICE, F.lead("__first").over(after).alias("__after"))
+    local = rows.withColumn("__lead", F.lead(order).over(Window.partitionBy(*by, SLICE).orderBy(order)))
+    return _attach(local, offsets, by).select(*df.columns, F.coalesce("__lead", "__after").alias(out))
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(value, rank) table: ranks from 1, equal values share their mean rank."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
+    run = running_sums(counts, value, ["__c"], cuts=cut_points(df, value))
+    return run.select(value, (F.col("__c_run") - (F.col("__c") - 1) / 2).alias(out))
+
+
 def row_ranks(df: DataFrame, order: str, tie: str, out: str, descending: bool = False) -> DataFrame:
     """Number the rows from 1 by (`order`, `tie`) over the whole table.
 
@@ -170,6 +188,7 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per `by` group.
 
@@ -179,7 +198,7 @@ def quantiles(
     """
     names = names or [f"q{round(p * 100)}" for p in probs]
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    run = running_sums(counts, value, ["__c"], by=by, cuts=cut_points(df, value))
+    run = running_sums(counts, value, ["__c"], by=by, cuts=cut_points(df, value) if cuts is None else cuts)
     aggs = []
     for p, name in zip(probs, names):
         pos = (F.col("__c_all") - 1) * F.lit(float(p))

@@ -10,6 +10,8 @@ MODULES = (
     "scalars",
     "loans",
     "accounts",
+    "evaluation",
+    "drifts",
 )
 
 

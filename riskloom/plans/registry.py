@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.plans.tables import Tables, duck_sql
@@ -24,7 +24,7 @@ class Case:
         df = self.run(Tables(spark, folder))
         return df.select(
             *[
-                (F.round(F.col(f"`{c}`"), self.digits[c]) + F.lit(0.0)).alias(c) if c in self.digits else F.col(f"`{c}`")
+                rounded(F.col(f"`{c}`"), self.digits[c]).alias(c) if c in self.digits else F.col(f"`{c}`")
                 for c in df.columns
             ]
         )
@@ -35,8 +35,31 @@ class Case:
         body = duck_sql(self.sql)
         if not self.digits:
             return body
-        rounded = ", ".join(f'round("{c}", {n}) + 0e0 as "{c}"' for c, n in self.digits.items())
-        return f"select * replace ({rounded}) from (\n{body}\n) checked"
+        parts = ", ".join(f'{rounded_sql(c, n)} as "{c}"' for c, n in self.digits.items())
+        return f"select * replace ({parts}) from (\n{body}\n) checked"
+
+
+def nudge(digits: int) -> float:
+    """A step far below the rounding unit. Averages of cents often end in exactly half a
+    unit, where the last bit of a sum would decide; the step moves them off that edge."""
+    return 3.17 * 10.0 ** (-digits - 2)
+
+
+HUGE = 1e9
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Decimals for ordinary values, five figures fewer than a double holds for huge ones."""
+    near = F.round(x + F.lit(nudge(digits)), digits)
+    return F.when(F.abs(x) < HUGE, near).when(F.abs(x) < float("inf"), F.round(x, -4)).otherwise(x)
+
+
+def rounded_sql(c: str, digits: int) -> str:
+    x = f'"{c}"'
+    return (
+        f"case when abs({x}) < {HUGE:e} then round({x} + {nudge(digits):e}, {digits}) "
+        f"when abs({x}) < cast('inf' as double) then round({x}, -4) else {x} end"
+    )
 
 
 CASES: dict[str, Case] = {}

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def kolmogorov_p(d: Column, n1: Column, n2: Column) -> Column:
@@ -17,49 +18,55 @@ def kolmogorov_p(d: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)))
 
 
-def chi2_tail(x: float, dof: int) -> float:
+def chi2_p(x: Column, dof: Column) -> Column:
     """P(chi² > x) for whole degrees of freedom, by the closed finite sums."""
-    if dof <= 0 or x <= 0:
-        return 1.0
-    h = x / 2
-    if h > 700:
-        return 0.0
-    if dof % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, dof // 2):
-            term *= h / i
+
+    def tail(x: float, dof: int) -> float:
+        if dof <= 0 or x <= 0:
+            return 1.0
+        h = x / 2
+        if h > 700:
+            return 0.0
+        if dof % 2 == 0:
+            term, total = 1.0, 1.0
+            for i in range(1, dof // 2):
+                term *= h / i
+                total += term
+            return min(1.0, math.exp(-h) * total)
+        total = math.erfc(math.sqrt(h))
+        term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
+        for j in range(1, (dof - 1) // 2 + 1):
             total += term
-        return min(1.0, math.exp(-h) * total)
-    total = math.erfc(math.sqrt(h))
-    term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
-    for j in range(1, (dof - 1) // 2 + 1):
-        total += term
-        term *= h / (j + 0.5)
-    return min(1.0, total)
+            term *= h / (j + 0.5)
+        return min(1.0, total)
 
+    @F.pandas_udf(T.DoubleType())
+    def run(x: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([tail(float(a), int(b)) for a, b in zip(x, dof)])
 
-def t_tail(t: float, dof: float) -> float:
-    """Two-sided tail of Student's t, by integrating the density with a fine Simpson rule."""
-    if dof <= 0 or math.isnan(t):
-        return float("nan")
-    t = abs(t)
-    if math.isinf(t):
-        return 0.0
-    # Substituting x = sqrt(dof) * tan(a) makes the integrand cos(a)^(dof - 1).
-    top = math.atan(t / math.sqrt(dof))
-    n = 2000
-    step = top / n
-    vals = [math.cos(i * step) ** (dof - 1) for i in range(n + 1)]
-    area = step / 3 * (vals[0] + vals[-1] + 4 * sum(vals[1:-1:2]) + 2 * sum(vals[2:-1:2]))
-    norm = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
-    return max(0.0, min(1.0, 1 - 2 * norm * area))
+    return run(x, dof)
 
 
-@F.pandas_udf("double")
-def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_tail(float(a), int(b)) for a, b in zip(x, dof)])
+def t_p(t: Column, dof: Column) -> Column:
+    """Two-sided tail of Student's t, by integrating the density with a fine Simpson rule."""
+
+    def tail(t: float, dof: float) -> float:
+        if dof <= 0 or math.isnan(t):
+            return float("nan")
+        t = abs(t)
+        if math.isinf(t):
+            return 0.0
+        # Substituting x = sqrt(dof) * tan(a) makes the integrand cos(a)^(dof - 1).
+        top = math.atan(t / math.sqrt(dof))
+        n = 2000
+        step = top / n
+        vals = [math.cos(i * step) ** (dof - 1) for i in range(n + 1)]
+        area = step / 3 * (vals[0] + vals[-1] + 4 * sum(vals[1:-1:2]) + 2 * sum(vals[2:-1:2]))
+        norm = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(math.pi)
+        return max(0.0, min(1.0, 1 - 2 * norm * area))
 
+    @F.pandas_udf(T.DoubleType())
+    def run(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([tail(float(a), float(b)) for a, b in zip(t, dof)])
 
-@F.pandas_udf("double")
-def t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([t_tail(float(a), float(b)) for a, b in zip(t, dof)])
+    return run(t, dof)

@@ -12,6 +12,8 @@ MODULES = (
     "accounts",
     "evaluation",
     "drifts",
+    "pricing",
+    "quality",
 )
 
 

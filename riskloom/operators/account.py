@@ -395,21 +395,23 @@ def _count_months(m: DataFrame) -> DataFrame:
 
 
 def _count_days(txn: DataFrame) -> DataFrame:
-    """Weekly mean and unusual days, from one (account, day) count."""
-    days = txn.groupBy(KEY, F.date_trunc("day", _c("transaction_date")).alias("day")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    weeks = (
-        days.groupBy(KEY, F.date_trunc("week", _c("day")).alias("week"))
-        .agg(F.sum("n").alias("n"))
-        .groupBy(KEY)
-        .agg(F.avg("n").alias("avg_weekly_txn_count"))
+    return _day_stats(
+        txn.groupBy(KEY, F.date_trunc("day", _c("transaction_date")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def _day_stats(days: DataFrame) -> DataFrame:
+    """Weekly mean and unusual days, from (account, day) counts in one window and aggregate."""
     w = Window.partitionBy(KEY)
-    spread = days.select(KEY, "n", F.avg("n").over(w).alias("m"), F.stddev_samp("n").over(w).alias("s"))
+    week = F.date_trunc("week", _c("day"))
+    spread = days.select(
+        KEY, "n", week.alias("week"), F.avg("n").over(w).alias("m"), F.stddev_samp("n").over(w).alias("s")
+    )
     odd = (_zero(_c("s")) > 0) & (_c("n") > _c("m") + 2 * _c("s"))
-    unusual = spread.groupBy(KEY).agg(_count(odd).alias("unusual_activity_days"))
-    return join_null_safe(weeks, unusual, [KEY])
+    per_week = spread.groupBy(KEY, "week").agg(F.sum("n").alias("n"), _count(odd).alias("odd"))
+    return per_week.groupBy(KEY).agg(
+        F.avg("n").alias("avg_weekly_txn_count"), F.sum("odd").alias("unusual_activity_days")
+    )
 
 
 def _sizes(txn: DataFrame) -> DataFrame:
@@ -478,25 +480,170 @@ def behavioral_features(txn: DataFrame) -> DataFrame:
     return wide.select(KEY, *[_default(c) for c in BEHAVIORAL_COLUMNS])
 
 
+def _account_pass(txn: DataFrame) -> DataFrame:
+    """Everything that is one aggregate over the rows of an account."""
+    emi = _c("transaction_type") == "emi_payment"
+    spend, b, hour = is_spend(), _c("balance_after"), F.hour("transaction_date")
+    share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
+    base = txn.groupBy(KEY).agg(
+        _sum(spend).alias("total_spend"),
+        _count(spend).alias("num_spend_txns"),
+        _zero(_sum(spend & _c("category").isin(*ESSENTIAL))).alias("essential_spend_total"),
+        _zero(_sum(spend & _c("category").isin(*DISCRETIONARY))).alias("__discretionary"),
+        *[_zero(_sum(spend & (_c("category") == c))).alias(f"spend_category_{c}") for c in CATEGORIES],
+        F.nullif(_count(emi), F.lit(0)).alias("total_emi_count"),
+        _sum(emi).alias("total_emi_amount"),
+        F.avg(F.when(emi, F.when(_c("verification_status") == "verified", 1.0).otherwise(0.0))).alias(
+            "on_time_payment_rate"
+        ),
+        F.avg(b).alias("avg_balance"),
+        F.min(b).alias("min_balance"),
+        F.max(b).alias("max_balance"),
+        _zero(F.stddev_samp(b)).alias("balance_std"),
+        _count(b < 0).alias("negative_balance_days"),
+        F.avg(F.when(b.isNotNull(), F.when(b < 0, 1.0).otherwise(0.0))).alias("negative_balance_pct"),
+        _count(b < LOW_BALANCE).alias("low_balance_days"),
+        F.avg(F.when(b.isNotNull(), F.when(b < LOW_BALANCE, 1.0).otherwise(0.0))).alias("low_balance_pct"),
+        F.max("amount").alias("max_single_txn"),
+        F.avg("amount").alias("avg_txn_size"),
+        F.avg(hour).alias("txn_hour_mean"),
+        _zero(F.stddev_samp(hour)).alias("txn_hour_std"),
+        share((hour >= 22) | (hour <= 5)).alias("night_txn_pct"),
+        share(F.weekday("transaction_date") >= 5).alias("weekend_txn_pct"),
+        F.avg(F.when(spend, F.when(F.dayofmonth("transaction_date") >= 25, 1.0).otherwise(0.0))).alias(
+            "month_end_spend_pct"
+        ),
+        F.count("channel").alias("__with_channel"),
+        *[_count(_c("channel") == c).alias(f"__n_{c}") for c in CHANNELS],
+    )
+    both = _c("essential_spend_total") + _c("__discretionary")
+    return base.withColumns(
+        {
+            "essential_spend_ratio": _over(_c("essential_spend_total"), both),
+            "discretionary_spend_ratio": _over(_c("__discretionary"), both),
+            **{
+                f"spend_category_{c}_pct": _over(_c(f"spend_category_{c}"), _zero(_c("total_spend"))) for c in CATEGORIES
+            },
+            "balance_range": _c("max_balance") - _c("min_balance"),
+            "balance_volatility": _over(_c("balance_std"), F.abs(_c("avg_balance"))),
+            **{
+                f"channel_{c}_pct": _zero(F.try_divide(_c(f"__n_{c}").cast("double"), _c("__with_channel")))
+                for c in CHANNELS
+            },
+        }
+    )
+
+
+def _day_pass(txn: DataFrame) -> DataFrame:
+    """(account, day) sums that months and weeks are summed from."""
+    spend, income = is_spend(), is_income()
+    card = (_c("transaction_type") == "debit") & _c("channel").isin("CARD", "UPI")
+    return txn.groupBy(KEY, F.date_trunc("day", _c("transaction_date")).alias("day")).agg(
+        _sum(income).alias("income"),
+        _sum(income & (_c("category") == "salary")).alias("salary"),
+        _sum(_c("transaction_type") == "credit").alias("credit"),
+        _sum(spend).alias("spend"),
+        _count(spend).alias("spend_n"),
+        _sum(card).alias("card"),
+        _sum(_c("transaction_type") == "emi_payment").alias("emi"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def _month_pass(days: DataFrame) -> DataFrame:
+    """All monthly statistics from one window and one aggregate per account."""
+    m = days.groupBy(KEY, F.date_trunc("month", _c("day")).alias("month")).agg(
+        *[F.sum(c).alias(c) for c in ("income", "salary", "credit", "spend", "spend_n", "card", "emi", "n")]
+    )
+    w = Window.partitionBy(KEY)
+    up = w.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    flows = _c("credit").isNotNull() | _c("spend").isNotNull()
+    net = F.when(flows, _zero(_c("credit")) - _zero(_c("spend")))
+    s = m.withColumn("net", net).withColumns(
+        {
+            "k": F.count("income").over(up),
+            "months": F.count("income").over(w),
+            "flow_k": F.when(flows, (F.count("net").over(up) - 1).cast("double")),
+            "step": F.abs(_c("net") - F.last("net", ignorenulls=True).over(before)),
+            "flow_credit": F.when(flows, _zero(_c("credit"))),
+        }
+    )
+    half = F.floor(_c("months") / 2)
+    spend_n = F.when(_c("spend_n") > 0, _c("spend_n"))
+    per = s.groupBy(KEY).agg(
+        F.avg("income").alias("avg_monthly_income"),
+        F.expr("percentile(income, 0.5)").alias("median_monthly_income"),
+        F.max("income").alias("max_monthly_income"),
+        F.min("income").alias("min_monthly_income"),
+        _zero(F.stddev_samp("income")).alias("income_std"),
+        F.avg(F.when(_c("income").isNotNull() & (_c("k") <= half), _c("income"))).alias("__first"),
+        F.avg(F.when(_c("income").isNotNull() & (_c("k") > half), _c("income"))).alias("__second"),
+        F.avg(F.when(_c("income").isNotNull(), _over(_zero(_c("salary")), _c("income")))).alias("salary_consistency"),
+        F.sum("income").alias("total_income"),
+        F.count("income").alias("num_income_months"),
+        F.avg("spend").alias("avg_monthly_spend"),
+        F.expr("percentile(spend, 0.5)").alias("median_monthly_spend"),
+        F.max("spend").alias("max_monthly_spend"),
+        _zero(F.stddev_samp("spend")).alias("spend_std"),
+        F.avg("emi").alias("avg_monthly_emi"),
+        F.max("emi").alias("max_monthly_emi"),
+        F.count("emi").alias("__emi_months"),
+        F.avg("net").alias("avg_monthly_cash_flow"),
+        F.sum("net").alias("total_cash_flow"),
+        _zero(F.stddev_samp("net")).alias("cash_flow_std"),
+        _count(_c("net") > 0).alias("positive_cash_flow_months"),
+        _count(_c("net") < 0).alias("negative_cash_flow_months"),
+        F.avg("flow_credit").alias("__credit"),
+        F.regr_slope("net", "flow_k").alias("__slope"),
+        F.stddev_pop("step").alias("__steps"),
+        F.count("net").alias("__flow_n"),
+        _zero(F.sum("card")).alias("total_card_spend"),
+        _zero(F.sum("spend")).alias("__all_spend"),
+        _zero(F.avg("spend")).alias("avg_monthly_total_spend"),
+        F.avg("n").alias("avg_monthly_txn_count"),
+        F.max("n").alias("max_monthly_txn_count"),
+        F.sum("n").alias("total_txn_count"),
+        _zero(F.stddev_samp("n")).alias("txn_count_std"),
+        F.avg(spend_n).alias("__spend_m"),
+        _zero(F.stddev_samp(spend_n)).alias("__spend_s"),
+    )
+    stability = clip(1 - _over(_c("income_std"), _c("avg_monthly_income")), 0, 1)
+    growth = _over(_c("__second") - _c("__first"), _c("__first"))
+    return per.withColumns(
+        {
+            "income_stability": F.when(_c("avg_monthly_income") > 0, stability).otherwise(F.lit(0.0)),
+            "income_growth_rate": F.when(_c("num_income_months") >= 2, growth).otherwise(F.lit(0.0)),
+            "cash_flow_volatility": _over(_c("cash_flow_std"), F.abs(_c("avg_monthly_cash_flow"))),
+            "cash_flow_to_income_ratio": _over(_c("avg_monthly_cash_flow"), _c("__credit")),
+            "cash_flow_trend": F.when(_c("__flow_n") >= 3, _c("__slope")).otherwise(F.lit(0.0)),
+            "cash_flow_seasonal_volatility": F.when(_c("__flow_n") > 3, _c("__steps")).otherwise(F.lit(0.0)),
+            "spending_regularity": clip(1 - _over(_c("__spend_s"), _c("__spend_m")), 0, 1),
+        }
+    )
+
+
 def transaction_features(txn: DataFrame) -> DataFrame:
-    """All groups side by side. The month table and the quantiles are shared by the groups;
-    all joins are on the account, which the group tables are already partitioned by."""
-    m = monthly(txn)
+    """All groups in one job: one account pass, one day pass that months and weeks are summed
+    from, the distinct pairs, and the row quantiles. All joins are on the account, which the
+    parts are already partitioned by."""
+    days = _day_pass(txn)
     q = _row_quantiles(txn, {"median_balance": ("balance_after", 0.5), "__p90": ("amount", 0.9)})
+    emi_loans = (
+        txn.where((_c("transaction_type") == "emi_payment") & _c("loan_id").isNotNull())
+        .select(KEY, "loan_id", _month().alias("month"))
+        .distinct()
+        .groupBy(KEY, "loan_id")
+        .agg(F.count(F.lit(1)).alias("months"))
+        .groupBy(KEY)
+        .agg(F.max("months").alias("max_consecutive_emi"))
+    )
     wide = _side_by_side(
-        _habits(txn),
-        _from_monthly_income(m),
-        _spend_totals(txn),
-        _spend_months(m),
-        _emi_totals(txn),
-        _emi_months(m),
-        _balance_moments(txn),
-        q.select(KEY, "median_balance"),
-        _cash_flow(m),
-        _card_totals(m),
-        _velocity(txn, m, q.select(KEY, "__p90")),
-        _merchants(txn),
-        _regularity(m),
+        _account_pass(txn), _month_pass(days), _day_stats(days), emi_loans, _merchants(txn), q
+    )
+    wide = _side_by_side(wide, _large(txn, q.select(KEY, "__p90")))
+    wide = wide.withColumn(
+        "large_txn_pct", _over(_zero(_c("large_txn_count"), 0).cast("double"), _c("total_txn_count"))
     )
     return _card_ratios(_emi_ratios(wide)).select(KEY, *[_default(c) for c in ALL_COLUMNS])
 

@@ -75,15 +75,18 @@ def running_sums(
     by: Sequence[str] = (),
     cuts: Sequence[float] | None = None,
     tie: Sequence[str] = (),
+    next_as: str | None = None,
 ) -> DataFrame:
-    """Add `<s>_run` (inclusive running sum along `order`) and `<s>_all` (total) per `by`.
+    """Add `<s>_run` (inclusive running sum along `order`) and `<s>_all` (total) per `by`, and
+    with `next_as` the next row's `order` value (NULL on the last row).
 
     Rows should be unique per (by, order, tie). Heavy values of `order` should be
     grouped first; `row_ranks` handles rows that cannot be grouped.
     """
     cuts = cut_points(df, order) if cuts is None else cuts
     rows = with_slice(df, order, cuts)
-    totals = rows.groupBy(*by, SLICE).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    firsts = [F.min(order).alias("__first")] if next_as else []
+    totals = rows.groupBy(*by, SLICE).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums], *firsts)
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = totals.select(
@@ -91,16 +94,21 @@ def running_sums(
         SLICE,
         *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums],
         *[F.sum(f"__t_{s}").over(whole).alias(f"{s}_all") for s in sums],
+        *([F.lead("__first").over(Window.partitionBy(*by).orderBy(SLICE)).alias("__after")] if next_as else []),
     )
     inside = (
         Window.partitionBy(*by, SLICE).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = rows.select("*", *[F.sum(s).over(inside).alias(f"__l_{s}") for s in sums])
+    lead = F.lead(order).over(Window.partitionBy(*by, SLICE).orderBy(order, *tie))
+    local = rows.select(
+        "*", *[F.sum(s).over(inside).alias(f"__l_{s}") for s in sums], *([lead.alias("__lead")] if next_as else [])
+    )
     out = _attach(local, offsets, by)
     return out.select(
         *df.columns,
         *[(F.col(f"__l_{s}") + F.col(f"__o_{s}")).alias(f"{s}_run") for s in sums],
         *[f"{s}_all" for s in sums],
+        *([F.coalesce("__lead", "__after").alias(next_as)] if next_as else []),
     )
 
 
@@ -123,17 +131,6 @@ def running_min(
     return _attach(local, offsets, by).select(*df.columns, F.least("__m", "__floor").alias(out))
 
 
-def with_next(df: DataFrame, order: str, out: str, by: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
-    """Add the next greater row's `order` value within `by` (NULL on the last row)."""
-    cuts = cut_points(df, order) if cuts is None else cuts
-    rows = with_slice(df, order, cuts)
-    firsts = rows.groupBy(*by, SLICE).agg(F.min(order).alias("__first"))
-    after = Window.partitionBy(*by).orderBy(SLICE)
-    offsets = firsts.select(*by, SLICE, F.lead("__first").over(after).alias("__after"))
-    local = rows.withColumn("__lead", F.lead(order).over(Window.partitionBy(*by, SLICE).orderBy(order)))
-    return _attach(local, offsets, by).select(*df.columns, F.coalesce("__lead", "__after").alias(out))
-
-
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """(value, rank) table: ranks from 1, equal values share their mean rank."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import account as A
 from riskloom.plans.registry import case
 from riskloom.plans.tables import Tables
+from riskloom.session import cut_lineage
 
 ALL = "(select distinct account_id from transactions)"
 SPEND = "transaction_type in ('debit', 'emi_payment', 'fee')"
@@ -230,7 +231,8 @@ _ALL_D = doubles([c for c in A.ALL_COLUMNS if c != "cash_flow_volatility"], ALL_
     **_ALL_D,
 )
 def _(t: Tables):
-    return A.transaction_features(t.transactions)
+    # The view joins three tables: joined once, read by every pass.
+    return A.transaction_features(cut_lineage(t.transactions))
 
 
 @case(

@@ -85,12 +85,15 @@ def base(t: Tables):
 
 
 EMI = emi_sql("principal", "annual_rate", "tenure_months")
-PRN = (F.col("principal"), F.col("annual_rate"), F.col("tenure_months"))
+
+
+def prn():
+    return F.col("principal"), F.col("annual_rate"), F.col("tenure_months")
 
 
 @case("r4_emi", f"with {BASE} select loan_id, {EMI} as emi from lo", r4="emi")
 def _(t: Tables):
-    return base(t).select("loan_id", R.emi(*PRN).alias("emi"))
+    return base(t).select("loan_id", R.emi(*prn()).alias("emi"))
 
 
 AMORT = f"""{BASE}, le as (select *, {EMI} as e, unnest(range(1, tenure_months + 1)) as month from lo),
@@ -100,29 +103,49 @@ AMORT = f"""{BASE}, le as (select *, {EMI} as e, unnest(range(1, tenure_months +
   lq as (select loan_id, month, {money('paid + interest')} as emi, {money('paid')} as principal, {money('interest')} as interest, {money('greatest(b - paid, 0e0)')} as balance from lp)"""
 
 
+DEC = "cast(sum(cast({} as decimal(18, 2))) as double) as {}"
+CUM = """lw as (select *, sum(interest) over w as cumulative_interest, sum(principal) over w as cumulative_principal from lq window w as (partition by loan_id order by month))"""
+
+
+def dec(c: str):
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double").alias(c)
+
+
+# A schedule has about sixty rows per loan; the queries sum it by loan and by month.
 @case(
     "r5_amortization",
-    f"""with {AMORT} select *, sum(interest) over w as cumulative_interest, sum(principal) over w as cumulative_principal from lq
-    window w as (partition by loan_id order by month)""",
-    r2="emi principal interest balance cumulative_interest cumulative_principal",
+    f"""with {AMORT}, {CUM} select loan_id, count(*) as months, {DEC.format("emi", "emi")}, {DEC.format("principal", "principal")}, {DEC.format("interest", "interest")},
+      max(cumulative_interest) as cumulative_interest, max(cumulative_principal) as cumulative_principal, min(balance) as last_balance from lw group by loan_id""",
+    r2="emi principal interest cumulative_interest cumulative_principal last_balance",
 )
 def _(t: Tables):
-    return R.amortization(base(t))
+    return R.amortization(base(t)).groupBy("loan_id").agg(
+        F.count(F.lit(1)).alias("months"),
+        dec("emi"),
+        dec("principal"),
+        dec("interest"),
+        F.max("cumulative_interest").alias("cumulative_interest"),
+        F.max("cumulative_principal").alias("cumulative_principal"),
+        F.min("balance").alias("last_balance"),
+    )
 
 
 @case(
-    "r5_amortization_totals",
-    f"""with {AMORT} select loan_id, count(*) as months, sum(cast(principal as decimal(18, 2))) as repaid from lq group by loan_id""",
+    "r5_amortization_by_month",
+    f"""with {AMORT}, {CUM} select month, count(*) as loans, avg(emi) as emi, avg(interest) as interest, avg(balance) as balance,
+      avg(cumulative_principal) as cumulative_principal from lw group by month""",
+    r2="emi interest balance cumulative_principal",
 )
 def _(t: Tables):
-    return R.amortization(base(t)).groupBy("loan_id").agg(
-        F.count(F.lit(1)).alias("months"), F.sum(F.col("principal").cast("decimal(18,2)")).cast("decimal(38,2)").alias("repaid")
+    return R.amortization(base(t)).groupBy("month").agg(
+        F.count(F.lit(1)).alias("loans"),
+        *[F.avg(c).alias(c) for c in ("emi", "interest", "balance", "cumulative_principal")],
     )
 
 
 @case("r6_total_interest", f"with {BASE} select loan_id, {money(EMI + ' * tenure_months - principal')} as total_interest from lo", r2="total_interest")
 def _(t: Tables):
-    return base(t).select("loan_id", R.total_interest(*PRN).alias("total_interest"))
+    return base(t).select("loan_id", R.total_interest(*prn()).alias("total_interest"))
 
 
 PREPAY = f"""pb as (select loan_id, loan_amount as principal, interest_rate / 1e2 as annual_rate, tenure_months, loan_amount * 25e-2 as prepayment_amount, cast(loan_id % 24 as int) as prepayment_month from loans),
@@ -136,9 +159,9 @@ PREPAY_COLS = "old_emi old_total_interest new_emi new_total_interest new_total_p
 
 @case(
     "r7_prepayment_impact",
-    f"""with {PREPAY} select loan_id, e as old_emi, ti as old_total_interest, ne as new_emi, nt as new_tenure_months, ni as new_total_interest,
-      ni + principal - prepayment_amount as new_total_payment, nb as remaining_balance, ti - ni as interest_saved, greatest(tenure_months - nt, 0) as tenure_reduction_months,
-      case when ne > 0 then e - ne else e end as monthly_emi_reduction from p4""",
+    f"""with {PREPAY} select loan_id, {money('e')} as old_emi, ti as old_total_interest, {money('ne')} as new_emi, nt as new_tenure_months, {money('ni')} as new_total_interest,
+      {money('ni + principal - prepayment_amount')} as new_total_payment, {money('nb')} as remaining_balance, {money('ti - ni')} as interest_saved, greatest(tenure_months - nt, 0) as tenure_reduction_months,
+      {money('case when ne > 0 then e - ne else e end')} as monthly_emi_reduction from p4""",
     r2=PREPAY_COLS,
 )
 def _(t: Tables):
@@ -167,7 +190,7 @@ FULL_R2 = "expected_loss emi_optimal emi_competitive emi_minimum total_interest_
 
 @case(
     "r8_recommend_pricing",
-    f"with {FULL} select loan_id, {FULL_R6.replace(' ', ', ')}, {FULL_R2.replace(' ', ', ')}, operating_cost, risk_adjusted_return, risk_margin from rf",
+    f"with {FULL} select loan_id, {FULL_R6.replace(' ', ', ')}, {', '.join(f'{money(c)} as {c}' for c in FULL_R2.split())}, {money('operating_cost')} as operating_cost, {money('risk_adjusted_return', 6)} as risk_adjusted_return, risk_margin from rf",
     r6=FULL_R6,
     r4="risk_adjusted_return risk_margin",
     r2=FULL_R2 + " operating_cost",
@@ -183,12 +206,17 @@ def _(t: Tables):
     f"""with {FULL}, lo as (select loan_id, loan_amount as principal, recommended_rate as annual_rate, tenure_months from re),
     le as (select *, {EMI} as e, unnest(range(1, least(tenure_months, 12) + 1)) as month from lo),
     lb as (select *, principal * power(1 + annual_rate / 12e0, month - 1) - e * (power(1 + annual_rate / 12e0, month - 1) - 1) / (annual_rate / 12e0) as b, annual_rate / 12e0 as i from le)
-    select loan_id, cast(month as int) as month, e as emi, least(e - b * i, b) as principal, b * i as interest, greatest(b - least(e - b * i, b), 0e0) as balance from lb""",
-    r2="emi principal interest balance",
+    select loan_id, count(*) as months, sum({money('e')}) as emi, sum({money('least(e - b * i, b)')}) as principal, min({money('greatest(b - least(e - b * i, b), 0e0)')}) as balance from lb group by loan_id""",
+    r2="emi principal balance",
 )
 def _(t: Tables):
-    rows = R.pricing_report(priced(t)).select("loan_id", F.explode("schedule").alias("s"))
-    return rows.select("loan_id", "s.month", "s.emi", "s.principal", "s.interest", "s.balance")
+    # explode_outer: an inner explode makes the optimizer push a filter on the whole schedule
+    # expression down through every step of the pricing chain.
+    rows = R.pricing_report(priced(t)).select("loan_id", F.explode_outer("schedule").alias("s"))
+    return rows.groupBy("loan_id").agg(
+        F.count(F.lit(1)).alias("months"), F.sum("s.emi").alias("emi"), F.sum("s.principal").alias("principal"),
+        F.min("s.balance").alias("balance"),
+    )
 
 
 COMPETITORS = {"alpha": 0.105, "beta": 0.14, "gamma": 0.19, "delta": 0.22}

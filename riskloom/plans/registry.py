@@ -51,14 +51,14 @@ HUGE = 1e9
 def rounded(x: Column, digits: int) -> Column:
     """Decimals for ordinary values, five figures fewer than a double holds for huge ones."""
     near = F.round(x + F.lit(nudge(digits)), digits)
-    return F.when(F.abs(x) < HUGE, near).when(F.abs(x) < float("inf"), F.round(x, -4)).otherwise(x)
+    return F.when(F.abs(x) < HUGE, near).when(F.abs(x) < float("inf"), F.round(x + F.lit(317.0), -4)).otherwise(x)
 
 
 def rounded_sql(c: str, digits: int) -> str:
     x = f'"{c}"'
     return (
         f"case when abs({x}) < {HUGE:e} then round({x} + {nudge(digits):e}, {digits}) "
-        f"when abs({x}) < cast('inf' as double) then round({x}, -4) else {x} end"
+        f"when abs({x}) < cast('inf' as double) then round({x} + 317e0, -4) else {x} end"
     )
 
 
@@ -80,4 +80,4 @@ def case(name: str, sql: str | None = None, r6: str = "", r4: str = "", r2: str
 
 def money(expr: str, digits: int = 2) -> str:
     """SQL that rounds a double by its shortest decimal form, as Spark's `round` does."""
-    return f"cast(round(cast({expr} as decimal(38, 12)), {digits}) as double)"
+    return f"cast(round(cast(cast({expr} as varchar) as decimal(38, 15)), {digits}) as double)"

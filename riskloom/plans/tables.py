@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.scan import row_ranks
+from riskloom.session import cut_lineage
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -191,7 +192,7 @@ class Tables:
             .otherwise((F.col("event_id") % 5).cast("double") / F.lit(20.0))
             .alias("pred"),
         )
-        ranked = row_ranks(e, "at", "event_id", "seq")
+        ranked = cut_lineage(row_ranks(e, "at", "event_id", "seq"))
         return ranked.select((F.col("seq") - 1).alias("seq"), "side", "label", "pred")
 
 

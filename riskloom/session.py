@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +41,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the copy."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the shared checkpoint folder and continue from it.
+
+    The table survives lost executors, is read with column pruning, and its size is known to
+    the planner. Tables are kept under one folder per application.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/riskloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

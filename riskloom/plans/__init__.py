@@ -14,6 +14,7 @@ MODULES = (
     "drifts",
     "pricing",
     "quality",
+    "models",
 )
 
 

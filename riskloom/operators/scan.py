@@ -119,16 +119,19 @@ def running_min(
     out: str,
     by: Sequence[str] = (),
     cuts: Sequence[float] | None = None,
+    largest: bool = False,
 ) -> DataFrame:
-    """Add the inclusive running minimum of `value` (any orderable type, also a struct)."""
+    """Add the inclusive running minimum (or maximum) of `value`, any orderable type; rows
+    with equal `order` see each other."""
+    pick, join = (F.max, F.greatest) if largest else (F.min, F.least)
     cuts = cut_points(df, order) if cuts is None else cuts
     rows = with_slice(df.withColumn("__v", value), order, cuts)
-    lows = rows.groupBy(*by, SLICE).agg(F.min("__v").alias("__low"))
+    lows = rows.groupBy(*by, SLICE).agg(pick("__v").alias("__low"))
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lows.select(*by, SLICE, F.min("__low").over(before).alias("__floor"))
-    inside = Window.partitionBy(*by, SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = rows.withColumn("__m", F.min("__v").over(inside))
-    return _attach(local, offsets, by).select(*df.columns, F.least("__m", "__floor").alias(out))
+    offsets = lows.select(*by, SLICE, pick("__low").over(before).alias("__floor"))
+    inside = Window.partitionBy(*by, SLICE).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("__m", pick("__v").over(inside))
+    return _attach(local, offsets, by).select(*df.columns, join("__m", "__floor").alias(out))
 
 
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -15,6 +15,7 @@ MODULES = (
     "pricing",
     "quality",
     "models",
+    "trends",
 )
 
 

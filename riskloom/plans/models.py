@@ -188,10 +188,10 @@ COEF = {
 }
 INTERCEPT = -0.4
 AT = f"""mm as (select {", ".join(f"avg({f}) as {f}" for f in COEF)} from loans),
-  at as (select l.loan_id, l.borrower_segment, unnest([{", ".join(f"'{f}'" for f in COEF)}]) as feature, unnest([{", ".join(f"cast(l.{f} as double)" for f in COEF)}]) as value,
+  att as (select l.loan_id, l.borrower_segment, unnest([{", ".join(f"'{f}'" for f in COEF)}]) as feature, unnest([{", ".join(f"cast(l.{f} as double)" for f in COEF)}]) as value,
     unnest([{", ".join(f"(l.{f} - mm.{f}) * {w!r}::double" for f, w in COEF.items())}]) as contribution from loans l cross join mm),
-  rk as (select *, row_number() over (partition by loan_id order by abs(contribution) desc, feature) as k from at),
-  pr as (select loan_id, 1 / (1 + exp(-({INTERCEPT!r}::double + sum(contribution)))) as p from at group by loan_id)"""
+  rk as (select *, row_number() over (partition by loan_id order by abs(contribution) desc, feature) as k from att),
+  pr as (select loan_id, 1 / (1 + exp(-({INTERCEPT!r}::double + sum(contribution)))) as p from att group by loan_id)"""
 
 
 def explained(t: Tables):
@@ -205,7 +205,7 @@ def told(t: Tables):
     return X.rank_attributions(explained(t))
 
 
-@case("m16_attributions", f"with {AT} select loan_id, feature, value, contribution from at", r6="value contribution")
+@case("m16_attributions", f"with {AT} select loan_id, feature, value, contribution from att", r6="value contribution")
 def _(t: Tables):
     return X.long_form(explained(t), ["loan_id"])
 
@@ -229,15 +229,15 @@ def _(t: Tables):
     return told(t).select("loan_id", names("ranking"), names("risk_factors"), names("protective_factors"))
 
 
-@case("m18_global_attributions", f"with {AT} select feature, avg(abs(contribution)) as mean_abs from at group by feature", r6="mean_abs")
+@case("m18_global_attributions", f"with {AT} select feature, avg(abs(contribution)) as mean_abs from att group by feature", r6="mean_abs")
 def _(t: Tables):
     return X.global_attributions(explained(t))
 
 
 @case(
     "m18_pair_strength",
-    f"""with {AT}, g as (select feature, row_number() over (order by avg(abs(contribution)) desc, feature) as r from at group by feature),
-    x as (select at.*, g.r from at join g on g.feature = at.feature)
+    f"""with {AT}, g as (select feature, row_number() over (order by avg(abs(contribution)) desc, feature) as r from att group by feature),
+    x as (select att.*, g.r from att join g on g.feature = att.feature)
     select a.feature || ' x ' || b.feature as pair, avg(abs(a.contribution * b.contribution)) as strength from x a join x b on a.loan_id = b.loan_id and a.r < b.r group by 1""",
     r6="strength",
 )
@@ -248,7 +248,7 @@ def _(t: Tables):
 @case(
     "m18_attributions_by_half",
     f"""with {AT}, md as (select median(credit_score) as m from loans), h as (select loan_id, case when credit_score <= m then 'low' else 'high' end as half from loans cross join md)
-    select half, feature, avg(abs(contribution)) as mean_abs from at join h on h.loan_id = at.loan_id group by 1, 2""",
+    select half, feature, avg(abs(contribution)) as mean_abs from att join h on h.loan_id = att.loan_id group by 1, 2""",
     r6="mean_abs",
 )
 def _(t: Tables):
@@ -258,7 +258,7 @@ def _(t: Tables):
 @case(
     "m19_attributions_by_segment",
     f"""with {AT}, s as (select l.borrower_segment, count(*) as segment_size, avg(p) as mean_probability from pr join loans l on l.loan_id = pr.loan_id group by 1 having count(*) > 10),
-    a as (select borrower_segment, feature, avg(abs(contribution)) as mean_abs from at group by 1, 2)
+    a as (select borrower_segment, feature, avg(abs(contribution)) as mean_abs from att group by 1, 2)
     select a.borrower_segment, feature, mean_abs, cast(row_number() over (partition by a.borrower_segment order by mean_abs desc, feature) as int) as rank, segment_size, mean_probability
     from a join s on s.borrower_segment = a.borrower_segment""",
     r6="mean_abs mean_probability",
@@ -337,7 +337,7 @@ def _(t: Tables):
 
 @case(
     "m25_attribution_confidence",
-    f"""with {AT}, v as (select loan_id, 1 - stddev_pop(contribution) / (avg(abs(contribution)) + 1e-8) as v from at group by loan_id)
+    f"""with {AT}, v as (select loan_id, 1 - stddev_pop(contribution) / (avg(abs(contribution)) + 1e-8) as v from att group by loan_id)
     select loan_id, case when v > 7e-1 then 'High confidence' when v > 4e-1 then 'Medium confidence' else 'Low confidence' end as confidence from v""",
 )
 def _(t: Tables):

@@ -58,7 +58,7 @@ def rolling_stat(df: DataFrame, key: str, value: str, n: int, fn: str) -> DataFr
 
 def trend_slope(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     w = _last(key, n)
-    return df.withColumn(f"{value}_slope_{n}m", F.regr_slope(_c(value), _c("m").cast("double")).over(w))
+    return df.withColumn(f"{value}_slope_{n}m", F.when(F.count(value).over(w) >= 2, F.regr_slope(_c(value), _c("m").cast("double")).over(w)))
 
 
 def change_over(df: DataFrame, key: str, value: str, n: int) -> DataFrame:

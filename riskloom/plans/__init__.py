@@ -16,6 +16,7 @@ MODULES = (
     "quality",
     "models",
     "trends",
+    "texts",
 )
 
 

@@ -12,7 +12,7 @@ from riskloom.operators.evaluate import all_metrics
 from riskloom.operators.loan import default_label
 from riskloom.operators.prep import kfold, stratified_split
 from riskloom.operators.pricing import heuristic_score
-from riskloom.plans.registry import case
+from riskloom.plans.registry import case, money
 from riskloom.plans.tables import Tables
 from riskloom.session import cut_lineage, scratch_dir
 
@@ -269,8 +269,9 @@ def _(t: Tables):
 
 @case(
     "m20_waterfall",
-    f"""with {AT} select loan_id, cast(k as int) as position, feature, coalesce(sum(contribution) over (partition by loan_id order by k rows between unbounded preceding and 1 preceding), 0e0) as start,
-      sum(contribution) over (partition by loan_id order by k) as "end" from rk""",
+    f"""with {AT}, c as (select *, coalesce(sum(contribution) over (partition by loan_id order by k rows between unbounded preceding and 1 preceding), 0e0) as s0,
+      sum(contribution) over (partition by loan_id order by k) as s1 from rk)
+    select loan_id, cast(k as int) as position, feature, {money('s0', 6)} as start, {money('s1', 6)} as "end" from c""",
     r4="start end",
 )
 def _(t: Tables):

@@ -41,7 +41,7 @@ def _(t: Tables):
     return df.select("account_id", "m", "spend_mean_6m", "spend_std_6m", "spend_max_6m", "spend_count_6m")
 
 
-@case("g2_trend_slope", f"with {SERIES} select account_id, m, regr_slope(balance, cast(m as double)) over w as balance_slope_12m from sr window w as {win(12)}", r2="balance_slope_12m")
+@case("g2_trend_slope", f"with {SERIES} select account_id, m, case when count(*) over w >= 2 then regr_slope(balance, cast(m as double)) over w end as balance_slope_12m from sr window w as {win(12)}", r2="balance_slope_12m")
 def _(t: Tables):
     return S.trend_slope(series(t), "account_id", "balance", 12).select("account_id", "m", "balance_slope_12m")
 

@@ -133,11 +133,14 @@ def risk_phrases(df: DataFrame, key: str, text: str, phrases: Sequence[tuple[str
 
 def entities(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, value) of every entity found by pattern."""
-    found = [
-        F.transform(F.regexp_extract_all(_c(text), F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value")))
-        for k, p in ENTITY_PATTERNS.items()
-    ]
-    return df.select(key, F.explode(F.concat(*found)).alias("e")).select(key, "e.kind", "e.value")
+
+
+    def found(kind: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(0))
+        return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    every = F.concat(*[found(k, p) for k, p in ENTITY_PATTERNS.items()])
+    return df.select(key, F.explode(every).alias("e")).select(key, "e.kind", "e.value")
 
 
 def specificity(text: Column) -> Column:
@@ -174,7 +177,9 @@ def aspect_sentiment(df: DataFrame, key: str, text: str, aspects: Mapping[str, S
     """Mean and volatility of sentence sentiment per text and aspect."""
     s = df.select(key, F.explode(sentences(_c(text))).alias("sentence"))
     about = F.array_compact(F.array(*[F.when(contains_any(F.lower("sentence"), w), F.lit(a)) for a, w in aspects.items()]))
-    rows = s.select(key, F.explode(about).alias("aspect"), sentiment(_c("sentence")).getField("polarity").alias("v"))
+    rows = s.select(key, F.explode(about).alias("aspect"), sentiment(_c("sentence")).alias("s")).select(
+        key, "aspect", _c("s.polarity").alias("v")
+    )
     return rows.groupBy(key, "aspect").agg(
         F.count(F.lit(1)).alias("sentences"), F.avg("v").alias("mean_sentiment"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("volatility")
     )
@@ -194,9 +199,11 @@ def bm25(df: DataFrame, key: str, text: str, query: Sequence[str], k: int = 10,
     """Top-k texts for a query. Texts are reduced to the counts of the query terms in place, so
     only their statistics are shuffled."""
     words = tokens(_c(text))
-    counts = df.select(
-        key, F.size(words).alias("len"), *[F.size(F.filter(words, lambda w, q=q: w == q)).alias(f"q{i}") for i, q in enumerate(query)]
-    )
+
+    def times(q: str) -> Column:
+        return F.size(F.filter(words, lambda w: w == F.lit(q)))
+
+    counts = df.select(key, F.size(words).alias("len"), *[times(q).alias(f"q{i}") for i, q in enumerate(query)])
     stats = counts.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"),

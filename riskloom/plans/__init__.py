@@ -17,6 +17,7 @@ MODULES = (
     "models",
     "trends",
     "texts",
+    "io",
 )
 
 

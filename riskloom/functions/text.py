@@ -75,7 +75,7 @@ def sentiment(s: Column) -> Column:
         total = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.element_at(scores, w))
         return F.when(F.size(words) > 0, total / F.size(words)).otherwise(F.lit(0.0))
 
-    return F.struct(mean_of(0).alias("polarity"), mean_of(1).alias("subjectivity"))
+    return F.named_struct(F.lit("polarity"), mean_of(0), F.lit("subjectivity"), mean_of(1))
 
 
 def text_features(df: DataFrame, cols: Sequence[str], prefix: str = "tf_") -> DataFrame:

@@ -567,13 +567,21 @@ def _month_pass(days: DataFrame) -> DataFrame:
             "flow_k": F.when(flows, (F.count("net").over(up) - 1).cast("double")),
             "step": F.abs(_c("net") - F.last("net", ignorenulls=True).over(before)),
             "flow_credit": F.when(flows, _zero(_c("credit"))),
+            "income_rank": F.row_number().over(w.orderBy(_c("income").asc_nulls_last())),
+            "spend_rank": F.row_number().over(w.orderBy(_c("spend").asc_nulls_last())),
+            "spend_months": F.count("spend").over(w),
         }
     )
+
+    def middle(value: str, rank: str, count: str) -> Column:
+        """Median as the mean of the one or two middle rows."""
+        return F.avg(F.when((_c(rank) >= _c(count) / 2) & (_c(rank) <= _c(count) / 2 + 1), _c(value)))
+
     half = F.floor(_c("months") / 2)
     spend_n = F.when(_c("spend_n") > 0, _c("spend_n"))
     per = s.groupBy(KEY).agg(
         F.avg("income").alias("avg_monthly_income"),
-        F.expr("percentile(income, 0.5)").alias("median_monthly_income"),
+        middle("income", "income_rank", "months").alias("median_monthly_income"),
         F.max("income").alias("max_monthly_income"),
         F.min("income").alias("min_monthly_income"),
         _zero(F.stddev_samp("income")).alias("income_std"),
@@ -583,7 +591,7 @@ def _month_pass(days: DataFrame) -> DataFrame:
         F.sum("income").alias("total_income"),
         F.count("income").alias("num_income_months"),
         F.avg("spend").alias("avg_monthly_spend"),
-        F.expr("percentile(spend, 0.5)").alias("median_monthly_spend"),
+        middle("spend", "spend_rank", "spend_months").alias("median_monthly_spend"),
         F.max("spend").alias("max_monthly_spend"),
         _zero(F.stddev_samp("spend")).alias("spend_std"),
         F.avg("emi").alias("avg_monthly_emi"),

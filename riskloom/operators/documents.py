@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import contains_any
 from riskloom.functions.text import sentiment, word_list
+from riskloom.operators.scan import spread
+from riskloom.session import cut_lineage
 
 _c = F.col
 
@@ -45,7 +47,7 @@ ENTITY_PATTERNS = {
     "amount": r"(?:₹|Rs\.?|INR|\$|€)\s?\d[\d,]*(?:\.\d+)?",
     "percent": r"\d+(?:\.\d+)?\s?%",
     "date": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b|\b\d{4}-\d{2}-\d{2}\b",
-    "phone": r"\+?\d{2,3}[ -]?\d{3,5}[ -]\d{3,5}",
+    "phone": r"\+\d{1,3}[ -]?\(?\d{2,5}\)?[ -]\d{3,5}(?:[ -]\d{3,5})?",
     "pan": r"\b[A-Z]{5}\d{4}[A-Z]\b",
     "gst": r"\b\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z]\w\b",
     "legal_section": r"[Ss]ection \d+(?:\(\d+\))?",
@@ -70,8 +72,7 @@ def tokens(text: Column, stop: Sequence[str] = ()) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     if not stop:
         return words
-    banned = F.array(*[F.lit(w) for w in stop])
-    return F.filter(words, lambda w: ~F.array_contains(banned, w))
+    return F.filter(words, lambda w: ~w.isin(*stop))
 
 
 def one_two_grams(words: Column) -> Column:
@@ -88,9 +89,14 @@ def tfidf(df: DataFrame, key: str, text: str, terms: int = 50, least_docs: int =
 
     The vocabulary is `terms` rows, so it is broadcast to the counts.
     """
-    words = tokens(_c(text), english_stop_words() if stop is None else stop)
-    counts = df.select(key, F.explode(one_two_grams(words)).alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
+    words = spread(df.select(key, text)).select(
+        key, tokens(_c(text), english_stop_words() if stop is None else stop).alias("words")
+    )
+    # Kept as a table: the vocabulary and the weights both read the counts.
+    counts = cut_lineage(
+        words.select(key, F.explode(one_two_grams(_c("words"))).alias("term")).groupBy(key, "term").agg(
+            F.count(F.lit(1)).alias("tf")
+        )
     )
     vocabulary = (
         counts.groupBy("term")
@@ -198,12 +204,14 @@ def chunk(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 12
 def bm25(df: DataFrame, key: str, text: str, query: Sequence[str], k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Top-k texts for a query. Texts are reduced to the counts of the query terms in place, so
     only their statistics are shuffled."""
-    words = tokens(_c(text))
-
-    def times(q: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == F.lit(q)))
-
-    counts = df.select(key, F.size(words).alias("len"), *[times(q).alias(f"q{i}") for i, q in enumerate(query)])
+    words = spread(df.select(key, text)).select(key, tokens(_c(text)).alias("words"))
+    size = F.size("words")
+    # Kept as a table: a few numbers per text, read by the statistics and the scores.
+    counts = cut_lineage(
+        words.select(
+            key, size.alias("len"), *[(size - F.size(F.array_remove("words", q))).alias(f"q{i}") for i, q in enumerate(query)]
+        )
+    )
     stats = counts.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import first_match, flag, ratio
-from riskloom.operators.scan import cut_points, join_null_safe, melt, quantiles
+from riskloom.operators.scan import GROUP_LIMIT, cut_points, join_null_safe, largest_group, melt, quantiles
 from riskloom.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------------
@@ -111,7 +111,8 @@ def group_tables(df: DataFrame, prefixes: Mapping[str, str], cols: Sequence[str]
     listed = df.select(F.explode(groups).alias("g"), *cols).select("g.key", "g.group", *cols)
     long = melt(listed, ["key", "group"], cols)
     # The value distribution does not depend on the keys, so neither do the cut points.
-    cuts = cut_points(melt(df, [], cols), "value")
+    large = max(largest_group(df, [k]) for k in prefixes) > GROUP_LIMIT
+    cuts = cut_points(melt(df, [], cols), "value") if large else []
     medians = quantiles(long, "value", [0.5], by=["key", "group", "feature"], names=["m"], cuts=cuts)
     # One row per group and column, read once per key below: kept as a written table.
     medians = cut_lineage(medians)

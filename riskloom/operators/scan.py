@@ -10,6 +10,9 @@ key that holds a third of the table. Both are avoided in the same way:
 3. turn those totals into offsets: a window per key, over at most one row per slice;
 4. run the window inside (key, slice) and add the offset.
 
+When no group is large (`largest_group`, one cheap aggregate), a window per group is
+enough and steps 1 to 3 are left out.
+
 The cut points are literals of the plan, so a task that is run again after a lost
 executor puts every row into the same slice.
 """
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 
 SLICE = "__slice"
 MAX_SLICES = 8192
+# Rows of one group that a single task may sort.
+GROUP_LIMIT = 1_000_000
 
 
 def slice_count(spark: SparkSession) -> int:
@@ -40,6 +45,26 @@ def cut_points(df: DataFrame, value: str, slices: int | None = None) -> list[flo
     return sorted(row["q"] or [])
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def group_cuts(df: DataFrame, value: str, by: Sequence[str]) -> list[float]:
+    """Cut points if some group is too large for one task, otherwise none."""
+    if by and largest_group(df, by) <= GROUP_LIMIT:
+        return []
+    return cut_points(df, value)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input comes in fewer partitions than there are (one small file);
+    an input that is spread already is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_slice(df: DataFrame, value: str, cuts: Sequence[float], out: str = SLICE) -> DataFrame:
     """Add the slice number of `value`: bisection over the cut points, in the JVM."""
     edges = sorted(set(cuts))
@@ -83,7 +108,17 @@ def running_sums(
     Rows should be unique per (by, order, tie). Heavy values of `order` should be
     grouped first; `row_ranks` handles rows that cannot be grouped.
     """
-    cuts = cut_points(df, order) if cuts is None else cuts
+    cuts = group_cuts(df, order, by) if cuts is None else cuts
+    if by and not cuts:
+        w = Window.partitionBy(*by)
+        up = w.orderBy(order, *tie)
+        run = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            "*",
+            *[F.sum(s).over(run).alias(f"{s}_run") for s in sums],
+            *[F.sum(s).over(w).alias(f"{s}_all") for s in sums],
+            *([F.lead(order).over(up).alias(next_as)] if next_as else []),
+        )
     rows = with_slice(df, order, cuts)
     firsts = [F.min(order).alias("__first")] if next_as else []
     totals = rows.groupBy(*by, SLICE).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums], *firsts)
@@ -124,7 +159,7 @@ def running_min(
     """Add the inclusive running minimum (or maximum) of `value`, any orderable type; rows
     with equal `order` see each other."""
     pick, join = (F.max, F.greatest) if largest else (F.min, F.least)
-    cuts = cut_points(df, order) if cuts is None else cuts
+    cuts = group_cuts(df, order, by) if cuts is None else cuts
     rows = with_slice(df.withColumn("__v", value), order, cuts)
     lows = rows.groupBy(*by, SLICE).agg(pick("__v").alias("__low"))
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -198,7 +233,7 @@ def quantiles(
     """
     names = names or [f"q{round(p * 100)}" for p in probs]
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    run = running_sums(counts, value, ["__c"], by=by, cuts=cut_points(df, value) if cuts is None else cuts)
+    run = running_sums(counts, value, ["__c"], by=by, cuts=group_cuts(df.where(F.col(value).isNotNull()), value, by) if cuts is None else cuts)
     aggs = []
     for p, name in zip(probs, names):
         pos = (F.col("__c_all") - 1) * F.lit(float(p))

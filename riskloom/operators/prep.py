@@ -285,7 +285,10 @@ def replace_nonfinite(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
 
 def class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_class); NULL labels get no weight."""
-    counts = {r[y]: r["n"] for r in df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
+    sizes = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n")).limit(1001).collect()
+    if len(sizes) > 1000:
+        raise ValueError(f"{y} has more than 1000 classes")
+    counts = {r[y]: r["n"] for r in sizes}
     total, k = sum(counts.values()), len(counts)
     weight = F.lit(None).cast("double")
     for value, n in counts.items():

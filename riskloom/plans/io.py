@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as X
-from riskloom.plans.registry import case
+from riskloom.plans.registry import case, money
 from riskloom.plans.scalars import sql_any, sql_first, sql_list
 from riskloom.plans.tables import VIEWS, Tables
 from riskloom.session import scratch_dir
@@ -127,9 +127,9 @@ def loan_stream(t: Tables):
 
 @case(
     "st1_stream_score",
-    """with l as (select *, greatest(least(5e-1 - (credit_score - 650) / 1e3 + (case when debt_to_income = 0 then 3e-1 else debt_to_income end) * 2e-1 - least(annual_income / 5e5, 1e-1) + num_derogatory_records * 5e-2, 99e-2), 1e-2) as p from loans)
-    select loan_id, case when loan_id % 40 = 0 then null else p end as probability, case when loan_id % 40 = 0 then 'Credit score out of range' else '' end as errors from l""",
-    r2="probability",
+    f"""with l as (select *, greatest(least(5e-1 - (credit_score - 650) / 1e3 + (case when debt_to_income = 0 then 3e-1 else debt_to_income end) * 2e-1 - least(annual_income / 5e5, 1e-1) + num_derogatory_records * 5e-2, 99e-2), 1e-2) as p from loans)
+    select loan_id, case when loan_id % 40 = 0 then null else {money('p', 4)} end as probability, case when loan_id % 40 = 0 then 'Credit score out of range' else '' end as errors from l""",
+    r4="probability",
 )
 def _(t: Tables):
     valid, bad = fresh(t, "valid"), fresh(t, "quarantine")

@@ -50,14 +50,14 @@ HUGE = 1e9
 
 def rounded(x: Column, digits: int) -> Column:
     """Decimals for ordinary values, five figures fewer than a double holds for huge ones."""
-    near = F.round(x + F.lit(nudge(digits)), digits)
+    near = F.round(x + F.lit(nudge(digits)), digits) + F.lit(0.0)  # no negative zero
     return F.when(F.abs(x) < HUGE, near).when(F.abs(x) < float("inf"), F.round(x + F.lit(317.0), -4)).otherwise(x)
 
 
 def rounded_sql(c: str, digits: int) -> str:
     x = f'"{c}"'
     return (
-        f"case when abs({x}) < {HUGE:e} then round({x} + {nudge(digits):e}, {digits}) "
+        f"case when abs({x}) < {HUGE:e} then round({x} + {nudge(digits):e}, {digits}) + 0e0 "
         f"when abs({x}) < cast('inf' as double) then round({x} + 317e0, -4) else {x} end"
     )
 

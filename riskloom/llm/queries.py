@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packing", "chat")
+MODULES = ("fmindex", "packing", "chat")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("syncmers", "fmindex", "packing", "chat")
+MODULES = ("syncmers", "fmindex", "models", "packing", "chat")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

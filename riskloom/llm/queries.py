@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("linededup", "syncmers", "fmindex", "models", "packing", "chat")
+MODULES = ("linededup", "syncmers", "fmindex", "models", "language_models", "packing", "chat")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ def text_offsets(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(data) if data is not None else memoryview(b""), at.astype(np.int64)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[Block]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[Block]:
     """Cut batches into blocks of about `limit` text bytes; a longer text is a block of its own.
 
     Null texts count as empty.

@@ -76,26 +76,45 @@ def shingle_sets(block, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.searchsorted(text[new], np.arange(len(n) + 1))
 
 
-def signatures(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """MinHash of each non-empty set, as 16-bit values (rows of empty sets are 0)."""
-    out = np.zeros((len(at) - 1, COORDINATES), np.uint16)
+def minima(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """48-bit MinHash values of each non-empty set (rows of empty sets are 0)."""
+    out = np.zeros((len(at) - 1, COORDINATES), np.uint64)
     some = np.flatnonzero(at[1:] > at[:-1])
     if len(some):
         for j in range(COORDINATES):
-            least = np.minimum.reduceat((grams * FACTORS[j] + OFFSETS[j]) >> np.uint64(16), at[some])
-            out[some, j] = mix(least) >> np.uint64(48)
+            out[some, j] = np.minimum.reduceat((grams * FACTORS[j] + OFFSETS[j]) >> np.uint64(16), at[some])
     return out
 
 
-def _signed(width: int):
+def children(node: np.ndarray, values: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) for the places that each row's node chooses, by the row's value there."""
+    chance = np.uint64(int(2**64 / (threshold * COORDINATES)))
+    spot = mix(node)[:, None] ^ mix(np.arange(77, 77 + COORDINATES, dtype=np.uint64))[None, :]
+    one, place = np.nonzero(mix(spot) < chance)
+    return one, mix(spot[one, place] + mix(values[one, place] + np.uint64(1)))
+
+
+def _signed(width: int, threshold: float, runs: int):
+    """Signatures, and the nodes after the first split of every run, by whole MinHash values: there
+    all documents meet, so a shorter value would bring unlike ones together."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = mix(np.arange(runs, dtype=np.uint64))
         for block in blocks(batches):
             grams, at = shingle_sets(block, width)
-            signed = signatures(grams, at)
+            least = minima(grams, at)
             keys = [hashlib.blake2b(grams[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
+            nodes: list[list[np.ndarray]] = []
+            for one in start:
+                row, child = children(np.full(len(least), one), least, threshold)
+                nodes.append(np.split(child.view(np.int64), np.searchsorted(row, np.arange(1, len(least)))))
+            signed = (mix(least) >> np.uint64(48)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [block.rows.column("id"), block.rows.column("row"), pa.array(keys, pa.binary()), pa.array(np.diff(at)), pa.array([x.tobytes() for x in signed], pa.binary())],
-                ["id", "row", "key", "n_grams", "signature"],
+                [
+                    block.rows.column("id"), block.rows.column("row"), pa.array(keys, pa.binary()), pa.array(np.diff(at)), pa.array([x.tobytes() for x in signed], pa.binary()),
+                    pa.array([np.concatenate(x) for x in zip(*nodes, strict=True)], pa.list_(pa.int64())),
+                ],
+                ["id", "row", "key", "n_grams", "signature", "nodes"],
             )
 
     return run
@@ -105,24 +124,15 @@ def signature_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), COORDINATES)
 
 
-def _children(threshold: float, runs: int | None):
-    """The next nodes of (node, key, signature) rows; with `runs`, the first nodes of (key, signature)."""
-    chance = np.uint64(int(2**64 / (threshold * COORDINATES)))
-    places = np.arange(COORDINATES, dtype=np.uint64)
+def _split(threshold: float):
+    """The next nodes of (node, key, signature) rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 4096):
                 b = batch.slice(first, 4096)
-                signed = signature_rows(b.column("signature")).astype(np.uint64)
-                if runs is None:
-                    node, row = np.asarray(b.column("node")).view(np.uint64), np.arange(b.num_rows)
-                else:
-                    node, row = mix(np.tile(np.arange(runs, dtype=np.uint64), b.num_rows)), np.repeat(np.arange(b.num_rows), runs)
-                spot = mix(node)[:, None] ^ mix(places + np.uint64(77))[None, :]
-                one, place = np.nonzero(mix(spot) < chance)
-                child = mix(spot[one, place] + mix(signed[row[one], place] + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("key").take(pa.array(row[one]))], ["node", "key"])
+                row, child = children(np.asarray(b.column("node")).view(np.uint64), signature_rows(b.column("signature")).astype(np.uint64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("key").take(pa.array(row))], ["node", "key"])
 
     return run
 
@@ -232,14 +242,13 @@ def _linking(loose: float):
 LINKS = "src binary, dst binary, node long, signature binary"
 
 
-def candidate_groups(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """(key, group) of the classes that are linked to another; `classes` has key and signature."""
-    spark = classes.sparkSession
+def candidate_groups(classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, group) of the classes that are linked to another; `classes` has key, signature, nodes."""
     signed = classes.select("key", "signature")
-    nodes = signed.mapInArrow(_children(threshold, runs), "node long, key binary")
+    nodes = classes.select(F.explode("nodes").alias("node"), "key")
     links: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        nodes = cut_lineage(nodes)
+        nodes = cut_lineage(nodes) if depth > 1 else nodes
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).where("n > 1")
         small = F.lit(True) if depth == DEPTH else _c("n") <= LEAF
         leaves = sizes.where(small).groupBy("n", "members").agg(F.min("node").alias("node")).select("node", "n")
@@ -249,7 +258,7 @@ def candidate_groups(classes: DataFrame, threshold: float, runs: int) -> DataFra
         links.append(dealt.repartition("node", "block").sortWithinPartitions("node", "block", "key").mapInArrow(_linking(LOOSE), LINKS))
         if depth < DEPTH:
             large = sizes.where(~small).select("node")
-            nodes = nodes.join(large, "node").join(signed, "key").select("node", "key", "signature").mapInArrow(_children(threshold, None), "node long, key binary")
+            nodes = nodes.join(large, "node").join(signed, "key").select("node", "key", "signature").mapInArrow(_split(threshold), "node long, key binary")
     found = cut_lineage(links[0].unionByName(links[1]).unionByName(links[2]))
     leaders = found.where("dst is null").select("node", F.lit(0).alias("block"), F.lit(True).alias("dense"), _c("src").alias("key"), "signature")
     across = leaders.repartition("node").sortWithinPartitions("node", "key").mapInArrow(_linking(NEAR_LEADER), LINKS)
@@ -324,13 +333,13 @@ def _sets(width: int):
 def similarity_join(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row per document: doc_id, class_id, n_links."""
     rows = docs.select(_c("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    signed = cut_lineage(rows.mapInArrow(_signed(width), "id long, row long, key binary, n_grams long, signature binary"))
+    signed = cut_lineage(rows.mapInArrow(_signed(width, threshold, runs_for(recall)), "id long, row long, key binary, n_grams long, signature binary, nodes array<long>"))
     classes = cut_lineage(
         signed.where("key is not null").groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row")).alias("first"), F.first("n_grams").alias("n_grams"), F.first("signature").alias("signature")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "row")).alias("first"), F.first("n_grams").alias("n_grams"), F.first("signature").alias("signature"), F.first("nodes").alias("nodes")
         )
     )
-    groups = cut_lineage(candidate_groups(classes, threshold, runs_for(recall)).join(classes.drop("signature"), "key"))
+    groups = cut_lineage(candidate_groups(classes, threshold).join(classes.drop("signature", "nodes"), "key"))
     parts = groups.groupBy("group").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_grams") * 8 / BLOCK_BYTES)).cast("int").alias("parts")
     )

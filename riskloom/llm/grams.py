@@ -19,6 +19,7 @@ are its low bytes.
 
 from __future__ import annotations
 
+import bz2
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ from riskloom.session import cut_lineage
 _c = F.col
 ORDER = 5
 END = 10
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 32 << 20
 TEXTS, GRAMS, WORDS = 0, 1, 2
 ENCODED = (
     "chunk long, kind int, bucket int, data binary, sizes binary, counted binary, keys array<long>, counts array<long>, "
@@ -197,7 +198,7 @@ def _encoder(words: bool, buckets: int) -> Callable:
             chunk = (task << 24) | made
             made += 1
             data, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            rows: list[list] = [[chunk, TEXTS, 0, zstandard.ZstdCompressor(level=9).compress(data.tobytes()), shrink(sizes.astype(np.int32)), None, None, None, *(sum((h[2][k] for h in held), []) for k in range(4))]]
+            rows: list[list] = [[chunk, TEXTS, 0, bz2.compress(data.tobytes()), shrink(sizes.astype(np.int32)), None, None, None, *(sum((h[2][k] for h in held), []) for k in range(4))]]
             if words:
                 v = WordTable.merged([h[4] for h in held])
                 place = v.hashes % np.uint64(buckets)
@@ -292,31 +293,46 @@ def per_shard(counts: DataFrame, work: Callable[[Levels, np.ndarray, int], pd.Da
 SUMS = "row_key long, id string, lang string, trained boolean, n_symbols long, log_p double"
 
 
-def looked_up(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, values: np.ndarray, step: int = 2 << 20) -> np.ndarray:
-    """Sums of the values of the n-grams of each text, some texts at a time."""
+def text_groups(sizes: np.ndarray, step: int = 2 << 20) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last text, first byte, last byte), ends exclusive, of groups of about `step` bytes."""
     stop = np.cumsum(sizes)
-    out = np.zeros(len(sizes))
     first = 0
     while first < len(sizes):
         a = int(stop[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(stop, a + step, "right")))
-        b = int(stop[last - 1])
-        part = values[np.searchsorted(keys, gram_keys(data[a:b], sizes[first:last]))]
-        out[first:last] = np.add.reduceat(part, stop[first:last] - sizes[first:last] - a)
+        yield first, last, a, int(stop[last - 1])
         first = last
+
+
+def looked_up(data: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values of the n-grams of each text; `values` in the order of the distinct n-grams."""
+    groups = list(text_groups(sizes))
+    keys = np.unique(np.concatenate([np.unique(gram_keys(data[a:b], sizes[i:j])) for i, j, a, b in groups]))
+    out = np.zeros(len(sizes))
+    for i, j, a, b in groups:
+        out[i:j] = np.add.reduceat(values[np.searchsorted(keys, gram_keys(data[a:b], sizes[i:j]))], np.cumsum(sizes[i:j]) - sizes[i:j])
     return out
 
 
-def sorted_values(keys: Iterable, values: Iterable) -> tuple[np.ndarray, np.ndarray]:
-    k, v = np.concatenate(list(keys)).astype(np.uint64), np.concatenate(list(values))
-    order = np.argsort(k)
-    return k[order], v[order]
+def token_stream(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and context of every token, made some texts at a time."""
+    parts = []
+    for _, _, a, b in text_groups(sizes):
+        first, last = tokens(data[a:b])
+        parts.append((span_hashes(data[a:b], first, last), contexts(data[a:b], first, last).astype(np.uint16)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def answers(asking: DataFrame, by: str, values: DataFrame) -> DataFrame:
-    """(asker, keys, values), asker being the column `by`: the values of the n-grams that each row of `asking` lists."""
-    rows = asking.select(_c(by).alias("asker"), F.explode("keys").alias("key")).join(values.select("key", "value"), "key")
-    return rows.groupBy("asker").agg(F.collect_list(F.struct("key", "value")).alias("p")).select("asker", _c("p.key").alias("keys"), _c("p.value").alias("values"))
+    """(asker, places, values), asker being the column `by`: the values of the n-grams that each
+    row of `asking` lists, with their places in the list."""
+    rows = asking.select(_c(by).alias("asker"), F.posexplode("keys").alias("place", "key")).join(values.select("key", _c("value").cast("float")), "key")
+    return rows.groupBy("asker").agg(F.collect_list(F.struct("place", "value")).alias("p")).select("asker", _c("p.place").alias("places"), _c("p.value").alias("values"))
+
+
+def text_of(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The byte sequences of a chunk and their lengths."""
+    return np.frombuffer(bz2.decompress(row["data"]), np.uint8), grow(row["sizes"], np.int32).astype(np.int64)
 
 
 def about(texts: pd.Series) -> dict:
@@ -327,8 +343,10 @@ def _summing(key: tuple, texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame
     if not len(texts):
         return pd.DataFrame(columns=[x.split()[0] for x in SUMS.split(", ")])
     t = texts.iloc[0]
-    data, sizes = grow(t["data"], np.uint8), grow(t["sizes"], np.int32).astype(np.int64)
-    return pd.DataFrame({**about(t), "n_symbols": sizes, "log_p": looked_up(data, sizes, *sorted_values(got["keys"], got["values"]))})
+    data, sizes = text_of(t)
+    values = np.zeros(len(got["values"].iloc[0]))
+    values[got["places"].iloc[0]] = got["values"].iloc[0]
+    return pd.DataFrame({**about(t), "n_symbols": sizes, "log_p": looked_up(data, sizes, values)})
 
 
 def score(chunks: DataFrame, values: DataFrame) -> DataFrame:

@@ -18,31 +18,45 @@ def kolmogorov_p(d: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0)))
 
 
-def chi2_p(x: Column, dof: Column) -> Column:
-    """P(chi² > x) for whole degrees of freedom, by the closed finite sums."""
+def chi2_tail(x: float, dof: int) -> float:
+    """P(chi² > x): the regularised upper incomplete gamma function, its front factor in log space.
 
-    def tail(x: float, dof: int) -> float:
-        if dof <= 0 or x <= 0:
-            return 1.0
-        h = x / 2
-        if h > 700:
-            return 0.0
-        if dof % 2 == 0:
-            term, total = 1.0, 1.0
-            for i in range(1, dof // 2):
-                term *= h / i
-                total += term
-            return min(1.0, math.exp(-h) * total)
-        total = math.erfc(math.sqrt(h))
-        term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
-        for j in range(1, (dof - 1) // 2 + 1):
+    A series below the mean, a continued fraction above it; both run until they converge."""
+    if dof <= 0 or x <= 0:
+        return 1.0
+    a, h = dof / 2, x / 2
+    front = a * math.log(h) - h - math.lgamma(a)
+    if h < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-17:
+            k += 1
+            term *= h / k
             total += term
-            term *= h / (j + 0.5)
-        return min(1.0, total)
+        return min(1.0, max(0.0, 1 - math.exp(front + math.log(total))))
+    tiny = 1e-300
+    b = h + 1 - a
+    c, d = 1 / tiny, 1 / b
+    value, i = d, 0
+    while True:
+        i += 1
+        step = -i * (i - a)
+        b += 2
+        d = step * d + b
+        c = b + step / c
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = c if abs(c) > tiny else tiny
+        value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            return min(1.0, math.exp(front + math.log(value)))
+
+
+def chi2_p(x: Column, dof: Column) -> Column:
+    """P(chi² > x) for whole degrees of freedom."""
 
     @F.pandas_udf(T.DoubleType())
     def run(x: pd.Series, dof: pd.Series) -> pd.Series:
-        return pd.Series([tail(float(a), int(b)) for a, b in zip(x, dof)])
+        return pd.Series([chi2_tail(float(a), int(b)) for a, b in zip(x, dof)])
 
     return run(x, dof)
 

@@ -26,7 +26,6 @@ LEXICON: dict[str, tuple[float, float]] = {
     "bad": (-0.7, 0.65), "poor": (-0.5, 0.6), "weak": (-0.4, 0.5), "loss": (-0.5, 0.3),
     "late": (-0.3, 0.5), "default": (-0.6, 0.3), "hardship": (-0.7, 0.6), "struggle": (-0.6, 0.6),
     "difficult": (-0.5, 0.7), "missed": (-0.4, 0.4), "overdue": (-0.5, 0.3), "stress": (-0.5, 0.5),
-    "the": (0.1, 0.1), "and": (0.2, 0.0), "of": (-0.1, 0.2),
 }
 
 

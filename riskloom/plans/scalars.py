@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as X
@@ -141,17 +142,32 @@ def _lexicon_values() -> str:
     return ", ".join(f"('{w}', {p!r}::double, {s!r}::double)" for w, (p, s) in tx.LEXICON.items())
 
 
+# The texts hold few of the words that are scored, so most get two of them and some get none.
+_SCORED = list(tx.LEXICON)
+_SPAN = len(_SCORED) + 5
+
+
+def _scored_text_sql() -> str:
+    words = ", ".join(f"'{w}'" for w in _SCORED)
+    return f"concat_ws(' ', text, [{words}][doc_id % {_SPAN} + 1], [{words}][doc_id // 3 % {_SPAN} + 1])"
+
+
+def _scored_text() -> Column:
+    words = F.array(*[F.lit(w) for w in _SCORED])
+    return F.concat_ws(" ", "text", F.get(words, F.col("doc_id") % _SPAN), F.get(words, F.floor(F.col("doc_id") / 3) % _SPAN))
+
+
 @case(
     "x10_sentiment",
     f"""with lex(word, pol, sub) as (values {_lexicon_values()}),
-    words as (select doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) as word from documents),
+    words as (select doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower({_scored_text_sql()}), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) as word from documents),
     s as (select doc_id, avg(pol) as polarity, avg(sub) as subjectivity from words join lex using (word) group by doc_id)
     select d.doc_id, coalesce(s.polarity, 0e0) as polarity, coalesce(s.subjectivity, 0e0) as subjectivity
     from documents d left join s on d.doc_id = s.doc_id""",
     r6="polarity subjectivity",
 )
 def _(t: Tables):
-    return t.documents.select("doc_id", tx.sentiment(F.col("text")).alias("s")).select(
+    return t.documents.select("doc_id", tx.sentiment(_scored_text()).alias("s")).select(
         "doc_id", "s.polarity", "s.subjectivity"
     )
 

@@ -123,3 +123,22 @@ def test_chi2_tail_closed_forms(spark):
 
     df = spark.createDataFrame([(3.841458820694124, 1), (5.991464547107979, 2), (7.814727903251179, 3)], "x double, k int")
     assert [r[0] for r in df.select(chi2_p(F.col("x"), F.col("k"))).collect()] == pytest.approx([0.05] * 3)
+
+
+def test_sentiment_of_neutral_text_is_zero(spark):
+    from riskloom.functions.text import sentiment
+
+    df = spark.createDataFrame([("the table and the chair of the house",), ("a good and stable house",), (None,)], "s string")
+    got = [r.s.polarity for r in df.select(sentiment(F.col("s")).alias("s")).collect()]
+    assert got[0] == got[2] == 0 and abs(got[1] - 0.55) < 1e-9
+
+
+def test_chi_square_tail_with_many_degrees():
+    import math
+
+    from riskloom.functions.pvalues import chi2_tail
+
+    assert abs(chi2_tail(2000, 2000) - 0.4958) < 1e-3 and abs(chi2_tail(3.841458820694124, 1) - 0.05) < 1e-12
+    for x, k in ((20, 10), (700, 600), (1800, 1700), (2500, 2000)):
+        h = x / 2
+        assert math.isclose(chi2_tail(x, k), sum(math.exp(i * math.log(h) - h - math.lgamma(i + 1)) for i in range(k // 2)), rel_tol=1e-9)

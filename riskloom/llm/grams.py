@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.bytetext import SPACE_BYTES, Block, blocks, lower, owners, runs, span_hashes
+from riskloom.llm.bytetext import BASE, SPACE_BYTES, Block, blocks, lower, owners, runs, span_hashes
 from riskloom.session import cut_lineage
 
 _c = F.col
@@ -64,13 +64,16 @@ def normal_bytes(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_keys(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The n-gram that ends at each byte."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(data)) + (ORDER - 1) * (text + 1)
-    wide = np.full(len(data) + (ORDER - 1) * (len(sizes) + 1), END, np.uint64)
-    wide[at] = data
-    key = np.zeros(len(data), np.uint64)
-    for j in range(ORDER):
-        key |= wide[at - j] << np.uint64(8 * j)
+    key = data.astype(np.uint64)
+    for j in range(1, ORDER):
+        key[j:] |= data[:-j].astype(np.uint64) << np.uint64(8 * j)
+    # the first bytes of a text have end symbols before them, not the text before
+    begin = np.cumsum(sizes) - sizes
+    for p in range(min(ORDER - 1, int(sizes.max(initial=0)))):
+        at = begin[sizes > p] + p
+        low = np.uint64((1 << 8 * (p + 1)) - 1)
+        ends = np.uint64(sum(END << 8 * j for j in range(p + 1, ORDER)))
+        key[at] = key[at] & low | ends
     return key
 
 
@@ -304,13 +307,40 @@ def text_groups(sizes: np.ndarray, step: int = 2 << 20) -> Iterator[tuple[int, i
         first = last
 
 
+class GramIndex:
+    """Places of n-grams among sorted distinct ones: one probe of a hash table, and a bisection
+    where another n-gram has taken the slot."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(10, (4 * len(keys)).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * BASE) >> self.shift
+
+    def places(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each n-gram, and where in `wanted` those stand that are not there."""
+        at = self.slots[self._slot(wanted)]
+        other = np.flatnonzero(self.keys[at] != wanted)
+        at[other] = np.minimum(np.searchsorted(self.keys, wanted[other]), len(self.keys) - 1)
+        return at, other[self.keys[at[other]] != wanted[other]]
+
+
 def looked_up(data: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of the values of the n-grams of each text; `values` in the order of the distinct n-grams."""
     groups = list(text_groups(sizes))
-    keys = np.unique(np.concatenate([np.unique(gram_keys(data[a:b], sizes[i:j])) for i, j, a, b in groups]))
+    index = None
+    for i, j, a, b in groups:
+        keys = gram_keys(data[a:b], sizes[i:j])
+        if index is None:
+            index = GramIndex(np.unique(keys))
+        elif len(new := index.places(keys)[1]):
+            index = GramIndex(np.union1d(index.keys, keys[new]))
     out = np.zeros(len(sizes))
     for i, j, a, b in groups:
-        out[i:j] = np.add.reduceat(values[np.searchsorted(keys, gram_keys(data[a:b], sizes[i:j]))], np.cumsum(sizes[i:j]) - sizes[i:j])
+        out[i:j] = np.add.reduceat(values[index.places(gram_keys(data[a:b], sizes[i:j]))[0]], np.cumsum(sizes[i:j]) - sizes[i:j])
     return out
 
 

@@ -266,14 +266,14 @@ def narrative(df: DataFrame, p: str = "p") -> DataFrame:
     prob = _c(p)
     label = first_match([(prob >= 0.6, "High Risk"), (prob >= 0.3, "Medium Risk")], "Low Risk")
     drivers = F.when(F.size("risk_factors") > 0, F.array_join(_names("risk_factors", 3), ", ")).otherwise(
-        "no significant risk factors"
+        "none that matter"
     )
-    advice = F.when(prob >= 0.5, "recommend further review").otherwise("recommend approval with standard conditions")
+    advice = F.when(prob >= 0.5, "review again before a decision").otherwise("approve on the usual terms")
     sentence = lambda text: lambda a: F.format_string(text, humanize(a["feature"]))
     return df.withColumns(
         {
             "committee": F.format_string(
-                "The applicant is classified as %s with a default probability of %.1f%%. Key risk drivers include %s. We %s.",
+                "%s: the estimated chance of default is %.1f%%. Main drivers: %s. Advice: %s.",
                 label, prob * 100, drivers, advice,
             ),
             "officer": officer_action(prob),
@@ -285,18 +285,18 @@ def narrative(df: DataFrame, p: str = "p") -> DataFrame:
             ),
             "customer_outcome": first_match(
                 [
-                    (prob < 0.3, "Your application looks good based on the information provided."),
-                    (prob < 0.6, "Your application may need some additional information or review."),
+                    (prob < 0.3, "The details given support this application."),
+                    (prob < 0.6, "We would like to look at some details of this application again."),
                 ],
-                "Based on the current information, there are some concerns with the application.",
+                "The details given raise doubts about this application.",
             ),
             "customer_helped": F.array_join(
-                F.transform(F.slice("protective_factors", 1, 3), sentence("Your %s helped lower the overall risk.")), " "
+                F.transform(F.slice("protective_factors", 1, 3), sentence("%s speaks for you.")), " "
             ),
             "customer_improve": F.array_join(
                 F.transform(
                     F.slice("risk_factors", 1, 3),
-                    sentence("Your %s was a factor that slightly increased the risk assessment."),
+                    sentence("%s weighs against you."),
                 ),
                 " ",
             ),

@@ -68,7 +68,7 @@ Fit = Callable[[DataFrame], Model]
 
 def fit_stacking(df: DataFrame, fits: Mapping[str, Fit], key: str, y: str = "y", folds: int = 5) -> tuple[dict[str, Model], Model]:
     """Base models on all rows, and a logistic meta-learner on their out-of-fold scores."""
-    folded = cut_lineage(kfold(df, key, folds))
+    folded = cut_lineage(kfold(df, key, folds, y=y))
     parts = []
     for k in range(folds):
         train, held = folded.where(_c("fold") != k), folded.where(_c("fold") == k)
@@ -117,7 +117,7 @@ def train_all(df: DataFrame, valid: DataFrame, fits: Mapping[str, Fit], y: str =
 
 def cross_validate(df: DataFrame, fits: Mapping[str, Fit], key: str, y: str = "y", folds: int = 5) -> DataFrame:
     """Mean and population deviation of the fold AUC per model."""
-    folded = cut_lineage(kfold(df, key, folds))
+    folded = cut_lineage(kfold(df, key, folds, y=y))
     parts = []
     for k in range(folds):
         train, held = folded.where(_c("fold") != k), folded.where(_c("fold") == k)

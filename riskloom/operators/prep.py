@@ -262,10 +262,16 @@ def stratified_split(
     return ranked.select(*df.columns, label.alias(out))
 
 
-def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Fold number from a hash of the key: the same for every plan, no shuffle; the classes
-    are spread evenly in expectation."""
-    return df.withColumn(out, F.floor(unit_hash(seed, key) * k).cast("int"))
+def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold", y: str | None = None) -> DataFrame:
+    """Fold number from a hash of the key, the same for every plan. With a label `y` the rows of
+    each class are dealt out in the order of the hash, so a class has the same number of rows in
+    every fold, or one more; without, no shuffle is needed and folds are even in expectation."""
+    if y is None:
+        return df.withColumn(out, F.floor(unit_hash(seed, key) * k).cast("int"))
+    hashed = df.withColumn("__h", unit_hash(seed, key)).withColumn("__one", F.lit(1))
+    n = slice_count(df.sparkSession)
+    ranked = running_sums(hashed, "__h", ["__one"], by=[y], cuts=[i / n for i in range(1, n)], tie=[key])
+    return ranked.select(*df.columns, ((F.col("__one_run") - 1) % k).cast("int").alias(out))
 
 
 def replace_nonfinite(df: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
@@ -306,16 +312,25 @@ def oversample(
     the same hash block, in a block window of bounded size: a block is cut by a key hash into
     parts of about `max_block` rows, so a block that holds a third of the rows is not one
     group and no pairs are joined. Neighbours are therefore near, not exactly nearest.
+    Minority rows that miss a feature (NULL or NaN) have no neighbours; the others make up for
+    them, and if all of them miss one it is an error. Rows without a label are of no class.
     Returns the original rows and the synthetic rows (`key` NULL, `synthetic` true).
     """
-    counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
-    low = min(counts, key=counts.get)
-    have, want = counts[low], int(ratio * max(counts.values()))
+    full = F.lit(True)
+    for c in cols:
+        full &= F.col(c).isNotNull() & ~F.isnan(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    sizes = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(full, 1)).alias("n_full")).collect()
     base = df.withColumn("synthetic", F.lit(False))
-    per_row = (want - have) / have if have else 0.0
-    if per_row <= 0:
+    if not sizes:
+        return base
+    least = min(sizes, key=lambda r: r["n"])
+    low, missing = least[y], int(ratio * max(r["n"] for r in sizes)) - least["n"]
+    if missing <= 0:
         return base
-    minority = df.where(F.col(y) == F.lit(low))
+    if not least["n_full"]:
+        raise ValueError(f"every row of class {low} misses one of {list(cols)}: impute first")
+    per_row = missing / least["n_full"]
+    minority = df.where((F.col(y) == F.lit(low)) & full)
     stats = scale_stats(minority, cols)
     scaled = minority.withColumns({f"__z{i}": (F.col(c).cast("double") - stats[c][0]) / stats[c][1] for i, c in enumerate(cols)})
     vec = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(cols))], outputCol="__v", handleInvalid="skip").transform(scaled)

@@ -152,10 +152,15 @@ def _(t: Tables):
     return parts.groupBy("part", "default_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@case("c13_kfold")
+@case(
+    "c13_kfold",
+    f"""with l as (select {LABEL} as default_status from loans),
+    r as (select default_status, cast((row_number() over (partition by default_status) - 1) % 5 as int) as fold from l)
+    select fold, default_status, count(*) as n from r group by fold, default_status""",
+)
 def _(t: Tables):
-    folds = P.kfold(L.default_label(t.loans).select("loan_id", "default_status"), "loan_id")
-    return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("default_status").alias("rate"))
+    folds = P.kfold(L.default_label(t.loans).select("loan_id", "default_status"), "loan_id", y="default_status")
+    return folds.groupBy("fold", "default_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @case(

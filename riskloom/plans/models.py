@@ -322,8 +322,8 @@ def _(t: Tables):
     f"""with {AT}, f as (select loan_id, string_agg(case when contribution > 0 then feature end, ', ' order by k) as rf from (select *, sum(case when contribution > 0 then 1 else 0 end) over (partition by loan_id order by k) as c from rk) z
       where c <= 3 and contribution > 0 group by loan_id)
     select pr.loan_id, case when p < 3e-1 then 'Low risk applicant; Approve; ' when p < 6e-1 then 'Medium risk applicant; Review further; ' else 'High risk applicant; Decline; ' end || coalesce(rf, '') as executive,
-      case when p < 3e-1 then 'Your application looks good based on the information provided.' when p < 6e-1 then 'Your application may need some additional information or review.'
-        else 'Based on the current information, there are some concerns with the application.' end as customer_outcome
+      case when p < 3e-1 then 'The details given support this application.' when p < 6e-1 then 'We would like to look at some details of this application again.'
+        else 'The details given raise doubts about this application.' end as customer_outcome
     from pr left join f on f.loan_id = pr.loan_id""",
 )
 def _(t: Tables):

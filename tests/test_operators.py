@@ -82,6 +82,22 @@ def test_oversample_reaches_the_ratio(tables):
     assert 0 <= dti[0] and dti[1] <= 1
 
 
+def test_oversample_makes_up_for_missing_features(spark):
+    rows = [(i, int(i < 200), None if i < 100 else float(i % 17), float(i % 13)) for i in range(2000)]
+    out = P.oversample(spark.createDataFrame(rows, "k long, y int, a double, b double"), "y", "k", ["a", "b"])
+    n = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
+    assert n[0] == 1800 and n[1] == pytest.approx(1800, rel=0.05)
+    assert out.where("synthetic and (a is null or b is null)").isEmpty()
+
+
+def test_folds_hold_each_class_evenly(spark):
+    df = spark.range(1003).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
+    folds = P.kfold(df, "id", y="y").groupBy("y", "fold").count().collect()
+    for y in (0, 1):
+        n = [r["count"] for r in folds if r.y == y]
+        assert len(n) == 5 and max(n) - min(n) <= 1
+
+
 def test_power_transform_is_standardised(spark):
     rnd = random.Random(2)
     df = spark.createDataFrame([(math.exp(rnd.gauss(0, 1)),) for _ in range(500)], "x double")

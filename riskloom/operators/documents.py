@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import contains_any
 from riskloom.functions.text import sentiment, word_list
-from riskloom.operators.scan import spread
 from riskloom.session import cut_lineage
 
 _c = F.col
@@ -89,7 +88,7 @@ def tfidf(df: DataFrame, key: str, text: str, terms: int = 50, least_docs: int =
 
     The vocabulary is `terms` rows, so it is broadcast to the counts.
     """
-    words = spread(df.select(key, text)).select(
+    words = df.select(key, text).select(
         key, tokens(_c(text), english_stop_words() if stop is None else stop).alias("words")
     )
     # Kept as a table: the vocabulary and the weights both read the counts.
@@ -204,7 +203,7 @@ def chunk(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 12
 def bm25(df: DataFrame, key: str, text: str, query: Sequence[str], k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Top-k texts for a query. Texts are reduced to the counts of the query terms in place, so
     only their statistics are shuffled."""
-    words = spread(df.select(key, text)).select(key, tokens(_c(text)).alias("words"))
+    words = df.select(key, text).select(key, tokens(_c(text)).alias("words"))
     size = F.size("words")
     # Kept as a table: a few numbers per text, read by the statistics and the scores.
     counts = cut_lineage(

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import banded, clip, risk_category_cut
 from riskloom.operators import evaluate as E
 from riskloom.operators.prep import class_weights, kfold, unit_hash
+from riskloom.operators.scan import row_ranks
 from riskloom.session import cut_lineage
 
 _c = F.col
 Z95 = 1.959963984540054
-BLOCK_ROWS = 10_000
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -209,25 +209,18 @@ def with_feature(features: Sequence[str], name: str, value: Column) -> Column:
 def permutation_importance(model: Model, df: DataFrame, features: Sequence[str], key: str, y: str = "y", seed: int = 42) -> DataFrame:
     """Drop in accuracy when one column is shuffled, for all columns in one scoring job.
 
-    A row takes its shuffled values from the next row of its block in random order. Blocks
-    are hash groups of bounded size, so no window sees the whole table.
+    A row takes its shuffled values from the row after it in an order of hashes of the whole
+    table, the last row from the first: ranks by slices, then an equi-join on the rank.
     """
-    blocks = max(1, df.count() // BLOCK_ROWS)
-    values = F.struct(*[_c(f).cast("double").alias(f) for f in features])
-    w = Window.partitionBy("__block").orderBy("__h", key)
-    mixed = (
-        df.select(key, y, *features)
-        .withColumn("__block", F.floor(unit_hash(seed, key) * blocks))
-        .withColumn("__h", unit_hash(seed + 1, key))
-        .withColumn("__v", values)
-        .withColumn(
-            "__other",
-            F.coalesce(
-                F.lead("__v").over(w),
-                F.first("__v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-            ),
-        )
+    plain = df.select(F.xxhash64(F.lit(seed), _c(key)).alias("__h"), key, y, *features)
+    # Kept as a table: both sides of the join must see the same ranks.
+    ranked = cut_lineage(row_ranks(plain.withColumn("__tie", F.xxhash64(F.lit(seed + 1), _c(key))), "__h", "__tie", "__rank"))
+    n = ranked.count()
+    other = ranked.select(
+        F.when(_c("__rank") == 1, F.lit(n)).otherwise(_c("__rank") - 1).cast("bigint").alias("__rank"),
+        F.struct(*[_c(f).cast("double").alias(f) for f in features]).alias("__other"),
     )
+    mixed = ranked.join(other, "__rank")
     variants = [F.struct(F.lit("").alias("feature"), array_to_vector(F.array(*[_c(f).cast("double") for f in features])).alias("features"))]
     variants += [
         F.struct(F.lit(f).alias("feature"), with_feature(features, f, _c(f"__other.{f}")).alias("features")) for f in features

@@ -15,7 +15,6 @@ from riskloom.operators.scan import column_quantiles, running_sums, slice_count
 from riskloom.session import cut_lineage
 
 DATE_COLUMNS = ("issue_date", "last_payment_date", "next_payment_date", "earliest_credit_line")
-CODE_TABLE_LIMIT = 100_000
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -76,12 +75,10 @@ def clip_iqr(
 def code_table(df: DataFrame, col: str, code: str = "__code") -> DataFrame:
     """(value, code): codes from 0 in sorted order of the distinct values, NULL as its own text.
 
-    Few distinct values are numbered by one window over a checked number of rows; many are
-    range-partitioned, written once, and numbered per partition plus an offset.
+    The distinct values are range-partitioned, written once, and numbered per partition plus an
+    offset, however many there are.
     """
     values = df.select(F.coalesce(F.col(col).cast("string"), F.lit("None")).alias(col)).distinct()
-    if values.limit(CODE_TABLE_LIMIT + 1).count() <= CODE_TABLE_LIMIT:
-        return values.withColumn(code, F.row_number().over(Window.orderBy(col)) - 1)
     parted = cut_lineage(
         values.repartitionByRange(col).sortWithinPartitions(col).withColumn("__pid", F.spark_partition_id())
     )

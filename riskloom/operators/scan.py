@@ -10,8 +10,9 @@ key that holds a third of the table. Both are avoided in the same way:
 3. turn those totals into offsets: a window per key, over at most one row per slice;
 4. run the window inside (key, slice) and add the offset.
 
-When no group is large (`largest_group`, one cheap aggregate), a window per group is
-enough and steps 1 to 3 are left out.
+There is one path for every size: no row count is taken to choose a plan. NULL and NaN
+order values never enter the cut points; NULL rows come first and NaN rows last, in slices
+of their own, as in Spark's ascending order.
 
 The cut points are literals of the plan, so a task that is run again after a lost
 executor puts every row into the same slice.
@@ -19,6 +20,7 @@ executor puts every row into the same slice.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -27,54 +29,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE = "__slice"
-MAX_SLICES = 8192
-# Rows of one group that a single task may sort.
-GROUP_LIMIT = 1_000_000
+# Slice of the rows without an order value: before all others.
+NULL_SLICE = -1.0
 
 
 def slice_count(spark: SparkSession) -> int:
-    """Number of slices: one per shuffle partition, bounded so that offsets stay small."""
-    return max(4, min(MAX_SLICES, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """Number of slices: one per shuffle partition."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _number(value: str) -> Column:
+    return F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
 
 
 def cut_points(df: DataFrame, value: str, slices: int | None = None) -> list[float]:
     """Values that cut the rows of `df` into slices of about equal size (repeats are kept)."""
     n = slices or slice_count(df.sparkSession)
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, max(1000, 20 * n)).alias("q")).first()
+    row = df.agg(F.percentile_approx(_number(value), probs, max(1000, 20 * n)).alias("q")).first()
     return sorted(row["q"] or [])
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def group_cuts(df: DataFrame, value: str, by: Sequence[str]) -> list[float]:
-    """Cut points if some group is too large for one task, otherwise none."""
-    if by and largest_group(df, by) <= GROUP_LIMIT:
-        return []
-    return cut_points(df, value)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input comes in fewer partitions than there are (one small file);
-    an input that is spread already is not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_slice(df: DataFrame, value: str, cuts: Sequence[float], out: str = SLICE) -> DataFrame:
     """Add the slice number of `value`: bisection over the cut points, in the JVM."""
     edges = sorted(set(cuts))
     if not edges:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.when(F.col(value).isNull(), NULL_SLICE).when(F.isnan(F.col(value).cast("double")), 1.0).otherwise(0.0))
     key = f"{out}_key"
     cutter = Bucketizer(
         splits=[float("-inf"), *edges, float("inf")], inputCol=key, outputCol=out, handleInvalid="keep"
     )
-    return cutter.transform(df.withColumn(key, F.col(value).cast("double"))).drop(key)
+    placed = cutter.transform(df.withColumn(key, F.col(value).cast("double"))).drop(key)
+    return placed.withColumn(out, F.when(F.col(value).isNull(), NULL_SLICE).otherwise(F.col(out)))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -88,7 +74,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def _attach(rows: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
     if not by:
-        # One row per slice: bounded by MAX_SLICES.
+        # One row per slice.
         return rows.join(F.broadcast(offsets), SLICE)
     return join_null_safe(rows, offsets, [*by, SLICE])
 
@@ -108,17 +94,7 @@ def running_sums(
     Rows should be unique per (by, order, tie). Heavy values of `order` should be
     grouped first; `row_ranks` handles rows that cannot be grouped.
     """
-    cuts = group_cuts(df, order, by) if cuts is None else cuts
-    if by and not cuts:
-        w = Window.partitionBy(*by)
-        up = w.orderBy(order, *tie)
-        run = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
-            "*",
-            *[F.sum(s).over(run).alias(f"{s}_run") for s in sums],
-            *[F.sum(s).over(w).alias(f"{s}_all") for s in sums],
-            *([F.lead(order).over(up).alias(next_as)] if next_as else []),
-        )
+    cuts = cut_points(df, order) if cuts is None else cuts
     rows = with_slice(df, order, cuts)
     firsts = [F.min(order).alias("__first")] if next_as else []
     totals = rows.groupBy(*by, SLICE).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums], *firsts)
@@ -159,7 +135,7 @@ def running_min(
     """Add the inclusive running minimum (or maximum) of `value`, any orderable type; rows
     with equal `order` see each other."""
     pick, join = (F.max, F.greatest) if largest else (F.min, F.least)
-    cuts = group_cuts(df, order, by) if cuts is None else cuts
+    cuts = cut_points(df, order) if cuts is None else cuts
     rows = with_slice(df.withColumn("__v", value), order, cuts)
     lows = rows.groupBy(*by, SLICE).agg(pick("__v").alias("__low"))
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -180,22 +156,27 @@ def row_ranks(df: DataFrame, order: str, tie: str, out: str, descending: bool =
     """Number the rows from 1 by (`order`, `tie`) over the whole table.
 
     `order` and `tie` are numeric, `tie` unique among equal `order` values. A value that
-    repeats among the cut points holds more than one slice of the rows; such values get
-    slices of their own, cut again by `tie`.
+    repeats k times among the cut points fills k slices or more; it gets a slice of its own,
+    cut again into k + 1 pieces by `tie`, and so does NULL. There are thus at most 4n pieces.
     """
     n = slice_count(df.sparkSession)
     first = cut_points(df, order, n)
-    heavy = sorted({v for v in first if first.count(v) > 1})
+    missing = df.agg(F.avg(F.col(order).isNull().cast("double"))).first()[0] or 0.0
+    repeats = {v: k for v, k in Counter(first).items() if k > 1}
+    if missing > 0:
+        repeats[None] = int(missing * n) + 1
     sign = F.lit(-1.0) if descending else F.lit(1.0)
-    rows = with_slice(df, order, first)
-    if heavy:
+    rows = with_slice(df, order, first).withColumn("__part", F.lit(1))
+    if repeats:
         rows = with_slice(rows, tie, cut_points(df, tie, n), out="__sub")
-        is_heavy = F.col(order).cast("double").isin(heavy)
+        # At most one row per cut point.
+        heavy = df.sparkSession.createDataFrame([(v, k + 1) for v, k in repeats.items()], "__heavy double, __pieces int")
+        rows = rows.join(F.broadcast(heavy), F.col(order).cast("double").eqNullSafe(F.col("__heavy")), "left")
         # A heavy value is the lower edge of its slice: in ascending order it comes first.
-        rows = rows.withColumn("__part", F.when(is_heavy, 0).otherwise(1))
-        rows = rows.withColumn("__sub", F.when(is_heavy, F.col("__sub")).otherwise(0.0))
+        rows = rows.withColumn("__part", F.when(F.col("__pieces").isNull(), 1).otherwise(0))
+        rows = rows.withColumn("__sub", F.when(F.col("__part") == 0, F.floor(F.col("__sub") * F.col("__pieces") / n)).otherwise(0))
     else:
-        rows = rows.withColumn("__part", F.lit(1)).withColumn("__sub", F.lit(0.0))
+        rows = rows.withColumn("__sub", F.lit(0))
     cells = [SLICE, "__part", "__sub"]
     sizes = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy(F.col(SLICE) * sign, F.col("__part") * sign, "__sub").rowsBetween(
@@ -205,7 +186,7 @@ def row_ranks(df: DataFrame, order: str, tie: str, out: str, descending: bool =
     key = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*cells).orderBy(key, tie)
     numbered = rows.withColumn("__k", F.row_number().over(inside))
-    # At most one row per slice, plus `n` per heavy value: a bounded table.
+    # At most 4n rows.
     return numbered.join(F.broadcast(starts), cells).select(
         *df.columns, (F.col("__k") + F.col("__start")).cast("bigint").alias(out)
     )
@@ -233,7 +214,7 @@ def quantiles(
     """
     names = names or [f"q{round(p * 100)}" for p in probs]
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    run = running_sums(counts, value, ["__c"], by=by, cuts=group_cuts(df.where(F.col(value).isNotNull()), value, by) if cuts is None else cuts)
+    run = running_sums(counts, value, ["__c"], by=by, cuts=cut_points(df, value) if cuts is None else cuts)
     aggs = []
     for p, name in zip(probs, names):
         pos = (F.col("__c_all") - 1) * F.lit(float(p))

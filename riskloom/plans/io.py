@@ -159,10 +159,16 @@ def _(t: Tables):
     return J.run_to_table(J.stream_drift(e, "user_id", "ts", "label", "pred", threshold=5.0), mode="update")
 
 
-@case("st4_stream_dedupe", "select distinct user_id, event_type from events")
+@case(
+    "st4_stream_dedupe",
+    """with recursive e as (select user_id, event_type, {'t': ts, 'id': event_id} as r from events where epoch_ms(ts) < (select epoch_ms(max(ts)) - 1800000 from events)),
+    kept as (select user_id, event_type, min(r) as r from e group by all
+      union all select user_id, event_type, min(e.r) from kept k join e using (user_id, event_type) where e.r.t > k.r.t + interval 30 minute group by user_id, event_type)
+    select user_id, event_type, r.t as ts, r.id as event_id from kept""",
+)
 def _(t: Tables):
     e = J.file_stream(t.spark, t.folder, "events.parquet")
-    return J.run_to_table(J.stream_dedupe(e, "ts", ["user_id", "event_type"])).select("user_id", "event_type")
+    return J.run_to_table(J.stream_dedupe(e, "ts", ["user_id", "event_type"], "event_id"))
 
 
 @case(

@@ -74,9 +74,58 @@ def stream_velocity(
     )
 
 
-def stream_dedupe(df: DataFrame, ts: str, keys: Sequence[str], within: str = "30 minutes") -> DataFrame:
-    """Drop repeats of a key within the time."""
-    return event_time(df, ts, within).dropDuplicatesWithinWatermark(list(keys))
+DEDUPE_STATE = "kept bigint, times array<bigint>, ids array<bigint>"
+
+
+def stream_dedupe(
+    df: DataFrame, ts: str, keys: Sequence[str], row_id: str, within: str = "30 minutes", delay: str = "30 minutes"
+) -> DataFrame:
+    """Drop a row whose key was kept at most `within` before, by event time.
+
+    A row waits until the watermark has passed it, then the waiting rows of its key are taken by
+    (time, `row_id`): the result is the same however the rows fall into batches. State: the time
+    last kept and the rows inside the delay; it expires `within` after the key's last kept row. Rows later
+    than the delay or without a time are dropped. `row_id` is an integer.
+    """
+    span = int(pd.Timedelta(within).total_seconds() * 1e6)
+    width = len(keys)
+
+    def step(key_values: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, times, ids = state.get if state.exists else (None, [], [])
+        times, ids = list(times), list(ids)
+        if not state.hasTimedOut:
+            for rows in chunks:
+                times += rows["us"].tolist()
+                ids += rows["id"].tolist()
+        mark = state.getCurrentWatermarkMs()
+        out, wait = [], []
+        for t, i in sorted(zip(times, ids)):
+            if t // 1000 >= mark:
+                wait.append((t, i))
+            elif kept is None or t - kept > span:
+                kept = t
+                out.append((t, i))
+        if wait:
+            state.update((kept, [t for t, _ in wait], [i for _, i in wait]))
+            state.setTimeoutTimestamp(max(wait[0][0] // 1000, mark + 1))
+        elif kept is not None and (kept + span) // 1000 >= mark:
+            state.update((kept, [], []))
+            state.setTimeoutTimestamp(max((kept + span) // 1000 + 1, mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            cols = {f"k{j}": [key_values[j]] * len(out) for j in range(width)}
+            yield pd.DataFrame(cols | {"us": [t for t, _ in out], "id": [i for _, i in out]})
+
+    timed = event_time(df.where(_c(ts).isNotNull()), ts, delay)
+    slim = timed.select(*[_c(k).alias(f"k{j}") for j, k in enumerate(keys)], ts, F.unix_micros(ts).alias("us"), _c(row_id).cast("bigint").alias("id"))
+    fields = [f"k{j} {slim.schema[f'k{j}'].dataType.simpleString()}" for j in range(width)]
+    kept_rows = slim.groupBy(*[f"k{j}" for j in range(width)]).applyInPandasWithState(
+        step, ", ".join([*fields, "us bigint", "id bigint"]), DEDUPE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return kept_rows.select(
+        *[_c(f"k{j}").alias(k) for j, k in enumerate(keys)], F.timestamp_micros("us").cast("timestamp_ntz").alias(ts), _c("id").alias(row_id)
+    )
 
 
 def stream_sessions(df: DataFrame, ts: str, key: str, value: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

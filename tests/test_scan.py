@@ -1,4 +1,4 @@
-"""Distributed scans against plain Python, with the sliced path forced."""
+"""Distributed scans against plain Python."""
 
 import random
 
@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from riskloom.operators import scan as S
 
 
-@pytest.fixture()
-def sliced(monkeypatch):
-    monkeypatch.setattr(S, "GROUP_LIMIT", 0)
-
-
 def rows(n=400, seed=1):
     rnd = random.Random(seed)
     # A third of the rows share one group and one value.
     return [("hot" if i % 3 == 0 else f"g{i % 7}", 5.0 if i % 3 == 1 else rnd.choice([0.5, 1.5, rnd.random() * 10]), i) for i in range(n)]
 
 
-def test_running_sums_equal_a_loop(spark, sliced):
+def test_running_sums_equal_a_loop(spark):
     data = rows()
     df = spark.createDataFrame(data, "g string, v double, i bigint")
     per = df.groupBy("g", "v").agg(F.count("*").alias("n"))
@@ -33,14 +28,7 @@ def test_running_sums_equal_a_loop(spark, sliced):
             assert got[(g, v)] == (seen, sum(1 for d in data if d[0] == g), nxt)
 
 
-def test_sliced_and_plain_paths_agree(spark, monkeypatch):
-    df = spark.createDataFrame(rows(), "g string, v double, i bigint")
-    plain = S.quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], by=["g"]).orderBy("g").collect()
-    monkeypatch.setattr(S, "GROUP_LIMIT", 0)
-    assert S.quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], by=["g"]).orderBy("g").collect() == plain
-
-
-def test_quantiles_interpolate(spark, sliced):
+def test_quantiles_interpolate(spark):
     import numpy as np
 
     data = rows()
@@ -58,6 +46,25 @@ def test_row_ranks_with_a_heavy_value(spark, descending):
     assert got == {d[2]: k + 1 for k, d in enumerate(order)}
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_row_ranks_with_many_heavy_values_nulls_and_nans(spark, descending):
+    rnd = random.Random(5)
+    data = [(rnd.choice([None, float("nan"), *[k / 100 for k in range(100)]]) if i % 3 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(data, "v double, i bigint").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r.i: r.k for r in S.row_ranks(df, "v", "i", "k", descending=descending).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+    def place(d):  # NULL first and NaN last, turned round when descending
+        rank = (0, 0.0) if d[0] is None else (2, 0.0) if d[0] != d[0] else (1, d[0])
+        return (*[-x if descending else x for x in rank], d[1])
+
+    assert got == {d[1]: k + 1 for k, d in enumerate(sorted(data, key=place))}
+
+
 def test_running_min_of_structs(spark):
     rnd = random.Random(3)
     data = [(i, rnd.randint(0, 50)) for i in range(200)]

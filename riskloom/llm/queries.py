@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("linededup", "syncmers", "jaccard", "fmindex", "models", "language_models", "packing", "chat", "permuterm", "pivots")
+MODULES = ("linededup", "syncmers", "jaccard", "fmindex", "models", "language_models", "packing", "chat", "permuterm", "pivots", "imi")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -301,53 +299,50 @@ def class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
 
 def oversample(
     df: DataFrame, y: str, key: str, cols: Sequence[str], ratio: float = 1.0, k: int = 5, seed: int = 42,
-    bucket_length: float = 2.0, max_block: int = 256,
 ) -> DataFrame:
-    """Synthetic minority rows between a row and one of its near minority rows.
-
-    Rows are hashed by random projections (MLlib LSH) and neighbours are the k next rows of
-    the same hash block, in a block window of bounded size: a block is cut by a key hash into
-    parts of about `max_block` rows, so a block that holds a third of the rows is not one
-    group and no pairs are joined. Neighbours are therefore near, not exactly nearest.
-    Minority rows that miss a feature (NULL or NaN) have no neighbours; the others make up for
-    them, and if all of them miss one it is an error. Rows without a label are of no class.
-    Returns the original rows and the synthetic rows (`key` NULL, `synthetic` true).
+    """SMOTE: synthetic minority rows between a row and one of its k nearest minority rows.
+
+    Neighbours come from `neighbours.nearest_neighbours` on the standardised columns (random
+    projections in several tables, hot buckets cut again, top k by true distance). The minority
+    class is the one with fewest labelled rows (ties: the smaller label), the majority the one with
+    most. Rows of the minority class that miss a feature (NULL or NaN) have no neighbours; the
+    others make up for them, and if all of them miss one it is an error. `missing` = floor(ratio x
+    majority) - minority rows are made: each complete minority row makes floor(missing / n) rows,
+    and one more where its key's fraction `key_fraction` is below the remainder share, so counts
+    are known to SQL. A synthetic row is its row plus a hashed share in [0, 1) of the way to a
+    hashed one of its neighbours; a row without neighbours is copied. Rows without a label are of
+    no class. Returns the original rows and the synthetic rows (`key` NULL, `synthetic` true).
     """
+    from riskloom.operators.neighbours import nearest_neighbours
+
     full = F.lit(True)
     for c in cols:
         full &= F.col(c).isNotNull() & ~F.isnan(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    sizes = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(full, 1)).alias("n_full")).collect()
+    sizes = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(full & F.col(key).isNotNull(), 1)).alias("n_full"))
+    least = sizes.orderBy("n", y).first()
     base = df.withColumn("synthetic", F.lit(False))
-    if not sizes:
+    if least is None:
         return base
-    least = min(sizes, key=lambda r: r["n"])
-    low, missing = least[y], int(ratio * max(r["n"] for r in sizes)) - least["n"]
+    most = sizes.orderBy(F.desc("n"), y).first()
+    low, missing = least[y], int(ratio * most["n"]) - least["n"]
     if missing <= 0:
         return base
     if not least["n_full"]:
         raise ValueError(f"every row of class {low} misses one of {list(cols)}: impute first")
-    per_row = missing / least["n_full"]
-    minority = df.where((F.col(y) == F.lit(low)) & full)
+    whole, rest = divmod(missing, least["n_full"])
+    minority = df.where((F.col(y) == F.lit(low)) & full & F.col(key).isNotNull())
     stats = scale_stats(minority, cols)
-    scaled = minority.withColumns({f"__z{i}": (F.col(c).cast("double") - stats[c][0]) / stats[c][1] for i, c in enumerate(cols)})
-    vec = VectorAssembler(inputCols=[f"__z{i}" for i in range(len(cols))], outputCol="__v", handleInvalid="skip").transform(scaled)
-    lsh = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__hash", bucketLength=bucket_length, numHashTables=1, seed=seed)
-    hashed = lsh.fit(vec).transform(vec).withColumn("__block", vector_to_array(F.col("__hash")[0])[0])
-    sizes = hashed.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    cut = hashed.join(sizes, "__block").withColumn(
-        "__part", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.ceil(F.col("__n") / max_block).cast("bigint"))
-    )
-    w = Window.partitionBy("__block", "__part").orderBy(F.col("__z0"), F.col(key))
+    scaled = minority.select(F.col(key), *[((F.col(c).cast("double") - stats[c][0]) / stats[c][1]).alias(f"__z{i}") for i, c in enumerate(cols)])
+    near = nearest_neighbours(scaled, key, [f"__z{i}" for i in range(len(cols))], k=k, seed=seed)
     values = F.array(*[F.col(c).cast("double") for c in cols])
-    near = cut.withColumn("__near", F.collect_list(values).over(w.rowsBetween(1, k))).withColumn(
-        "__back", F.collect_list(values).over(w.rowsBetween(-k, -1))
-    )
-    pool = F.concat("__near", "__back", F.array(values))
-    copies = F.floor(F.lit(per_row)) + F.when(unit_hash(seed + 1, key) < per_row % 1, 1).otherwise(0)
-    drawn = near.withColumn("__pool", pool).withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))))
-    pick = F.element_at("__pool", (F.pmod(F.xxhash64(F.col(key), F.col("__copy"), F.lit(seed)), F.size("__pool")) + 1).cast("int"))
+    copies = F.lit(whole) + F.when(key_fraction(F.col(key)) < F.lit(rest / least["n_full"]), 1).otherwise(0)
+    drawn = minority.join(near, key).withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))))
+    pool = F.col("neighbours.key")
+    chosen = F.element_at(pool, (F.pmod(F.xxhash64(F.col(key), F.col("__copy"), F.lit(seed)), F.greatest(F.size(pool), F.lit(1))) + 1).cast("int"))
     gap = F.pmod(F.xxhash64(F.col("__copy"), F.col(key), F.lit(seed + 2)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    made = drawn.withColumn("__pick", pick).withColumn("__gap", gap)
+    made = drawn.withColumn("__other", chosen).withColumn("__gap", gap)
+    partner = minority.groupBy(F.col(key).alias("__other")).agg(F.first(values).alias("__pick"))
+    made = made.join(partner, "__other", "left").withColumn("__pick", F.coalesce("__pick", values))
     types = dict(df.dtypes)
     synth = made.select(
         *[
@@ -361,3 +356,10 @@ def oversample(
         F.lit(True).alias("synthetic"),
     )
     return base.unionByName(synth)
+
+
+def key_fraction(key: Column) -> Column:
+    """A number in [0, 1) from an integer key by a multiplicative hash that SQL engines share:
+    ((key mod 2^32) * 1540483477 mod 2^32) / 2^32."""
+    m = F.lit(1 << 32)
+    return F.pmod(F.pmod(key.cast("long"), m) * F.lit(1540483477), m) / F.lit(float(1 << 32))

@@ -187,6 +187,32 @@ def _(t: Tables):
     )
 
 
+COMPLETE = "credit_score is not null and not isnan(credit_score::double) and debt_to_income is not null and not isnan(debt_to_income::double) and loan_id is not null"
+
+
+@case(
+    "c15_oversample_counts",
+    f"""with l as (select loan_id, {LABEL} as y, credit_score, debt_to_income from loans),
+    s as (select y, count(*) as n, count(*) filter (where {COMPLETE}) as n_full from l where y is not null group by y),
+    lo as (select * from s order by n, y limit 1),
+    hi as (select * from s order by n desc, y limit 1),
+    m as (select lo.y, lo.n_full, floor(0.5 * hi.n)::bigint - lo.n as missing from lo, hi),
+    c as (
+      select m.y, m.missing // m.n_full + case when
+        ((l.loan_id % 4294967296 + 4294967296) % 4294967296 * 1540483477 % 4294967296) / 4294967296e0 < (m.missing % m.n_full) / m.n_full::double
+        then 1 else 0 end as copies
+      from m join l on l.y = m.y and {COMPLETE} where m.missing > 0
+    )
+    select y as default_status, false as synthetic, count(*) as n from l group by y
+    union all
+    select y, true, sum(copies) as n from c group by y having sum(copies) > 0""",
+)
+def _(t: Tables):
+    df = L.default_label(t.loans).select("loan_id", "default_status", "credit_score", "debt_to_income")
+    more = P.oversample(df, "default_status", "loan_id", ["credit_score", "debt_to_income"], ratio=0.5)
+    return more.groupBy("default_status", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @case(
     "c16_class_weights",
     f"""with l as (select loan_id, {LABEL} as y from loans), n as (select y, count(*) as c from l group by y)

@@ -158,3 +158,51 @@ def test_chi_square_tail_with_many_degrees():
     for x, k in ((20, 10), (700, 600), (1800, 1700), (2500, 2000)):
         h = x / 2
         assert math.isclose(chi2_tail(x, k), sum(math.exp(i * math.log(h) - h - math.lgamma(i + 1)) for i in range(k // 2)), rel_tol=1e-9)
+
+
+def test_neighbours_against_all_pairs(spark):
+    import numpy as np
+
+    from riskloom.operators.neighbours import nearest_neighbours
+
+    rng = np.random.default_rng(3)
+    pts = np.vstack([rng.normal(size=(1500, 2)), np.zeros((300, 2)), rng.normal(5, 0.01, size=(200, 2))])
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(pts)] + [(5000, None, 1.0), (None, 1.0, 1.0), (5001, float("nan"), 0.0)]
+    got = {r.k: [n.key for n in r.neighbours] for r in nearest_neighbours(spark.createDataFrame(rows, "k long, a double, b double"), "k", ["a", "b"]).collect()}
+    assert set(got) == set(range(len(pts)))
+    d = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    hits = total = 0
+    for i, found in got.items():
+        assert len(found) <= 5 and i not in found
+        kth = np.sort(d[i])[4]
+        hits += sum(d[i, j] <= kth + 1e-12 for j in found)
+        total += 5
+    assert hits / total >= 0.9
+
+
+def test_smote_rows_lie_between_a_row_and_a_near_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i < 300), float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(2000, 2)))]
+    out = P.oversample(spark.createDataFrame(rows, "k long, y int, a double, b double"), "y", "k", ["a", "b"], ratio=1.0)
+    made = np.array([(r.a, r.b) for r in out.where("synthetic").collect()])
+    assert len(made) == 1700 - 300
+    base = np.array([(a, b) for _, y, a, b in rows if y == 1])
+    z = (base - base.mean(0)) / base.std(0)
+    d = ((z[:, None, :] - z[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1)[:, :5]
+    ok = 0
+    for p in made:
+        for i in range(len(base)):
+            for j in near[i]:
+                u, v = p - base[i], base[j] - base[i]
+                if abs(u[0] * v[1] - u[1] * v[0]) < 1e-9 and -1e-9 <= u @ v <= v @ v + 1e-9:
+                    ok += 1
+                    break
+            else:
+                continue
+            break
+    assert ok / len(made) >= 0.9

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as X
@@ -12,6 +13,7 @@ from riskloom.plans.scalars import sql_any, sql_first, sql_list
 from riskloom.plans.tables import VIEWS, Tables
 from riskloom.session import scratch_dir
 from riskloom.sources import tables as S
+from riskloom.streaming import drift_state as D
 from riskloom.streaming import jobs as J
 
 
@@ -150,13 +152,43 @@ def _(t: Tables):
     return J.run_to_table(J.stream_velocity(J.file_stream(t.spark, t.folder, "events.parquet"), "ts", ["event_type"], "value"))
 
 
-@case("st3_stream_drift")
-def _(t: Tables):
-    e = J.file_stream(t.spark, t.folder, "events.parquet").select(
+DRIFT_SQL = """with e as (
+  select user_id::varchar as key, ts::timestamp as ts, (case when event_id % 5 = 0 then 1 else 0 end)::double as y, (event_id % 7) / 7e0 as p
+  from events where user_id is not null and ts is not null
+),
+a as (
+  select *, abs(y - p) as e, row_number() over w as n, sum(abs(y - p)) over w as total,
+    sum(case when (p >= 0.5) <> (y = 1) then 1 else 0 end) over w as wrong
+  from e window w as (partition by key order by ts, p, y rows between unbounded preceding and current row)
+),
+b as (select *, sum(e - total / n - 0.005) over w as ph, wrong / n as rate from a window w as (partition by key order by ts, p, y rows between unbounded preceding and current row)),
+c as (
+  select *, least(0, min(ph) over w) as low, sqrt(rate * (1 - rate) / n) as s, case when n > 30 then rate + sqrt(rate * (1 - rate) / n) end as rs
+  from b window w as (partition by key order by ts, p, y rows between unbounded preceding and current row)
+),
+d as (select *, min(rs) over w as m, arg_min(s, case when rs is not null then (rs, n) end) over w as sm from c window w as (partition by key order by ts, p, y rows between unbounded preceding and current row))
+select key, max(n) as n, arg_max(total, n) / max(n) as mean_error, arg_max(ph - low, n) as page_hinkley, bool_or(ph - low > 5.0) as ph_drift,
+  case when bool_or(rs > m + 2 * sm) then 'drift' when bool_or(rs > m + sm) then 'warning' else 'stable' end as ddm_level
+from d group by key"""
+
+
+def _drift_input(df: DataFrame) -> DataFrame:
+    return df.select(
         "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 5 == 0).cast("int").alias("label"),
         (F.col("event_id") % 7 / 7.0).alias("pred"),
     )
-    return J.run_to_table(J.stream_drift(e, "user_id", "ts", "label", "pred", threshold=5.0), mode="update")
+
+
+@case("st3_stream_drift", DRIFT_SQL, r6="mean_error page_hinkley")
+def _(t: Tables):
+    source = _drift_input(J.file_stream(t.spark, t.folder, "events.parquet"))
+    emitted = D.run_bounded(source, lambda s: D.drift_monitor(s, "user_id", "ts", "label", "pred", threshold=5.0), "ts")
+    return D.last_rows(emitted)
+
+
+@case("st3_drift_batch", DRIFT_SQL, r6="mean_error page_hinkley")
+def _(t: Tables):
+    return D.drift_batch(_drift_input(t.events), "user_id", "ts", "label", "pred", threshold=5.0)
 
 
 @case(

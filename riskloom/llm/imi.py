@@ -24,8 +24,11 @@ vec_id is divisible by 7. Anchors are rows whose vec_id is divisible by `every`.
 
 Sizes: the codebooks have k = ceil(sqrt(rows / `rows_per_cell`)) entries (2 to `max_codes`), fitted
 on the `sample_rows` rows of smallest hash; broadcast are 2 k centroids and the cell counts (k^2 at
-most). A cell is cut into blocks of `block_rows` rows by a hash, so a cell of many copies of one
-vector is spread over many tasks; the rows themselves are never broadcast.
+most). An anchor's visits are sent per first-half code (with the list of second-half codes it takes
+there), so a round moves at most anchors x k visit rows; the rows of a code are cut into blocks of
+`block_rows` by a hash, so a code of many copies of one vector is spread over many tasks. A block
+is scored against its visiting anchors as one matrix product, and only the candidates that can
+reach the result leave the task. The rows themselves are never broadcast.
 
 Special cases: rows with a null label, a null vector, any null or non-finite component, a null
 vec_id, or a vector of another length than the sample's take no part; an anchor without positives
@@ -103,7 +106,9 @@ def cell_order(u1: np.ndarray, u2: np.ndarray, filled: set[int], k: int) -> Iter
                 heapq.heappush(heap, (-(u1[i1[x]] + u2[i2[y]]), x, y))
 
 
-def _visits(c1, r1, c2, r2, blocks: dict[int, int], budget: int, half: int) -> callable:
+def _visits(c1, r1, c2, r2, filled: set[int], blocks: dict[int, int], budget: int, half: int) -> callable:
+    """Per anchor, the first `budget` filled cells in heap order, as one row per first-half code
+    and block: (anchor, code, block, its second-half codes, bound of the next cell)."""
     k = len(c1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,16 +120,18 @@ def _visits(c1, r1, c2, r2, blocks: dict[int, int], budget: int, half: int) -> c
                 slack = 1e-6 * (1 + np.abs(q).sum())
                 u1 = c1 @ q1 + np.linalg.norm(q1) * r1 + slack
                 u2 = c2 @ q2 + np.linalg.norm(q2) * r2 + slack
-                order = cell_order(u1, u2, blocks.keys(), k)
-                cells = [c for c, _ in zip(order, range(budget))]
+                order = cell_order(u1, u2, filled, k)
+                by_code: dict[int, list[int]] = {}
+                for (cell, _), _ in zip(order, range(budget)):
+                    by_code.setdefault(cell // k, []).append(cell % k)
                 nxt = next(order, (None, NONE))[1]
-                out += [(anchor, cell, b, nxt) for cell, _ in cells for b in range(blocks[cell])]
-            yield pd.DataFrame(out, columns=["__arid", "cell", "block", "next"]).astype({"__arid": "int64", "cell": "int64", "block": "int32", "next": "float64"})
+                out += [(anchor, code, b, sorted(seconds), nxt) for code, seconds in by_code.items() for b in range(blocks[code])]
+            yield pd.DataFrame(out, columns=["__arid", "c1", "block", "seconds", "next"]).astype({"__arid": "int64", "c1": "int32", "block": "int32", "next": "float64"})
 
     return run
 
 
-def hard_negatives(emb: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, rows_per_cell: int = 32, max_codes: int = 256, sample_rows: int = 20000, block_rows: int = 256, first_cells: int = 8) -> DataFrame:
+def hard_negatives(emb: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, rows_per_cell: int = 32, max_codes: int = 256, sample_rows: int = 20000, block_rows: int = 1024, first_cells: int = 8) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
     spark = emb.sparkSession
     rows = cut_lineage(prepared(emb).withColumn("__rid", F.monotonically_increasing_id()))
@@ -145,22 +152,20 @@ def hard_negatives(emb: DataFrame, every: int = 100, positives: int = 5, negativ
         r1[r[0]] = r[1]
     for r in placed.groupBy("c2").agg(F.max("d2")).collect():
         r2[r[0]] = r[1]
-    blocks = {int(r[0]): math.ceil(r[1] / block_rows) for r in placed.groupBy("cell").count().collect()}
-    sizes = spark.createDataFrame(list(blocks.items()), "cell long, __blocks int")
-    table = placed.join(F.broadcast(sizes), "cell").select("__rid", "vec_id", "label", "q", "cell", F.pmod(F.xxhash64("__rid"), _c("__blocks")).cast("int").alias("block"))
+    filled = {int(r[0]) for r in placed.select("cell").distinct().collect()}
+    blocks = {int(r[0]): math.ceil(r[1] / block_rows) for r in placed.groupBy("c1").count().collect()}
+    sizes = spark.createDataFrame(list(blocks.items()), "c1 int, __blocks int")
+    table = placed.join(F.broadcast(sizes), "c1").select("__rid", "vec_id", "label", "q", "c1", "c2", F.pmod(F.xxhash64("__rid"), _c("__blocks")).cast("int").alias("block"))
     table = cut_lineage(table)
 
     todo = rows.where(_c("vec_id") % every == 0).select(_c("__rid").alias("__arid"), _c("vec_id").alias("anchor_id"), _c("label").alias("alabel"), _c("q").alias("aq"))
     todo = cut_lineage(todo)
-    score = F.aggregate(F.zip_with("aq", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
     done, budget = [], first_cells
     while todo.limit(1).count():
-        plan = todo.select("__arid", "aq").mapInPandas(_visits(c1, r1, c2, r2, blocks, budget, half), "__arid long, cell long, block int, next double")
+        plan = todo.select("__arid", "aq").mapInPandas(_visits(c1, r1, c2, r2, filled, blocks, budget, half), "__arid long, c1 int, block int, seconds array<int>, next double")
         plan = cut_lineage(plan.join(todo, "__arid"))
-        seen = plan.join(table, ["cell", "block"]).where(_c("__rid") != _c("__arid")).select("__arid", "anchor_id", "alabel", "vec_id", "label", score.alias("score"))
-        seen = cut_lineage(seen.where(_c("score").isNotNull()))
         bounds = plan.groupBy("__arid").agg(F.first("next").alias("next"))
-        found, certain = _round(seen, bounds, positives, negatives, low, high)
+        found, certain = _round(plan, table, bounds, positives, negatives, low, high)
         done.append(cut_lineage(found.join(certain, "__arid", "left_semi").drop("__arid")))
         todo = cut_lineage(todo.join(certain, "__arid", "left_anti"))
         budget *= 4
@@ -170,20 +175,70 @@ def hard_negatives(emb: DataFrame, every: int = 100, positives: int = 5, negativ
     return out
 
 
+def _scored(phase: str, positives: int, negatives: int, low: int, high: int) -> callable:
+    """Score the anchors that visit one block of one cell against its rows (an integer matrix
+    product) and keep only what can reach the result: per anchor the first `positives` rows of its
+    label ("pos"), or per anchor and positive the first `negatives` rows in its window ("neg").
+    Rows are put in vec_id order first, so a stable sort by score breaks ties by the smaller id."""
+
+    def run(key: tuple, visits: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        cols = ["__arid", "vec_id", "score"] if phase == "pos" else ["__arid", "positive_id", "negative_id", "negative_score"]
+        if not len(visits) or not len(rows):
+            return pd.DataFrame([], columns=cols).astype("int64")
+        rows = rows.sort_values("vec_id", kind="stable")
+        a = np.stack(visits["aq"].to_numpy()).astype(np.float64)
+        q = np.stack(rows["q"].to_numpy()).astype(np.float64)
+        score = np.rint(a @ q.T).astype(np.int64)  # exact: integer sums far below 2^53
+        ids, rid, lab = rows["vec_id"].to_numpy(), rows["__rid"].to_numpy(), rows["label"].to_numpy()
+        arid, alab = visits["__arid"].to_numpy(), visits["alabel"].to_numpy()
+        code = rows["c2"].to_numpy()
+        seen = np.zeros((len(visits), int(code.max()) + 1), dtype=bool)
+        for i, sec in enumerate(visits["seconds"]):
+            sec = np.asarray(sec, dtype=np.int64)
+            seen[i, sec[sec <= code.max()]] = True
+        other = (rid[None, :] != arid[:, None]) & seen[:, code]
+        same = lab[None, :] == alab[:, None]
+        if phase == "pos":
+            ok = other & same
+            top = np.argsort(np.where(ok, -score, np.iinfo(np.int64).max), axis=1, kind="stable")[:, :positives]
+            i, j = np.nonzero(np.take_along_axis(ok, top, 1))
+            k = top[i, j]
+            return pd.DataFrame({"__arid": arid[i], "vec_id": ids[k], "score": score[i, k]}).astype("int64")
+        width = max(len(p) for p in visits["pids"])
+        pids = np.array([list(p) + [0] * (width - len(p)) for p in visits["pids"]], dtype=np.int64).reshape(len(visits), width)
+        ps = np.array([list(p) + [0] * (width - len(p)) for p in visits["pscores"]], dtype=np.int64).reshape(len(visits), width)
+        real = np.arange(width)[None, :] < np.array([len(p) for p in visits["pids"]])[:, None]
+        s3 = score[:, None, :]
+        ok = (other & ~same)[:, None, :] & real[:, :, None] & (low * ps[:, :, None] <= 100 * s3) & (100 * s3 <= high * ps[:, :, None])
+        top = np.argsort(np.where(ok, -s3, np.iinfo(np.int64).max), axis=2, kind="stable")[:, :, :negatives]
+        i, m, j = np.nonzero(np.take_along_axis(ok, top, 2))
+        k = top[i, m, j]
+        return pd.DataFrame({"__arid": arid[i], "positive_id": pids[i, m], "negative_id": ids[k], "negative_score": score[i, k]}).astype("int64")
+
+    return run
+
+
 def _filled(c: np.ndarray, k: int) -> np.ndarray:
     """k centroids: a codebook of fewer distinct rows is filled with far points no row is near."""
     return np.vstack([c, np.full((k - len(c), c.shape[1]), 1e12)]) if len(c) < k else c
 
 
-def _round(seen: DataFrame, bounds: DataFrame, positives: int, negatives: int, low: int, high: int) -> tuple[DataFrame, DataFrame]:
-    """(result rows, certain anchors) from the rows scored so far and the bound of the next cell."""
+def _round(plan: DataFrame, table: DataFrame, bounds: DataFrame, positives: int, negatives: int, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+    """(result rows, certain anchors) from the cells visited so far and the bound of the next cell."""
+    keys = ["c1", "block"]
+    rows = table.select("c1", "block", "c2", "__rid", "vec_id", "label", "q")
+    visits = plan.select("c1", "block", "seconds", "__arid", "alabel", "aq")
+    pos = visits.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_scored("pos", positives, negatives, low, high), "__arid long, vec_id long, score long")
     order = Window.partitionBy("__arid").orderBy(_c("score").desc(), "vec_id")
-    pos = seen.where(_c("label") == _c("alabel")).withColumn("__r", F.row_number().over(order)).where(_c("__r") <= positives)
-    pos = pos.select("__arid", "anchor_id", _c("vec_id").alias("positive_id"), _c("score").alias("positive_score"))
-    neg = seen.where(_c("label") != _c("alabel")).select("__arid", _c("vec_id").alias("negative_id"), _c("score").alias("negative_score"))
-    win = pos.join(neg, "__arid").where((low * _c("positive_score") <= 100 * _c("negative_score")) & (100 * _c("negative_score") <= high * _c("positive_score")))
+    pos = pos.withColumn("__r", F.row_number().over(order)).where(_c("__r") <= positives)
+    pos = cut_lineage(pos.select("__arid", _c("vec_id").alias("positive_id"), _c("score").alias("positive_score")))
+    lists = pos.groupBy("__arid").agg(F.collect_list("positive_id").alias("pids"), F.collect_list("positive_score").alias("pscores"))
+    asked = visits.join(lists, "__arid")
+    neg = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(_scored("neg", positives, negatives, low, high), "__arid long, positive_id long, negative_id long, negative_score long")
     w2 = Window.partitionBy("__arid", "positive_id").orderBy(_c("negative_score").desc(), "negative_id")
-    found = win.withColumn("rank", F.row_number().over(w2)).where(_c("rank") <= negatives)
+    neg = neg.withColumn("rank", F.row_number().over(w2)).where(_c("rank") <= negatives)
+    anchors = plan.select("__arid", "anchor_id").distinct()
+    found = neg.join(pos, ["__arid", "positive_id"]).join(anchors, "__arid")
     found = cut_lineage(found.select("__arid", "anchor_id", "positive_id", _c("rank").cast("int"), "negative_id", "positive_score", "negative_score"))
     exhausted = _c("next") <= NONE
     pos_state = pos.groupBy("__arid").agg(F.count(F.lit(1)).alias("__np"), F.min("positive_score").alias("__last"))

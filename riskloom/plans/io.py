@@ -152,10 +152,13 @@ def _(t: Tables):
     return J.run_to_table(J.stream_velocity(J.file_stream(t.spark, t.folder, "events.parquet"), "ts", ["event_type"], "value"))
 
 
-DRIFT_SQL = """with e as (
+DRIFT_SQL = """with e0 as (
   select user_id::varchar as key, ts::timestamp as ts, (case when event_id % 5 = 0 then 1 else 0 end)::double as y, (event_id % 7) / 7e0 as p
   from events where user_id is not null and ts is not null
 ),
+g0 as (select *, case when epoch_ms(ts) - epoch_ms(lag(ts) over (partition by key order by ts, p, y)) > 2592000000 then 1 else 0 end as gap from e0),
+g as (select *, sum(gap) over (partition by key order by ts, p, y rows between unbounded preceding and current row) as run from g0),
+e as (select * from g qualify run = max(run) over (partition by key)),
 a as (
   select *, abs(y - p) as e, row_number() over w as n, sum(abs(y - p)) over w as total,
     sum(case when (p >= 0.5) <> (y = 1) then 1 else 0 end) over w as wrong

@@ -6,7 +6,8 @@ watermark passes them and are then taken in event-time order (ties: prediction,
 the order is that of the events, whatever files or batches they came in; only the rows inside the
 watermark delay are ever held, never the whole key of a batch. The statistics are a typed value
 state of ten fields. A key that sees no row for `timeout` after its last one has its state
-removed by a timer; a later row starts it afresh.
+removed by a timer; a later row starts it afresh (the same holds inside one batch: a row more than
+`timeout` after the one before restarts the key, so expiry does not depend on batching).
 
 `run_bounded` drives such a stream over a finite input: once all files are read, an end-of-input
 marker (a row with a NULL key at the largest timestamp) moves the watermark past every row, the
@@ -46,10 +47,13 @@ def start_stats() -> tuple:
     return (0, 0.0, 0.0, 0.0, 0, float("inf"), float("inf"), False, "stable", None)
 
 
-def advance(stats: tuple, rows: list[tuple[int, float, float]], delta: float, threshold: float) -> tuple:
-    """The statistics after `rows` (time, label, prediction), taken in the order given."""
+def advance(stats: tuple, rows: list[tuple[int, float, float]], delta: float, threshold: float, timeout: int) -> tuple:
+    """The statistics after `rows` (time in ms, label, prediction), taken in the order given; a
+    row more than `timeout` after the one before starts the key afresh."""
     n, total, ph, low, wrong, p_min, s_min, hit, level, last = stats
     for t, y, p in rows:
+        if last is not None and t - last > timeout:
+            n, total, ph, low, wrong, p_min, s_min, hit, level, last = start_stats()
         err = abs(y - p)
         n += 1
         total += err
@@ -99,7 +103,7 @@ class DriftProcessor(StatefulProcessor):
         due = sorted((r for r in waiting if r[0] <= mark), key=lambda r: (r[0], r[2], r[1]))
         stats = self.stats.get() if self.stats.exists() else start_stats()
         if due:
-            stats = advance(tuple(stats), due, self.delta, self.threshold)
+            stats = advance(tuple(stats), due, self.delta, self.threshold, self.timeout)
             self.stats.update(stats)
             rest = [r for r in waiting if r[0] > mark]
             self.pending.put(rest) if rest else self.pending.clear()
@@ -155,11 +159,16 @@ def last_rows(emitted: DataFrame) -> DataFrame:
     return emitted.groupBy("key").agg(F.max_by(F.struct("n", "mean_error", "page_hinkley", "ph_drift", "ddm_level"), "n").alias("s")).select("key", "s.*")
 
 
-def drift_batch(df: DataFrame, key: str, ts: str, label: str, pred: str, delta: float = 0.005, threshold: float = 50.0) -> DataFrame:
-    """The same per-key result over a whole table, by running windows in event order."""
+def drift_batch(df: DataFrame, key: str, ts: str, label: str, pred: str, delta: float = 0.005, threshold: float = 50.0, timeout_ms: int = 30 * 86_400_000) -> DataFrame:
+    """The same per-key result over a whole table, by running windows in event order over the
+    last run of rows of each key without a gap of more than `timeout_ms`."""
     rows = df.select(
         _c(key).cast("string").alias("key"), _c(ts).cast("timestamp").alias("__ts"), _c(label).cast("double").alias("__y"), _c(pred).cast("double").alias("__p"),
     ).where("key is not null and __ts is not null and __y is not null and __p is not null")
+    first = Window.partitionBy("key").orderBy("__ts", "__p", "__y")
+    gap = F.unix_millis("__ts") - F.unix_millis(F.lag("__ts").over(first)) > timeout_ms
+    rows = rows.withColumn("__run", F.sum(F.coalesce(gap, F.lit(False)).cast("long")).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("__last", F.max("__run").over(Window.partitionBy("key"))).where(_c("__run") == _c("__last"))
     order = Window.partitionBy("key").orderBy("__ts", "__p", "__y")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__e", F.abs(_c("__y") - _c("__p"))).withColumn("__n", F.row_number().over(order))

@@ -39,3 +39,64 @@ def test_dedupe_by_event_time(spark, tmp_path, files, per_batch):
     got = [r.id for r in J.run_to_table(J.stream_dedupe(stream, "ts", ["k"], "id")).collect()]
     assert len(got) == len(set(got))
     assert set(got) == kept(data)
+
+
+def _drift_rows(spark, folder):
+    from pyspark.sql import functions as F
+
+    return spark.read.parquet(f"{folder}/events.parquet").select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 5 == 0).cast("int").alias("label"), (F.col("event_id") % 7 / 7.0).alias("pred")
+    )
+
+
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_drift_stream_equals_its_batch_twin(spark, tmp_path, files):
+    from pyspark.sql import functions as F
+
+    from riskloom.streaming import drift_state as D
+    from riskloom.streaming.jobs import file_stream
+
+    rows = _drift_rows(spark, "/root/testdata/sf0.001")
+    cuts = list(rows.select(F.percentile_approx(F.unix_micros("ts"), [i / files for i in range(1, files)])).first()[0]) if files > 1 else []
+    edges = [None, *cuts, None]
+    for i in range(files):
+        part = rows
+        if edges[i] is not None:
+            part = part.where(F.unix_micros("ts") > edges[i])
+        if edges[i + 1] is not None:
+            part = part.where(F.unix_micros("ts") <= edges[i + 1])
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        for f in (tmp_path / "in" / str(i)).glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"part{i}.parquet")
+    source = file_stream(spark, str(tmp_path / "in"), "part*.parquet", files_per_batch=1)
+    got = D.last_rows(D.run_bounded(source, lambda s: D.drift_monitor(s, "user_id", "ts", "label", "pred", threshold=5.0), "ts")).collect()
+    want = D.drift_batch(rows, "user_id", "ts", "label", "pred", threshold=5.0).collect()
+    key = lambda r: r.key
+    assert len(got) == len(want) > 0
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert (g.key, g.n, g.ph_drift, g.ddm_level) == (w.key, w.n, w.ph_drift, w.ddm_level)
+        assert g.mean_error == pytest.approx(w.mean_error, abs=1e-12) and g.page_hinkley == pytest.approx(w.page_hinkley, abs=1e-9)
+
+
+def test_drift_state_expires(spark, tmp_path):
+    import datetime as dt
+
+    from riskloom.streaming import drift_state as D
+    from riskloom.streaming.jobs import file_stream
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0 + dt.timedelta(minutes=i), 1, 0.9) for i in range(40)] + [("a", t0 + dt.timedelta(days=40, minutes=i), 0, 0.2) for i in range(3)]
+    rows += [("b", t0 + dt.timedelta(days=i), 1, 0.4) for i in range(0, 50, 10)] + [(None, t0, 1, 0.5), ("c", None, 1, 0.5), ("c", t0, None, 0.5)]
+    df = spark.createDataFrame(rows, "user_id string, ts timestamp, label int, pred double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = file_stream(spark, f"{tmp_path}/in", "*.parquet")
+    got = {r.key: r for r in D.last_rows(D.run_bounded(source, lambda s: D.drift_monitor(s, "user_id", "ts", "label", "pred", timeout_ms=30 * 86_400_000), "ts")).collect()}
+    assert got["a"].n == 3 and got["a"].mean_error == pytest.approx(0.2)
+    assert got["b"].n == 5 and "c" not in got and set(got) == {"a", "b"}
+
+
+def test_drift_batch_of_nothing(spark):
+    from riskloom.streaming import drift_state as D
+
+    empty = spark.createDataFrame([], "user_id long, ts timestamp, label int, pred double")
+    assert D.drift_batch(empty, "user_id", "ts", "label", "pred").count() == 0

@@ -386,6 +386,32 @@ def _(t: Tables):
     return t.spark.createDataFrame([(log["action"], float(log["old_auc"]), float(log["new_auc"]))], "action string, old_auc double, new_auc double")
 
 
+def retrain_cycle_log(t: Tables):
+    """The cycle run six times on one registry: skip, first model, better model, same model,
+    two rollbacks. Property test: tests/test_operators.py::test_retrain_cycle_actions."""
+    from riskloom.operators import registry as R
+
+    train, val, test = split(t)
+    reg = R.Registry(t.spark)
+    logistic = lambda d: M.fit_logistic(d)
+    weak = lambda d: M.fit_forest(d, trees=1, depth=1)
+    R.retrain_cycle(reg, {"retrain_needed": False, "action": "continue_monitoring", "urgency": "none"}, logistic, train, val, test, M.score)
+    R.retrain_cycle(reg, {"retrain_needed": True, "urgency": "scheduled"}, weak, train, val, test, M.score)
+    R.retrain_cycle(reg, {"retrain_needed": True, "urgency": "immediate"}, logistic, train, val, test, M.score)
+    R.retrain_cycle(reg, {"retrain_needed": True, "urgency": "immediate"}, logistic, train, val, test, M.score)
+    R.rollback(reg)
+    R.rollback(reg)
+    return reg, reg.log().select(
+        "seq", "action", "urgency", "old_auc", "new_auc", "improvement",
+        F.coalesce(F.col("version_before") != F.col("version_after"), F.col("version_after").isNotNull()).alias("pointer_moved"),
+    )
+
+
+@case("d25_retrain_cycle")
+def _(t: Tables):
+    return retrain_cycle_log(t)[1]
+
+
 @case("s11_save_load_model")
 def _(t: Tables):
     df = data(t)

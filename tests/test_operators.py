@@ -206,3 +206,17 @@ def test_smote_rows_lie_between_a_row_and_a_near_one(spark):
                 continue
             break
     assert ok / len(made) >= 0.9
+
+
+def test_retrain_cycle_actions(tables):
+    from riskloom.plans.models import retrain_cycle_log
+
+    reg, log = retrain_cycle_log(tables)
+    rows = sorted(log.collect(), key=lambda r: r.seq)
+    assert [r.action for r in rows] == ["skip", "replaced", "replaced", "kept", "rollback", "rollback"]
+    assert [r.pointer_moved for r in rows] == [False, True, True, False, True, True]
+    assert rows[2].new_auc > rows[2].old_auc and rows[3].new_auc == pytest.approx(rows[3].old_auc, abs=1e-3)
+    full = sorted(reg.log().collect(), key=lambda r: r.seq)
+    first, second = full[1].version_after, full[2].version_after
+    assert full[4].version_after == first and full[5].version_after == second and reg.current() == second
+    assert reg.load() is not None and reg.load(first) is not None

@@ -127,6 +127,18 @@ def _(t: Tables):
     return all_metrics(reduce(lambda a, b: a.unionByName(b), rows), by=["loan_type"]).select("loan_type", *SHOWN)
 
 
+@case("m9_grouped_logistic")
+def _(t: Tables):
+    """All loan types fitted at once by IRLS, then scored and measured per type. Property test:
+    tests/test_operators.py::test_grouped_logistic_equals_single_fits."""
+    from riskloom.operators.grouped import fit_logistic_groups, score_groups
+
+    df = default_label(t.loans, out="y").select("loan_id", "loan_type", "y", *FEATURES)
+    models = cut_lineage(fit_logistic_groups(df, "loan_type", FEATURES))
+    scored = score_groups(df, models, "loan_type", FEATURES).where(F.col("p").isNotNull())
+    return all_metrics(scored, by=["loan_type"]).select("loan_type", *SHOWN)
+
+
 @case("m10_score")
 def _(t: Tables):
     df = data(t)

@@ -220,3 +220,53 @@ def test_retrain_cycle_actions(tables):
     first, second = full[1].version_after, full[2].version_after
     assert full[4].version_after == first and full[5].version_after == second and reg.current() == second
     assert reg.load() is not None and reg.load(first) is not None
+
+
+def _newton(x, y, w, lam):
+    import numpy as np
+
+    xt = np.hstack([np.ones((len(x), 1)), x])
+    b = np.zeros(xt.shape[1])
+    pen = np.ones(xt.shape[1])
+    pen[0] = 0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(xt @ b)))
+        g = xt.T @ (w * (p - y)) / w.sum() + lam * pen * b
+        h = (xt * (w * p * (1 - p))[:, None]).T @ xt / w.sum() + lam * np.diag(pen)
+        step = np.linalg.solve(h, g)
+        b -= step
+        if np.abs(step).max() < 1e-12:
+            break
+    return b
+
+
+def test_grouped_logistic_equals_single_fits(spark, tables):
+    import numpy as np
+
+    from riskloom.operators.grouped import fit_logistic_groups, score_groups
+
+    feats = ["credit_score", "debt_to_income", "months_since_issue"]
+    schema = "loan_type string, y int, credit_score double, debt_to_income double, months_since_issue double"
+    base = default_label(tables.loans, out="y").selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in schema.split(", ")])
+    extra = spark.createDataFrame([(None, i % 2, 600.0 + i, 0.1 * (i % 7), float(i % 30)) for i in range(150)] + [("one", 1, 700.0, 0.2, 3.0)] * 120, schema)
+    df = base.unionByName(extra)
+    models = {r.loan_type: r for r in fit_logistic_groups(df, "loan_type", feats, least_rows=100).collect()}
+    rows = df.collect()
+    assert not models["one"].fitted and models["one"].coefficients is None
+    checked = 0
+    for key, m in models.items():
+        part = [r for r in rows if r.loan_type == key and r.y is not None]
+        if not m.fitted:
+            assert len(part) < 100 or len({r.y for r in part}) < 2
+            continue
+        x = np.array([[r[f] if r[f] is not None else 0.0 for f in feats] for r in part], dtype=float)
+        y = np.array([r.y for r in part], dtype=float)
+        n1 = y.sum()
+        w = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * (len(y) - n1)))
+        want = _newton(x, y, w, 1.0 / len(y))
+        got = np.array([m.intercept, *m.coefficients])
+        assert np.abs(got - want).max() <= 1e-6 * max(1.0, np.abs(want).max())
+        checked += 1
+    assert checked >= 2
+    p = score_groups(df, fit_logistic_groups(df, "loan_type", feats), "loan_type", feats)
+    assert p.where("loan_type = 'one'").where("p is not null").count() == 0 and p.where("p is not null").count() > 0

@@ -219,6 +219,39 @@ def _(t: Tables):
     return S.transitions(df, "account_id", "state")
 
 
+@case(
+    "g15_concentration_sets",
+    """with l as (
+      select loan_type, borrower_segment, risk_grade, coalesce(loan_amount::double, 0) as x,
+        coalesce(loan_amount * 1e-1 * (case when loan_type in ('mortgage', 'auto') then 25e-2 else 45e-2 end), 0) as el
+      from loans
+    ),
+    s as (select l.*, v.shock_bps from l, (values (0), (100), (200), (300)) v(shock_bps)),
+    c as (
+      select case grouping(loan_type, borrower_segment, risk_grade, shock_bps) when 6 then 'loan_type' when 10 then 'borrower_segment'
+          when 12 then 'risk_grade' when 2 then 'loan_type,borrower_segment' when 14 then 'ALL' end as level,
+        loan_type, borrower_segment, risk_grade, shock_bps, sum(x) as exposure, count(*) as loans,
+        sum(least(x, el * (1 + 1e-1 * shock_bps / 1e2))) as expected_loss
+      from s group by grouping sets ((loan_type, shock_bps), (borrower_segment, shock_bps), (risk_grade, shock_bps), (loan_type, borrower_segment, shock_bps), (shock_bps))
+    ),
+    r as (select *, exposure / sum(exposure) over (partition by level, shock_bps) as share from c),
+    k as (
+      select *, sum(share * share) over (partition by level, shock_bps) as hhi,
+        row_number() over (partition by level, shock_bps order by exposure desc, loan_type nulls first, borrower_segment nulls first, risk_grade nulls first) as rank
+      from r
+    )
+    select *, rank <= 5 as top from k""",
+    r2="exposure expected_loss",
+    r6="share hhi",
+)
+def _(t: Tables):
+    lgd = F.when(F.col("loan_type").isin("mortgage", "auto"), 0.25).otherwise(0.45)
+    df = t.loans.withColumn("el", F.col("loan_amount") * 0.1 * lgd)
+    dims = ["loan_type", "borrower_segment", "risk_grade"]
+    sets = [["loan_type"], ["borrower_segment"], ["risk_grade"], ["loan_type", "borrower_segment"], []]
+    return S.concentration_sets(df, dims, sets, "loan_amount", "el")
+
+
 @case(
     "g15_concentration",
     """with l as (select loan_type, loan_amount, loan_amount * 1e-1 * (case when loan_type in ('mortgage', 'auto') then 25e-2 else 45e-2 end) as el from loans),

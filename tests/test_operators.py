@@ -270,3 +270,17 @@ def test_grouped_logistic_equals_single_fits(spark, tables):
     assert checked >= 2
     p = score_groups(df, fit_logistic_groups(df, "loan_type", feats), "loan_type", feats)
     assert p.where("loan_type = 'one'").where("p is not null").count() == 0 and p.where("p is not null").count() > 0
+
+
+def test_concentration_sets_levels_and_shocks(spark):
+    from riskloom.operators.series import concentration_sets
+
+    rows = [("a", "x", 100.0, 10.0), ("a", "y", 50.0, 49.0), ("b", "x", 50.0, 5.0), (None, "x", None, 1.0), ("b", None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "t string, s string, amount double, loss double")
+    out = concentration_sets(df, ["t", "s"], [["t"], ["t", "s"], []], "amount", "loss", shocks_bps=(0, 200), top_n=1).collect()
+    by = {(r.level, r.t, r.s, r.shock_bps): r for r in out}
+    assert by[("ALL", None, None, 0)].exposure == 200 and by[("ALL", None, None, 0)].loans == 5
+    assert by[("t", "a", None, 0)].share == pytest.approx(0.75) and by[("t", "a", None, 0)].top and by[("t", "a", None, 0)].rank == 1
+    assert by[("t", "a", None, 0)].hhi == pytest.approx(0.75**2 + 0.25**2)
+    assert by[("t", "a", None, 200)].expected_loss == pytest.approx(10 * 1.2 + 50)  # the second row is capped at its exposure
+    assert by[("t", None, None, 0)].loans == 1 and len({r.level for r in out}) == 3

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.pricing import emi
-from riskloom.operators.scan import column_quantiles, join_null_safe, running_min
+from riskloom.operators.scan import column_quantiles, join_null_safe, running_min, running_sums
 from riskloom.operators.account import _day_pass, _over, is_income, is_spend
 
 _c = F.col
@@ -146,6 +146,30 @@ def as_of(features: DataFrame, snapshots: DataFrame, key: str, at: str, value: s
     )
 
 
+def range_counts(events: DataFrame, key: str, at: str, days: int = 30, least: int = 3, out: str = "n_in_range") -> DataFrame:
+    """For every event, the events of its key in the `days` ending at it (both ends included, ties
+    counted), and `spike` when they are at least `least` (e.g. 3 bureau inquiries in 30 days).
+
+    No window spans a key: a running count per key comes from the sliced scan (`running_sums` on
+    one row per key and instant), and the count before the range from an as-of lookup of that
+    running count just before t - days (`running_min` with `largest`, by slices of time); the
+    count in the range is their difference. A key with a third of all events is spread over the
+    slices. Rows with a NULL time are not counted and get NULL; a NULL key is a key of its own.
+    """
+    span = days * 86_400_000_000
+    t = F.unix_micros(_c(at).cast("timestamp"))
+    timed = events.where(_c(at).isNotNull())
+    per = timed.groupBy(key, t.alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
+    run = running_sums(per.withColumn("__o", _c("__t").cast("double")), "__o", ["__c"], by=[key]).select(key, "__t", "__o", "__c_run")
+    asks = run.select(key, "__t", (_c("__t").cast("double") - span - 0.5).alias("__o"), F.lit(None).cast("long").alias("__c_run"), F.lit(True).alias("__ask"))
+    both = run.select(key, "__t", "__o", "__c_run", F.lit(False).alias("__ask")).unionByName(asks)
+    seen = running_min(both, "__o", F.when(~_c("__ask"), _c("__c_run")), "__before", by=[key], largest=True)
+    before = seen.where("__ask").select(key, "__t", F.coalesce("__before", F.lit(0)).alias("__before"))
+    counts = join_null_safe(run, before, [key, "__t"]).select(key, "__t", (_c("__c_run") - _c("__before")).alias(out))
+    tagged = events.withColumn("__t", t)
+    return join_null_safe(tagged, counts, [key, "__t"], "left").withColumn("spike", _c(out) >= least).drop("__t")
+
+
 def ratio_features(txn: DataFrame, key: str = "account_id") -> DataFrame:
     """Shares and flags over an account's rows: one aggregate."""
     spend = lambda cond: F.coalesce(F.sum(F.when(is_spend() & cond, _c("amount"))), F.lit(0.0))

@@ -219,6 +219,17 @@ def _(t: Tables):
     return S.transitions(df, "account_id", "state")
 
 
+@case(
+    "g13_inquiry_spike",
+    """select event_id, user_id, ts, count(*) over (partition by user_id order by ts range between interval 30 days preceding and current row) as n_in_range,
+      count(*) over (partition by user_id order by ts range between interval 30 days preceding and current row) >= 3 as spike
+    from events where event_type = 'error' and ts is not null""",
+)
+def _(t: Tables):
+    errors = t.events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return S.range_counts(errors, "user_id", "ts").where("ts is not null")
+
+
 @case(
     "g15_concentration_sets",
     """with l as (

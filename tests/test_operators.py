@@ -284,3 +284,17 @@ def test_concentration_sets_levels_and_shocks(spark):
     assert by[("t", "a", None, 0)].hhi == pytest.approx(0.75**2 + 0.25**2)
     assert by[("t", "a", None, 200)].expected_loss == pytest.approx(10 * 1.2 + 50)  # the second row is capped at its exposure
     assert by[("t", None, None, 0)].loans == 1 and len({r.level for r in out}) == 3
+
+
+def test_range_counts_edges(spark):
+    import datetime as dt
+
+    from riskloom.operators.series import range_counts
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "a", t0), (2, "a", t0 + dt.timedelta(days=30)), (3, "a", t0 + dt.timedelta(days=30)), (4, "a", t0 + dt.timedelta(days=30, microseconds=1)),
+            (5, None, t0), (6, None, t0 + dt.timedelta(days=1)), (7, "b", None), (8, "a", t0 + dt.timedelta(days=61))]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    got = {r.id: (r.n_in_range, r.spike) for r in range_counts(df, "k", "ts").collect()}
+    assert got[1] == (1, False) and got[2] == (3, True) and got[3] == (3, True) and got[4] == (3, True)
+    assert got[5] == (1, False) and got[6] == (2, False) and got[7] == (None, None) and got[8] == (1, False)

@@ -17,14 +17,14 @@ SQL = {
     "op12_hard_negatives": """
 with r as (
   select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
-    list_transform(embedding, x -> floor(256 * x::double)::bigint) as q
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
   from embeddings
   where vec_id is not null and label is not null and embedding is not null
-    and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
 ),
 s as (
   select a.vec_id as anchor_id, a.label as alabel, r.vec_id, r.label,
-    list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * r.q[i]))::bigint as score
+    list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * r.q[i]))::bigint as score
   from r a join r on a.vec_id % 100 = 0 and r.vec_id <> a.vec_id and len(r.q) = len(a.q)
 ),
 pos as (

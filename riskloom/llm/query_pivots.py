@@ -18,8 +18,8 @@ SQL = {
 with recursive v as (select vec_id, embedding::double[] as e from embeddings),
 ok as (
   select vec_id, e from v
-  where vec_id is not null and e is not null and list_bool_and(list_transform(e, x -> x is not null and isfinite(x)))
-    and list_sum(list_transform(e, x -> x * x)) > 0
+  where vec_id is not null and e is not null and list_bool_and(list_transform(e, lambda x: x is not null and isfinite(x)))
+    and list_sum(list_transform(e, lambda x: x * x)) > 0
 ),
 links as (
   select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)

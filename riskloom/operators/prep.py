@@ -338,7 +338,7 @@ def oversample(
     copies = F.lit(whole) + F.when(key_fraction(F.col(key)) < F.lit(rest / least["n_full"]), 1).otherwise(0)
     drawn = minority.join(near, key).withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))))
     pool = F.col("neighbours.key")
-    chosen = F.element_at(pool, (F.pmod(F.xxhash64(F.col(key), F.col("__copy"), F.lit(seed)), F.greatest(F.size(pool), F.lit(1))) + 1).cast("int"))
+    chosen = F.try_element_at(pool, (F.pmod(F.xxhash64(F.col(key), F.col("__copy"), F.lit(seed)), F.greatest(F.size(pool), F.lit(1))) + 1).cast("int"))
     gap = F.pmod(F.xxhash64(F.col("__copy"), F.col(key), F.lit(seed + 2)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     made = drawn.withColumn("__other", chosen).withColumn("__gap", gap)
     partner = minority.groupBy(F.col(key).alias("__other")).agg(F.first(values).alias("__pick"))

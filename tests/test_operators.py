@@ -90,6 +90,13 @@ def test_oversample_makes_up_for_missing_features(spark):
     assert out.where("synthetic and (a is null or b is null)").isEmpty()
 
 
+def test_oversample_copies_a_row_without_neighbours(spark):
+    rows = [(i, 1, float(i % 7) / 100, float(i % 5) / 100) for i in range(60)] + [(100, 1, 1e6, -1e6)] + [(200 + i, 0, 1.0, 1.0) for i in range(400)]
+    out = P.oversample(spark.createDataFrame(rows, "k long, y int, a double, b double"), "y", "k", ["a", "b"])
+    made = out.where("synthetic and a > 10").select("a", "b").distinct().collect()
+    assert [tuple(r) for r in made] == [(1e6, -1e6)]
+
+
 def test_folds_hold_each_class_evenly(spark):
     df = spark.range(1003).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
     folds = P.kfold(df, "id", y="y").groupBy("y", "fold").count().collect()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import clip, first_match, risk_band3
 
 _c = F.col
+PART_ROWS = 1 << 18  # rows of a schedule that one task sorts
+MOST_PARTS = 20_000  # what the driver can keep track of; beyond it parts grow
 
 
 @dataclass(frozen=True)
@@ -113,7 +115,8 @@ def amortization(df: DataFrame, key: str = "loan_id", months_limit: int | None =
     """One row per loan and month, from principal, annual_rate, tenure_months.
 
     Loans are distributed by key before they are expanded, so the cumulative window finds
-    its rows in place and the expanded rows are not shuffled.
+    its rows in place and the expanded rows are not shuffled. The number of parts follows the
+    expanded rows, which are many times the loans: a part is sorted in memory, without spills.
     """
     last = _c("tenure_months") if months_limit is None else F.least("tenure_months", F.lit(months_limit))
     loans = df.select(
@@ -122,8 +125,9 @@ def amortization(df: DataFrame, key: str = "loan_id", months_limit: int | None =
         _c("annual_rate").alias("rate"),
         "tenure_months",
         emi(_c("principal"), _c("annual_rate"), _c("tenure_months")).alias("emi_0"),
-    ).repartition(key)
-    rows = loans.where(last >= 1).withColumn("month", F.explode(F.sequence(F.lit(1), last)))
+    ).where(last >= 1)
+    loans = loans.repartition(_parts(loans.agg(F.sum(last.cast("long"))).first()[0] or 0), key)
+    rows = loans.withColumn("month", F.explode(F.sequence(F.lit(1), last)))
     before = balance_after(_c("principal_0"), _c("rate"), _c("emi_0"), _c("month") - 1)
     monthly = F.when(_c("rate") > 0, _c("rate") / 12.0).otherwise(F.lit(0.0))
     rows = rows.withColumn("__b", before).withColumn("__i", _c("__b") * monthly)
@@ -145,6 +149,10 @@ def amortization(df: DataFrame, key: str = "loan_id", months_limit: int | None =
     )
 
 
+def _parts(rows: int) -> int:
+    return min(rows // PART_ROWS + 1, MOST_PARTS)
+
+
 def total_interest(principal: Column, annual_rate: Column, months: Column) -> Column:
     return F.round(emi(principal, annual_rate, months) * months - principal, 2)
 

@@ -30,6 +30,17 @@ def test_schedule_repays_the_loan(spark):
     assert out[2].n == 7 and out[2].p == pytest.approx(1000, abs=0.05)
 
 
+def test_schedule_parts_follow_the_expanded_rows(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART_ROWS", 1000, raising=False)
+    rows = [(i // 2 if i < 20 else i, 1000.0 + i, 0.1, 60) for i in range(200)] + [(None, 5.0, 0.1, 3), (7, 5.0, 0.1, 0), (8, 5.0, 0.1, None)]
+    out = R.amortization(spark.createDataFrame(rows, "loan_id bigint, principal double, annual_rate double, tenure_months int"))
+    assert out.rdd.getNumPartitions() == 13
+    assert out.count() == 200 * 60 + 3
+    last = {r.loan_id: r.p for r in out.groupBy("loan_id").agg(F.max("cumulative_principal").alias("p")).collect()}
+    assert last[3] == pytest.approx(2013, abs=1) and last[50] == pytest.approx(1050, abs=1) and last[None] == pytest.approx(5, abs=0.05)
+    assert R.amortization(spark.createDataFrame([], "loan_id bigint, principal double, annual_rate double, tenure_months int")).count() == 0
+
+
 def test_auc_of_reversed_scores(tables):
     s = tables.scored
     a = E.auc_roc(s).first()[0]

@@ -10,14 +10,12 @@ from riskloom.llm.queries import table
 from riskloom.session import cut_lineage
 
 _c = F.col
-TRUSTED_ROWS = 20_000
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of all documents; learned from `TRUSTED_ROWS` rows of quality 1 at most (those with
-    the smallest hash), whose ids go to the texts."""
-    ids = labels.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS).distinct()
-    marked = docs.join(F.broadcast(ids.withColumn("__trusted", F.lit(True))), "doc_id", "left")
+    """Scores of all documents, learned from all rows of quality 1."""
+    ids = labels.where("quality = 1").select("doc_id").distinct()
+    marked = docs.join(ids.withColumn("__trusted", F.lit(True)), "doc_id", "left")
     scores = cut_lineage(kneser_ney.perplexities(marked, F.coalesce("__trusted", F.lit(False)), _c("lang")))
     return kneser_ney.judged(scores, ids.select(_c("doc_id").cast("string").alias("id")))
 

@@ -17,6 +17,7 @@ from riskloom.llm.grams import encode, gram_counts
 from riskloom.llm.jaccard import runs_for, similarity_join
 from riskloom.llm.linededup import remove_repeated_lines
 from riskloom.llm.packing import Encoder, pack, shortest_pack_first
+from riskloom.llm.query_language_models import quality_scores
 from riskloom.llm.query_packing import RANKS
 from riskloom.llm.syncmers import edited_fingerprints, fingerprints, likeness
 from pyspark.sql import functions as F
@@ -204,6 +205,14 @@ def test_kneser_ney(docs, nothing, spark):
     assert kneser_ney.judged(rows, docs.select(F.col("doc_id").cast("string").alias("id")).where("false")).where("rejected").count() == 0
 
 
+def test_quality_learns_from_all_trusted_rows(spark):
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).unionAll(spark.createDataFrame([(None, 1), (5, 1), (99_999, 1)], "doc_id long, quality int"))
+    got = quality_scores(docs, labels)
+    assert got.count() == 21_000
+    assert got.where("trained").count() == docs.where(F.pmod(F.xxhash64("text"), F.lit(5)) != 0).count()
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 

@@ -86,25 +86,27 @@ def one_two_grams(words: Column) -> Column:
 def tfidf(df: DataFrame, key: str, text: str, terms: int = 50, least_docs: int = 2, stop: Sequence[str] | None = None) -> DataFrame:
     """(key, term, weight) of the most frequent 1- and 2-grams: smooth idf, rows of length one.
 
-    The vocabulary is `terms` rows, so it is broadcast to the counts.
+    A 2-gram is not more frequent than its first word, and comes after it in a tie: so only the
+    2-grams that begin with one of the most frequent words are counted. Terms are ranked by their
+    number among those in `least_docs` rows, and their keys counted exactly for the first ones; a
+    term whose rows have fewer keys leaves its place to the next.
     """
-    words = df.select(key, text).select(
-        key, tokens(_c(text), english_stop_words() if stop is None else stop).alias("words")
-    )
-    # Kept as a table: the vocabulary and the weights both read the counts.
-    counts = cut_lineage(
-        words.select(key, F.explode(one_two_grams(_c("words"))).alias("term")).groupBy(key, "term").agg(
-            F.count(F.lit(1)).alias("tf")
-        )
-    )
-    vocabulary = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("total"))
-        .where(_c("docs") >= least_docs)
-        .orderBy(_c("total").desc(), "term")
-        .limit(terms)
-    )
+    words = cut_lineage(df.select(key, tokens(_c(text), english_stop_words() if stop is None else stop).alias("words")))
+    wanted = terms
+    while True:
+        first = _most_frequent(words, "words", least_docs, wanted)
+        starts = [r["term"] for r in first.select("term").collect()]
+        words_and_pairs = words.select(key, "words", _pairs_from(_c("words"), starts).alias("pairs"))
+        top = first.unionByName(_most_frequent(words_and_pairs, "pairs", least_docs, wanted)).orderBy(_c("total").desc(), "term").limit(wanted).collect()
+        chosen = F.filter(F.concat("words", "pairs"), lambda g: g.isin([r["term"] for r in top]))
+        counts = cut_lineage(words_and_pairs.select(key, F.explode(chosen).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+        docs = {r["term"]: r["docs"] for r in counts.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).collect()}
+        kept = [r["term"] for r in top if docs[r["term"]] >= least_docs][:terms]
+        if len(kept) == terms or len(top) < wanted:
+            break
+        wanted *= 2
     n = df.agg(F.count(F.lit(1))).scalar()
+    vocabulary = df.sparkSession.createDataFrame([(t, docs[t]) for t in kept], "term string, docs long")
     raw = counts.join(F.broadcast(vocabulary), "term").select(
         key, "term", (_c("tf") * (F.log((1 + n) / (1 + _c("docs"))) + 1)).alias("w")
     )
@@ -112,6 +114,20 @@ def tfidf(df: DataFrame, key: str, text: str, terms: int = 50, least_docs: int =
     return raw.select(key, "term", (_c("w") / norm).alias("weight"))
 
 
+def _pairs_from(words: Column, starts: Sequence[str]) -> Column:
+    """The 2-grams that begin with one of these words."""
+    later = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.array_compact(F.zip_with(F.slice(words, F.lit(1), F.size(later)), later, lambda a, b: F.when(a.isin(list(starts)), F.concat_ws(" ", a, b))))
+
+
+def _most_frequent(rows: DataFrame, grams: str, least_rows: int, n: int) -> DataFrame:
+    """(term, total) of the n most frequent of an array column, among those in enough rows."""
+    every = rows.select(F.explode(grams).alias("term"), F.lit(1).alias("total"), F.lit(0).alias("rows"))
+    once = rows.select(F.explode(F.array_distinct(grams)).alias("term"), F.lit(0).alias("total"), F.lit(1).alias("rows"))
+    sums = every.unionByName(once).groupBy("term").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
+    return sums.where(_c("rows") >= least_rows).orderBy(_c("total").desc(), "term").limit(n).select("term", "total")
+
+
 def sentences(text: Column) -> Column:
     parts = F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")

@@ -2,8 +2,8 @@
 
 Rows are reduced to (account, month) and (account, day) sums first, with partial
 aggregation; what follows works on those small series. Medians and percentiles over single
-transactions go through `quantiles`, so that an account with a third of all rows is
-spread over the cluster.
+transactions sort an account's values in one array, or go through `quantiles` if they are many,
+so that an account with a third of all rows is spread over the cluster.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import clip
 from riskloom.operators.scan import join_null_safe, melt, quantiles
+from riskloom.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------------
 INCOME_CATEGORIES = ("salary", "business", "transfer")
@@ -29,6 +30,7 @@ CATEGORIES = (
 CHANNELS = ("NEFT", "RTGS", "UPI", "IMPS", "CHEQUE", "CASH", "ATM", "CARD")
 LOW_BALANCE = 1000
 TINY = 1e-8
+BUSY_ROWS = 1 << 16  # rows of an account that are sorted in one array
 # ---- end of fixed values ----------------------------------------------------------
 
 KEY = "account_id"
@@ -298,8 +300,51 @@ def _balance_moments(txn: DataFrame) -> DataFrame:
     )
 
 
-def _row_quantiles(txn: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Quantiles over the single rows of an account: {name: (column, probability)}."""
+def _row_quantiles(txn: DataFrame, wanted: dict[str, tuple[str, float]], large: str | None = None) -> DataFrame:
+    """Quantiles over the single rows of an account: {name: (column, probability)}; and, if `large`
+    names one of them, `large_txn_count`, the rows above it.
+
+    The values of an account are one sorted array, so rows are shuffled once. The values of an
+    account of more than `BUSY_ROWS` rows are counted and cut into slices instead."""
+    cols = sorted({c for c, _ in wanted.values()})
+    rows = txn.select(KEY, *cols)
+    busy = cut_lineage(rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n")).where(_c("__n") > BUSY_ROWS).select(KEY, F.lit(True).alias("__busy")))
+    if busy.isEmpty():
+        return _array_quantiles(rows, wanted, large)
+    rows = join_null_safe(rows, busy, [KEY], "left")
+    some = rows.where("__busy").drop("__busy")
+    sliced = _slice_quantiles(some, wanted)
+    if large:
+        sliced = join_null_safe(sliced, _large(some, wanted[large][0], sliced.select(KEY, large), large), [KEY], "left")
+    return _array_quantiles(rows.where("__busy is null").drop("__busy"), wanted, large).unionByName(sliced)
+
+
+def _array_quantiles(rows: DataFrame, wanted: dict[str, tuple[str, float]], large: str | None) -> DataFrame:
+    cols = sorted({c for c, _ in wanted.values()})
+    value = lambda c: F.nanvl(_c(c).cast("double"), F.lit(None).cast("double"))
+    per = rows.groupBy(KEY).agg(
+        *[F.collect_list(value(c)).alias(f"__v_{c}") for c in cols],
+        *[_count(F.isnan(_c(c).cast("double"))).alias(f"__nan_{c}") for c in cols],
+    )
+    per = per.withColumns({f"__v_{c}": F.array_sort(f"__v_{c}") for c in cols})
+
+    def at(c: str, p: float) -> Column:
+        """Linear interpolation between the two rows around the position."""
+        pos = (F.size(f"__v_{c}") - 1) * F.lit(float(p))
+        low, high = F.get(f"__v_{c}", F.floor(pos).cast("int")), F.get(f"__v_{c}", F.ceil(pos).cast("int"))
+        return low + (high - low) * (pos - F.floor(pos))
+
+    per = per.withColumns({name: at(c, p) for name, (c, p) in wanted.items()})
+    out = [KEY, *wanted]
+    if large:
+        c = wanted[large][0]
+        above = F.size(F.filter(f"__v_{c}", lambda x: x > _c(large))) + _c(f"__nan_{c}")
+        per = per.withColumn("large_txn_count", F.when(_c(large).isNull(), F.lit(0)).otherwise(above).cast("long"))
+        out.append("large_txn_count")
+    return per.select(*out)
+
+
+def _slice_quantiles(txn: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     cols = sorted({c for c, _ in wanted.values()})
     long = melt(txn, [KEY], cols)
     probs = sorted({p for _, p in wanted.values()})
@@ -418,24 +463,24 @@ def _sizes(txn: DataFrame) -> DataFrame:
     return txn.groupBy(KEY).agg(F.max("amount").alias("max_single_txn"), F.avg("amount").alias("avg_txn_size"))
 
 
-def _large(txn: DataFrame, limits: DataFrame) -> DataFrame:
+def _large(txn: DataFrame, column: str, limits: DataFrame, limit: str) -> DataFrame:
     """Rows above the account's own limit: amounts are counted before they meet the limit, so
     a busy account sends its distinct amounts, already reduced."""
-    amounts = txn.groupBy(KEY, "amount").agg(F.count(F.lit(1)).alias("__c"))
+    amounts = txn.groupBy(KEY, column).agg(F.count(F.lit(1)).alias("__c"))
     hit = join_null_safe(amounts, limits, [KEY])
     return hit.groupBy(KEY).agg(
-        F.sum(F.when(_c("amount") > _c("__p90"), _c("__c")).otherwise(0)).alias("large_txn_count")
+        F.sum(F.when(_c(column) > _c(limit), _c("__c")).otherwise(0)).alias("large_txn_count")
     )
 
 
-def _velocity(txn: DataFrame, m: DataFrame, limits: DataFrame) -> DataFrame:
-    wide = _side_by_side(_count_months(m), _count_days(txn), _sizes(txn), _large(txn, limits))
+def _velocity(txn: DataFrame, m: DataFrame, large: DataFrame) -> DataFrame:
+    wide = _side_by_side(_count_months(m), _count_days(txn), _sizes(txn), large)
     return wide.withColumn("large_txn_pct", _over(_zero(_c("large_txn_count"), 0).cast("double"), _c("total_txn_count")))
 
 
 def velocity_features(txn: DataFrame) -> DataFrame:
-    limits = _row_quantiles(txn, {"__p90": ("amount", 0.9)})
-    return _velocity(txn, monthly(txn), limits).select(KEY, *[_default(c) for c in VELOCITY_COLUMNS])
+    large = _row_quantiles(txn, {"__p90": ("amount", 0.9)}, large="__p90").select(KEY, "large_txn_count")
+    return _velocity(txn, monthly(txn), large).select(KEY, *[_default(c) for c in VELOCITY_COLUMNS])
 
 
 def _regularity(m: DataFrame) -> DataFrame:
@@ -636,7 +681,7 @@ def transaction_features(txn: DataFrame) -> DataFrame:
     from, the distinct pairs, and the row quantiles. All joins are on the account, which the
     parts are already partitioned by."""
     days = _day_pass(txn)
-    q = _row_quantiles(txn, {"median_balance": ("balance_after", 0.5), "__p90": ("amount", 0.9)})
+    q = _row_quantiles(txn, {"median_balance": ("balance_after", 0.5), "__p90": ("amount", 0.9)}, large="__p90")
     emi_loans = (
         txn.where((_c("transaction_type") == "emi_payment") & _c("loan_id").isNotNull())
         .select(KEY, "loan_id", _month().alias("month"))
@@ -649,7 +694,6 @@ def transaction_features(txn: DataFrame) -> DataFrame:
     wide = _side_by_side(
         _account_pass(txn), _month_pass(days), _day_stats(days), emi_loans, _merchants(txn), q
     )
-    wide = _side_by_side(wide, _large(txn, q.select(KEY, "__p90")))
     wide = wide.withColumn(
         "large_txn_pct", _over(_zero(_c("large_txn_count"), 0).cast("double"), _c("total_txn_count"))
     )

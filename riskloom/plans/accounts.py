@@ -182,7 +182,7 @@ VELOCITY_MONEY = ("max_single_txn", "avg_txn_size")
     **doubles(A.VELOCITY_COLUMNS, VELOCITY_MONEY),
 )
 def _(t: Tables):
-    return A.velocity_features(t.transactions)
+    return A.velocity_features(cut_lineage(t.transactions))
 
 
 def behavior_cte(src: str) -> str:

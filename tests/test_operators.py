@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.operators import account as A
 from riskloom.operators import drift as D
 from riskloom.operators import evaluate as E
 from riskloom.operators import graph as G
@@ -41,6 +42,23 @@ def test_schedule_parts_follow_the_expanded_rows(spark, monkeypatch):
     assert R.amortization(spark.createDataFrame([], "loan_id bigint, principal double, annual_rate double, tenure_months int")).count() == 0
 
 
+def test_account_quantiles_by_arrays_and_by_slices(tables, monkeypatch):
+    t = tables.transactions.where("account_id < 40").withColumn("amount", F.when(F.col("transaction_key") % 9 == 0, float("nan")).when(F.col("transaction_key") % 11 != 0, F.col("amount")))
+    t = t.withColumn("account_id", F.when(F.col("account_id") % 10 != 3, F.col("account_id")))
+    calls = []
+    sliced = A.quantiles
+    monkeypatch.setattr(A, "quantiles", lambda *a, **k: calls.append(1) or sliced(*a, **k))
+    few = {r.account_id: r for r in A.velocity_features(t).collect()}
+    assert not calls  # no slices for small accounts
+    monkeypatch.setattr(A, "BUSY_ROWS", 20, raising=False)
+    many = {r.account_id: r for r in A.velocity_features(t).collect()}
+    assert calls and {k: str(r) for k, r in few.items()} == {k: str(r) for k, r in many.items()}  # NaN is not equal to itself
+    assert None in few and any(r.large_txn_count for r in few.values())
+    wanted = {"m": ("balance_after", 0.5), "p": ("amount", 0.9)}
+    rows = [{(r.account_id, r.m, r.p) for r in f(t, wanted).where("m is not null or p is not null").collect()} for f in (A._row_quantiles, A._slice_quantiles)]
+    assert rows[0] == rows[1]
+
+
 def test_auc_of_reversed_scores(tables):
     s = tables.scored
     a = E.auc_roc(s).first()[0]

@@ -74,57 +74,59 @@ def stream_velocity(
     )
 
 
-DEDUPE_STATE = "kept bigint, times array<bigint>, ids array<bigint>"
+DEDUPE_STATE = "kept_keys array<string>, kept_times array<bigint>, keys array<string>, times array<bigint>, ids array<bigint>"
 
 
 def stream_dedupe(
-    df: DataFrame, ts: str, keys: Sequence[str], row_id: str, within: str = "30 minutes", delay: str = "30 minutes"
+    df: DataFrame, ts: str, keys: Sequence[str], row_id: str, within: str = "30 minutes", delay: str = "30 minutes", groups: int = 1 << 14
 ) -> DataFrame:
     """Drop a row whose key was kept at most `within` before, by event time.
 
     A row waits until the watermark has passed it, then the waiting rows of its key are taken by
-    (time, `row_id`): the result is the same however the rows fall into batches. State: the time
-    last kept and the rows inside the delay; it expires `within` after the key's last kept row. Rows later
-    than the delay or without a time are dropped. `row_id` is an integer.
+    (time, `row_id`): the result is the same however the rows fall into batches. Keys are dealt to
+    `groups` by hash, as a call for each key costs far more than its rows. State of a group: the
+    time last kept of each key and the rows inside the delay; a key's expires `within` after its
+    last kept row. Rows later than the delay or without a time are dropped. `row_id` is an
+    integer; keys are of types that their strings give back.
     """
     span = int(pd.Timedelta(within).total_seconds() * 1e6)
-    width = len(keys)
 
-    def step(key_values: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, times, ids = state.get if state.exists else (None, [], [])
-        times, ids = list(times), list(ids)
+    def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept_keys, kept_times, names, times, ids = state.get if state.exists else ([], [], [], [], [])
+        kept = dict(zip(kept_keys, kept_times))
+        rows = list(zip(times, ids, names))
         if not state.hasTimedOut:
-            for rows in chunks:
-                times += rows["us"].tolist()
-                ids += rows["id"].tolist()
+            for new in chunks:
+                rows += zip(new["us"].tolist(), new["id"].tolist(), new["key"].tolist())
         mark = state.getCurrentWatermarkMs()
         out, wait = [], []
-        for t, i in sorted(zip(times, ids)):
+        for t, i, k in sorted(rows):
             if t // 1000 >= mark:
-                wait.append((t, i))
-            elif kept is None or t - kept > span:
-                kept = t
-                out.append((t, i))
-        if wait:
-            state.update((kept, [t for t, _ in wait], [i for _, i in wait]))
-            state.setTimeoutTimestamp(max(wait[0][0] // 1000, mark + 1))
-        elif kept is not None and (kept + span) // 1000 >= mark:
-            state.update((kept, [], []))
-            state.setTimeoutTimestamp(max((kept + span) // 1000 + 1, mark + 1))
+                wait.append((t, i, k))
+            elif k not in kept or t - kept[k] > span:
+                kept[k] = t
+                out.append((k, t, i))
+        waiting = {k for _, _, k in wait}
+        kept = {k: t for k, t in kept.items() if k in waiting or (t + span) // 1000 >= mark}
+        if wait or kept:
+            state.update((list(kept), list(kept.values()), [k for _, _, k in wait], [t for t, _, _ in wait], [i for _, i, _ in wait]))
+            due = [t // 1000 for t, _, _ in wait[:1]] + [(t + span) // 1000 + 1 for k, t in kept.items() if k not in waiting]
+            state.setTimeoutTimestamp(max(min(due), mark + 1))
         elif state.exists:
             state.remove()
         if out:
-            cols = {f"k{j}": [key_values[j]] * len(out) for j in range(width)}
-            yield pd.DataFrame(cols | {"us": [t for t, _ in out], "id": [i for _, i in out]})
+            yield pd.DataFrame(out, columns=["key", "us", "id"])
 
     timed = event_time(df.where(_c(ts).isNotNull()), ts, delay)
-    slim = timed.select(*[_c(k).alias(f"k{j}") for j, k in enumerate(keys)], ts, F.unix_micros(ts).alias("us"), _c(row_id).cast("bigint").alias("id"))
-    fields = [f"k{j} {slim.schema[f'k{j}'].dataType.simpleString()}" for j in range(width)]
-    kept_rows = slim.groupBy(*[f"k{j}" for j in range(width)]).applyInPandasWithState(
-        step, ", ".join([*fields, "us bigint", "id bigint"]), DEDUPE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    kinds = {k: timed.schema[k].dataType.simpleString() for k in keys}
+    plain = [(_c(k) + F.lit(0).cast(kinds[k]) if kinds[k] in ("float", "double") else _c(k)).cast("string") for k in keys]  # no negative zero
+    slim = timed.select(F.to_json(F.array(*plain)).alias("key"), ts, F.unix_micros(ts).alias("us"), _c(row_id).cast("bigint").alias("id"))
+    kept_rows = slim.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInPandasWithState(
+        step, "key string, us bigint, id bigint", DEDUPE_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    values = F.from_json("key", "array<string>")
     return kept_rows.select(
-        *[_c(f"k{j}").alias(k) for j, k in enumerate(keys)], F.timestamp_micros("us").cast("timestamp_ntz").alias(ts), _c("id").alias(row_id)
+        *[values[j].cast(kinds[k]).alias(k) for j, k in enumerate(keys)], F.timestamp_micros("us").cast("timestamp_ntz").alias(ts), _c("id").alias(row_id)
     )
 
 

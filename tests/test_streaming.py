@@ -41,6 +41,32 @@ def test_dedupe_by_event_time(spark, tmp_path, files, per_batch):
     assert set(got) == kept(data)
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_dedupe_with_many_keys_in_a_group(spark, tmp_path, groups):
+    """Keys of several types, also null ones, that share a call and its state."""
+    rnd = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    keys = [(None, "a", 0.0), (None, None, 0.0), (1 << 60, "a", 0.5), ((1 << 60) + 1, "a", 0.5), (3, '["x', None), (3, "", 2.5)]
+    data = [(i, start + dt.timedelta(minutes=rnd.randint(0, 600), microseconds=rnd.randint(0, 9)), *rnd.choice(keys)) for i in range(400)]
+    data.sort(key=lambda r: r[1])
+    for f in range(4):
+        part = spark.createDataFrame(data[f * 100 : (f + 1) * 100], "id bigint, ts timestamp_ntz, a bigint, b string, c double")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = J.file_stream(spark, str(tmp_path / "in"), "*.parquet", 4)
+    got = J.run_to_table(J.stream_dedupe(stream, "ts", ["a", "b", "c"], "id", groups=groups))
+    assert got.schema.simpleString() == "struct<a:bigint,b:string,c:double,ts:timestamp_ntz,id:bigint>"
+    last = max(r[1] for r in data) - dt.timedelta(minutes=30)
+    want = set()
+    for key in keys:
+        before = None
+        for i, t, *_ in sorted((r for r in data if r[2:] == key), key=lambda r: (r[1], r[0])):
+            ms = dt.timedelta(milliseconds=1)
+            if (t - start) // ms < (last - start) // ms and (before is None or t - before > dt.timedelta(minutes=30)):
+                before = t
+                want.add((*key, t, i))
+    assert len(want) > 50 and got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+
+
 def _drift_rows(spark, folder):
     from pyspark.sql import functions as F
 

@@ -1,18 +1,19 @@
-"""Joins of documents with sharded n-gram tables, shared by the two language models.
+"""Joins of documents with sharded tables of n-grams or word pairs, shared by the two language models.
 
 Texts are taken as byte sequences: A-Z in lower case, white space runs as one space, none at the
 ends, then the end symbol (a newline, which also fills the contexts before a text). An n-gram of
 `ORDER` bytes is one 40-bit number, its newest byte lowest, so it is exact and its shorter forms
 are its low bytes.
 
-1. `encode` (one pass, no shuffle): tasks cut their texts into chunks and write, per chunk, the
-   packed texts and its distinct n-grams, or its distinct words, with their counts in training
-   texts.
-2. `gram_counts`: one row per n-gram over all chunks.
-3. A model gives each n-gram its log probability, shard by shard. A shard holds all n-grams whose
+1. `encode` (one pass, no shuffle): tasks cut their texts into chunks and write them packed.
+   `marked` brings the ids of a table to the chunks as one bit a text, so no text is moved for it.
+2. `chunk_grams` gives the distinct n-grams of each chunk with their counts in training texts,
+   `chunk_pairs` its distinct pairs of neighbouring words, by bucket of the first.
+3. `gram_counts`: one row per n-gram over all chunks.
+4. A model gives each n-gram its log probability, shard by shard. A shard holds all n-grams whose
    two newest context bytes fall into it, so contexts of two bytes and more stand beside their
    parents; what is shorter has at most 256 x 256 entries and is made on the driver.
-4. `score`: log probabilities are joined back to the chunks that asked for them, and each chunk
+5. `score`: log probabilities are joined back to the chunks that asked for them, and each chunk
    adds them up per text. Every join is keyed by n-gram or chunk; nothing grows in one task but
    with the fixed size of a chunk or with the number of possible bytes.
 """
@@ -38,11 +39,8 @@ _c = F.col
 ORDER = 5
 END = 10
 CHUNK_BYTES = 32 << 20
-TEXTS, GRAMS, WORDS = 0, 1, 2
-ENCODED = (
-    "chunk long, kind int, bucket int, data binary, sizes binary, counted binary, keys array<long>, counts array<long>, "
-    "ids array<string>, langs array<string>, row_keys array<long>, trained array<boolean>"
-)
+CHUNKS = "chunk long, data binary, sizes binary, ids array<string>, langs array<string>, row_keys array<long>, trained array<boolean>"
+LOW = 0xFFFFFFFF
 
 
 def normal_bytes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +84,6 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[order], b[order]
 
 
-def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The slices data[first : first + size] in a row."""
-    return data[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
-
-
 def deltas(x: np.ndarray) -> bytes:
     """Rising numbers, packed by their steps (each below 2^32)."""
     return shrink(np.diff(x, prepend=0).astype(np.uint32))
@@ -101,70 +94,65 @@ def undeltas(x: bytes) -> np.ndarray:
 
 
 @dataclass
-class WordTable:
-    """Distinct tokens in the order of their hashes, and the contexts they stand in.
+class PairTable:
+    """Distinct pairs of neighbouring tokens.
 
-    `data` holds each token and an end symbol; `pairs` are (number of the token, context of 16
-    bits) in one number each, rising; `counts` belong to the pairs."""
+    `hashes` are the distinct tokens, rising; `pairs` are (number of the token before << 32 |
+    number of the token), rising; `counts` belong to the pairs. The end of a text has the hash 0
+    and is also what stands before the first token of a text."""
 
     hashes: np.ndarray
-    data: np.ndarray
-    sizes: np.ndarray
     pairs: np.ndarray
     counts: np.ndarray
 
     @classmethod
-    def of(cls, data: np.ndarray, first: np.ndarray, last: np.ndarray, context: np.ndarray, counted: np.ndarray) -> WordTable:
-        """From tokens of a text; `counted` are the weights of the tokens."""
-        value, where, back = np.unique(span_hashes(data, first, last), return_index=True, return_inverse=True)
-        size = (last - first)[where] + 1
-        out = gather(data, first[where], size)
-        out[np.cumsum(size) - 1] = END
-        return cls(value, out, size, *with_counts(back << 16 | context, counted))
+    def of(cls, hashes: np.ndarray, counted: np.ndarray) -> PairTable:
+        """From the tokens of whole texts; `counted` are the weights of the tokens."""
+        value, back = np.unique(hashes, return_inverse=True)
+        return cls(value, *with_counts(np.concatenate(([0], back[:-1])) << 32 | back, counted))
 
     @classmethod
-    def merged(cls, parts: list[WordTable]) -> WordTable:
-        data, size = np.concatenate([p.data for p in parts]), np.concatenate([p.sizes for p in parts])
-        value, where, back = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+    def merged(cls, parts: list[PairTable]) -> PairTable:
+        value, back = np.unique(np.concatenate([p.hashes for p in parts]), return_inverse=True)
         base = np.cumsum([0] + [len(p.hashes) for p in parts])
-        pairs = [(back[b + (p.pairs >> 16)] << 16) | (p.pairs & 0xFFFF) for b, p in zip(base[:-1], parts, strict=True)]
-        first = np.cumsum(size) - size
-        return cls(value, gather(data, first[where], size[where]), size[where], *summed(pairs, [p.counts for p in parts]))
+        pairs = [renumbered(p.pairs, back[b:]) for b, p in zip(base[:-1], parts, strict=True)]
+        return cls(value, *summed(pairs, [p.counts for p in parts]))
 
     @classmethod
-    def unpacked(cls, data: bytes, pairs: bytes, counts: bytes) -> WordTable:
-        stream = grow(data, np.uint8)
-        ends = np.flatnonzero(stream == END)
-        first = np.concatenate(([0], ends[:-1] + 1))
-        return cls(span_hashes(stream, first, ends), stream, ends - first + 1, undeltas(pairs), grow(counts, np.uint32).astype(np.int64))
+    def unpacked(cls, hashes: bytes, pairs: bytes, counts: bytes) -> PairTable:
+        x = unplanes(pairs, np.int64)
+        return cls(unplanes(hashes, np.uint64), np.cumsum(x >> 32) << 32 | x & LOW, unplanes(counts, np.int64))
 
     def packed(self) -> tuple[bytes, bytes, bytes]:
-        return shrink(self.data), deltas(self.pairs), shrink(self.counts.astype(np.uint32))
+        return planes(self.hashes), planes(np.diff(self.pairs >> 32, prepend=0) << 32 | self.pairs & LOW), planes(self.counts)
 
-    def part(self, mine: np.ndarray) -> WordTable:
-        """The tokens with these (rising) numbers."""
-        first = np.cumsum(self.sizes) - self.sizes
-        number = np.full(len(self.hashes), -1, np.int64)
-        number[mine] = np.arange(len(mine))
-        new = number[self.pairs >> 16]
-        kept = new >= 0
-        return WordTable(self.hashes[mine], gather(self.data, first[mine], self.sizes[mine]), self.sizes[mine], (new << 16 | self.pairs & 0xFFFF)[kept], self.counts[kept])
+    def buckets(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, numbers of its pairs, numbers of its tokens): pairs are dealt by the hash of
+        the token before."""
+        place = (self.hashes % np.uint64(buckets)).astype(np.int64)[self.pairs >> 32]
+        order = np.argsort(place, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            used = np.zeros(len(self.hashes), bool)
+            used[self.pairs[mine] >> 32] = used[self.pairs[mine] & LOW] = True
+            yield int(place[mine[0]]), mine, np.flatnonzero(used)
 
+    def part(self, mine: np.ndarray, used: np.ndarray) -> PairTable:
+        number = np.zeros(len(self.hashes), np.int64)
+        number[used] = np.arange(len(used))
+        return PairTable(self.hashes[used], renumbered(self.pairs[mine], number), self.counts[mine])
 
-def contexts(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The last two bytes of the token before each token: older << 8 | newer; after the end of a
-    text, or before its first token, two end symbols."""
-    newer = np.full(len(first), END, np.int64)
-    older = np.full(len(first), END, np.int64)
-    n = (last - first)[:-1]
-    newer[1:][n > 0] = data[last[:-1][n > 0] - 1]
-    older[1:][n > 1] = data[last[:-1][n > 1] - 2]
-    return older << 8 | newer
+
+def renumbered(pairs: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return number[pairs >> 32] << 32 | number[pairs & LOW]
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    value, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return value, np.bincount(where, np.concatenate(counts), len(value)).astype(np.int64)
+    """Distinct keys and the sums of their counts."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(every)), bool), every[1:] != every[:-1])))
+    return every[first], np.add.reduceat(np.concatenate(counts)[order], first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
 
 
 def with_counts(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +176,16 @@ def grow(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _encoder(words: bool, buckets: int) -> Callable:
-    """`words`: the tokens of a chunk by bucket of their hash, instead of its n-grams."""
+def planes(x: np.ndarray) -> bytes:
+    """Numbers packed byte by byte: all lowest bytes first, all highest last."""
+    return shrink(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+
 
+def unplanes(x: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(grow(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _encoder(chunk_bytes: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         held: list[tuple] = []
@@ -201,33 +196,19 @@ def _encoder(words: bool, buckets: int) -> Callable:
             chunk = (task << 24) | made
             made += 1
             data, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            rows: list[list] = [[chunk, TEXTS, 0, bz2.compress(data.tobytes()), shrink(sizes.astype(np.int32)), None, None, None, *(sum((h[2][k] for h in held), []) for k in range(4))]]
-            if words:
-                v = WordTable.merged([h[4] for h in held])
-                place = v.hashes % np.uint64(buckets)
-                for b in np.unique(place):
-                    rows.append([chunk, WORDS, int(b), *v.part(np.flatnonzero(place == b)).packed(), *[None] * 6])
-            else:
-                keys, counts = summed([h[4] for h in held], [h[5] for h in held])
-                rows.append([chunk, GRAMS, 0, None, None, None, keys.astype(np.int64), counts, *[None] * 4])
+            row = [chunk, bz2.compress(data.tobytes()), shrink(sizes.astype(np.int32)), *(sum((h[2][k] for h in held), []) for k in range(4))]
             held.clear()
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-            names = [x.split()[0] for x in ENCODED.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            names = [x.split()[0] for x in CHUNKS.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names)
 
         size = 0
-        for block in blocks(batches, limit=2 << 20):
+        for block in blocks(batches):
             data, sizes = normal_bytes(block)
             column = lambda n, b=block: b.rows.column(b.rows.schema.get_field_index(n)).to_pylist()
-            trained = np.array(column("__train"), bool)
-            about = (column("__id"), column("__lang"), column("__key"), trained.tolist())
-            if words:
-                first, last = tokens(data)
-                held.append((data, sizes, about, None, WordTable.of(data, first, last, contexts(data, first, last), np.repeat(trained, token_counts(data, sizes)))))
-            else:
-                held.append((data, sizes, about, None, *with_counts(gram_keys(data, sizes), np.repeat(trained, sizes))))
+            held.append((data, sizes, (column("__id"), column("__lang"), column("__key"), column("__train"))))
             size += len(data)
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 yield flush()
                 size = 0
         if held:
@@ -242,19 +223,63 @@ def token_counts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data == 32).astype(np.int64), begin) + 1 + (sizes > 1)
 
 
-def encode(docs: DataFrame, train, lang=None, words: bool = False) -> DataFrame:
+def encode(docs: DataFrame, train, lang=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write the chunks of `docs`; `train` is a boolean column, `lang` a string column."""
     rows = docs.select(
         _c("doc_id").cast("string").alias("__id"), (F.lit(None).cast("string") if lang is None else lang).alias("__lang"),
         F.xxhash64("doc_id", "text").alias("__key"), F.coalesce(train, F.lit(False)).alias("__train"), "text",
     )
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(rows.mapInArrow(_encoder(words, buckets), ENCODED))
+    return cut_lineage(rows.mapInArrow(_encoder(chunk_bytes), CHUNKS))
+
+
+def marked(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks with `trained` only where the id is also in `ids` (distinct, as strings). Ids
+    alone are joined; a chunk gets them back as an array of booleans."""
+    texts = chunks.select("chunk", F.posexplode("ids").alias("place", "id")).join(ids.select("id", F.lit(True).alias("found")), "id", "left")
+    found = texts.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("found", F.lit(False)).alias("found")))).alias("f"))
+    bits = cut_lineage(found.select("chunk", _c("f.found").alias("found")))
+    return chunks.join(bits, "chunk").withColumn("trained", F.zip_with("trained", "found", lambda a, b: a & b)).drop("found")
 
 
-def gram_counts(chunks: DataFrame) -> DataFrame:
+def _chunk_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in chunk_rows(batches):
+        data, sizes = text_of(row)
+        trained = np.array(row["trained"], bool)
+        parts = [with_counts(gram_keys(data[a:b], sizes[i:j]), np.repeat(trained[i:j], sizes[i:j])) for i, j, a, b in text_groups(sizes)]
+        keys, counts = summed([k for k, _ in parts], [n for _, n in parts])
+        arrays = [pa.array([row["chunk"]], pa.int64()), pa.array([keys.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["chunk", "keys", "counts"])
+
+
+def chunk_grams(chunks: DataFrame) -> DataFrame:
+    """(chunk, keys, counts): the distinct n-grams of each chunk and their training counts."""
+    return cut_lineage(chunks.select("chunk", "data", "sizes", "trained").mapInArrow(_chunk_grams, "chunk long, keys array<long>, counts array<long>"))
+
+
+def chunk_pairs(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, words, pairs, counts): the packed `PairTable` of each chunk and bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in chunk_rows(batches):
+            data, sizes = text_of(row)
+            weight = np.repeat(np.array(row["trained"], bool), token_counts(data, sizes))
+            parts, done = [], 0
+            for i, j, a, b in text_groups(sizes, 1 << 20):
+                hashes = token_hashes(data[a:b], sizes[i:j])
+                parts.append(PairTable.of(hashes, weight[done : done + len(hashes)]))
+                done += len(hashes)
+            table = PairTable.merged(parts)
+            rows = [(row["chunk"], b, *table.part(mine, used).packed()) for b, mine, used in table.buckets(buckets)]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "bucket", "words", "pairs", "counts"])
+
+    return chunks.select("chunk", "data", "sizes", "trained").mapInArrow(run, "chunk long, bucket int, words binary, pairs binary, counts binary")
+
+
+def gram_counts(chunks: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """(key, n, shard): training counts of all n-grams of all texts, also those with none."""
-    pairs = chunks.where(_c("kind") == GRAMS).select(F.explode(F.arrays_zip("keys", "counts")).alias("p"))
+    grams = chunk_grams(chunks) if grams is None else grams
+    pairs = grams.select(F.explode(F.arrays_zip("keys", "counts")).alias("p"))
     shards = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = pairs.groupBy(_c("p.keys").alias("key")).agg(F.sum("p.counts").alias("n"))
     near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
@@ -344,13 +369,9 @@ def looked_up(data: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
     return out
 
 
-def token_stream(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and context of every token, made some texts at a time."""
-    parts = []
-    for _, _, a, b in text_groups(sizes):
-        first, last = tokens(data[a:b])
-        parts.append((span_hashes(data[a:b], first, last), contexts(data[a:b], first, last).astype(np.uint16)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def token_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hash of every token, made some texts at a time."""
+    return np.concatenate([span_hashes(data[a:b], *tokens(data[a:b])) for _, _, a, b in text_groups(sizes, 1 << 20)])
 
 
 def answers(asking: DataFrame, by: str, values: DataFrame) -> DataFrame:
@@ -360,7 +381,13 @@ def answers(asking: DataFrame, by: str, values: DataFrame) -> DataFrame:
     return rows.groupBy("asker").agg(F.collect_list(F.struct("place", "value")).alias("p")).select("asker", _c("p.place").alias("places"), _c("p.value").alias("values"))
 
 
-def text_of(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def chunk_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def text_of(row) -> tuple[np.ndarray, np.ndarray]:
     """The byte sequences of a chunk and their lengths."""
     return np.frombuffer(bz2.decompress(row["data"]), np.uint8), grow(row["sizes"], np.int32).astype(np.int64)
 
@@ -379,9 +406,8 @@ def _summing(key: tuple, texts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame({**about(t), "n_symbols": sizes, "log_p": looked_up(data, sizes, values)})
 
 
-def score(chunks: DataFrame, values: DataFrame) -> DataFrame:
+def score(chunks: DataFrame, grams: DataFrame, values: DataFrame) -> DataFrame:
     """The sum of the values of each text's n-grams, one row for each row of the documents.
-    `values` has key and value for every n-gram."""
-    got = answers(chunks.where(_c("kind") == GRAMS), "chunk", values)
-    texts = chunks.where(_c("kind") == TEXTS).select("chunk", "data", "sizes", "ids", "langs", "row_keys", "trained")
-    return texts.groupBy("chunk").cogroup(got.groupBy("asker")).applyInPandas(_summing, SUMS)
+    `values` has key and value for every n-gram of `grams`."""
+    got = answers(grams, "chunk", values)
+    return chunks.groupBy("chunk").cogroup(got.groupBy("asker")).applyInPandas(_summing, SUMS)

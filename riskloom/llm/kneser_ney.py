@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.grams import ORDER, Levels, encode, gram_counts, per_shard, score
+from riskloom.llm.grams import ORDER, Levels, chunk_grams, encode, gram_counts, marked, per_shard, score
 
 _c = F.col
 
@@ -98,11 +98,15 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     return per_shard(counts, work, "key long, value double")
 
 
-def perplexities(docs: DataFrame, trusted: Column, lang: Column) -> DataFrame:
-    """row_key (hash of doc_id and text), id, lang, trained, n_symbols and perplexity per text."""
+def perplexities(docs: DataFrame, trusted: Column, lang: Column, trusted_ids: DataFrame | None = None) -> DataFrame:
+    """row_key (hash of doc_id and text), id, lang, trained, n_symbols and perplexity per text.
+    `trusted_ids` (id as string, distinct) narrows the trusted rows to those with these ids."""
     aside = F.pmod(F.xxhash64("text"), F.lit(5)) == 0  # copies of a text fall on one side
     chunks = encode(docs, trusted & ~aside, lang)
-    rows = score(chunks, log_probabilities(gram_counts(chunks)))
+    if trusted_ids is not None:
+        chunks = marked(chunks, trusted_ids)
+    grams = chunk_grams(chunks)
+    rows = score(chunks, grams, log_probabilities(gram_counts(chunks, grams)))
     return rows.select("row_key", "id", "lang", "trained", "n_symbols", F.pow(F.lit(10.0), -_c("log_p") / _c("n_symbols")).alias("perplexity"))
 
 

@@ -2,24 +2,28 @@
 
 Tokens are words (parts between white space, A-Z in lower case) and the end of a text; all tokens
 unseen in training are one more dish, as in the add-one unigram base. A token's context is the
-last two bytes of the token before it; its restaurant's parent is the context of the last byte
-alone, whose parent is the root, whose base serves all V + 1 dishes alike. So contexts with the
-same last byte share a parent. The customers of the longest contexts are the training counts; each
-table of a restaurant is a customer of its parent.
+whole token before it (the end of a text before the first one): one restaurant for each distinct
+token that stands before another. The parent of all of them is the root, whose base serves all
+V + 1 dishes alike. The customers of a context are the training counts of its pairs; each table
+there is a customer of the root.
 
 Gibbs sampling: in a sweep, the customers of each dish of each restaurant leave and are seated
-again, given the other dishes' tables and the parent's current probabilities, first in the longest
-contexts, then in their parents, which have the new tables as customers. The first 8 customers of
-a dish are seated one by one, later ones in groups that grow by an eighth, with the probabilities
-of the group's beginning. Words are dealt to buckets by hash, so a dish stands beside itself in
-all parents; the numbers of tables of whole restaurants (at most 65,793) are summed over the
-buckets between two rounds of sweeps. Predictive probabilities are averaged over the last round's
-sweeps after the first. Discounts come from counts of counts, d = n1 / (n1 + 2 n2); the strength
-is 1. Random numbers are seeded by bucket, so a task that runs again gives the same values.
-
-Data flow: chunks of texts ask buckets for their distinct (word, context) pairs, packed; nothing
-but pairs and packed texts is shuffled, and every group has the fixed size of a chunk or the
-share of a bucket.
+again, given the other dishes' tables and the parent's probabilities. The first 8 customers of a
+dish are seated one by one, later ones in groups that grow by an eighth, with the probabilities
+of the group's beginning. The root is seated given the contexts' tables, then the contexts given
+the root, then both again; predictive probabilities are averaged over the last sweeps of the
+contexts but the first. Customers and tables of a restaurant are always those of the same sample,
+so the dishes of a context add up to one. Discounts come from counts of counts,
+d = n1 / (n1 + 2 n2); the strength is 1. Random numbers are seeded by bucket, so a task that runs
+again gives the same values.
+
+Data flow: pairs are dealt to buckets by the hash of the context, so a restaurant is whole in its
+bucket, and the dishes of the root are dealt to shards by the hash of the word. Buckets and shards
+exchange packed numbers in an order that both know (customers of the root up, customers and tables
+of the root down); the words' hashes are sent once. A chunk of texts asks buckets for its distinct
+pairs and gets counts and tables back, from which it computes the probabilities. The driver sees
+only sums over the whole model. Every group has the fixed size of a chunk or the share of a bucket
+or shard; a context with very many different words after it is one restaurant, in one bucket.
 
 Special cases: a null or empty text has one token, the end; without training rows all tokens are
 unseen and have probability 1; repeated rows give a row each; an empty table gives no rows;
@@ -28,6 +32,7 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,13 +40,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.grams import TEXTS, WORDS, WordTable, about, deltas, encode, grow, shrink, text_of, token_counts, token_stream, undeltas
+from riskloom.llm.grams import LOW, PairTable, about, chunk_pairs, deltas, encode, planes, renumbered, text_of, token_counts, token_hashes, undeltas, unplanes
 from riskloom.session import cut_lineage
 
 _c = F.col
 STRENGTH = 1.0
 SWEEPS = 4
 ALONE = 8  # customers of a dish that are seated one by one
+CHUNK = 16 << 20
 
 
 def seat(customers: np.ndarray, tables: np.ndarray, total: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -61,186 +67,248 @@ def seat(customers: np.ndarray, tables: np.ndarray, total: np.ndarray, parent: n
     return new
 
 
+def chance(own: np.ndarray, tables: np.ndarray, customers, all_tables, parent: np.ndarray, discount: float) -> np.ndarray:
+    """Probability of dishes with `own` customers and these tables, in restaurants of so many
+    `customers` and `all_tables`."""
+    return (own - discount * tables + (STRENGTH + discount * all_tables) * parent) / (STRENGTH + customers)
+
+
 @dataclass
 class Totals:
-    """Customers and tables of whole restaurants: 2 by two bytes, 1 by one byte, 0 the root."""
+    """Sums over the whole model: training tokens and distinct ones, the discounts of contexts
+    and root, and customers and tables of the root."""
 
-    customers: dict[int, np.ndarray]
-    tables: dict[int, np.ndarray]
+    tokens: int
     types: int
-    discount: dict[int, float]
-
-    def chance(self, level: int, own: np.ndarray, tables: np.ndarray, place: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Probability of dishes with these customers and tables in the restaurants `place`."""
-        n, t, d = self.customers[level][place], self.tables[level][place], self.discount[level]
-        return (own - d * tables + (STRENGTH + d * t) * parent) / (STRENGTH + n)
-
-
-class Dishes:
-    """The dishes of a bucket at the three levels, from its (word, context) pairs."""
-
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
-        self.context = pairs & 0xFFFF
-        middle = (pairs >> 16) << 8 | pairs & 0xFF
-        self.middle, self.to_middle = np.unique(middle, return_inverse=True)
-        self.word, self.to_word = np.unique(self.middle >> 8, return_inverse=True)
-        self.byte = self.middle & 0xFF
-        self.root = np.zeros(len(self.word), np.int64)
-        self.customers = {2: counts}
-        self.tables = {2: np.minimum(counts, 1)}
-        self._above()
-        self.tables |= {1: np.minimum(self.customers[1], 1)}
-        self._above()
-        self.tables |= {0: np.minimum(self.customers[0], 1)}
-
-    def _above(self) -> None:
-        self.customers[1] = np.bincount(self.to_middle, self.tables[2], len(self.middle)).astype(np.int64)
-        if 1 in self.tables:
-            self.customers[0] = np.bincount(self.to_word, self.tables[1], len(self.word)).astype(np.int64)
-
-    def chances(self, totals: Totals) -> dict[int, np.ndarray]:
-        base = np.full(len(self.word), 1 / (totals.types + 1))
-        p0 = totals.chance(0, self.customers[0], self.tables[0], self.root, base)
-        p1 = totals.chance(1, self.customers[1], self.tables[1], self.byte, p0[self.to_word])
-        p2 = totals.chance(2, self.customers[2], self.tables[2], self.context, p1[self.to_middle])
-        return {-1: base, 0: p0, 1: p1, 2: p2}
-
-    def sweep(self, totals: Totals, rng: np.random.Generator) -> None:
-        p = self.chances(totals)
-        d, t = totals.discount, totals.tables
-        self.tables[2] = seat(self.customers[2], self.tables[2], t[2][self.context], p[1][self.to_middle], d[2], rng)
-        self._above()
-        self.tables[1] = seat(self.customers[1], np.minimum(self.tables[1], self.customers[1]), t[1][self.byte], p[0][self.to_word], d[1], rng)
-        self._above()
-        self.tables[0] = seat(self.customers[0], np.minimum(self.tables[0], self.customers[0]), t[0][self.root], p[-1], d[0], rng)
-
-    def sums(self) -> pd.DataFrame:
-        """(level, at, n): tables, and as levels 10 to 12 customers, of the bucket's part of each
-        restaurant; as levels 20 to 22 counts of customers 1 and 2; as level 30 the words seen."""
-        rows = [(30, 0, int((self.customers[0] > 0).sum()))]
-        for k, place in ((2, self.context), (1, self.byte), (0, self.root)):
-            for level, x in ((k, self.tables[k]), (10 + k, self.customers[k])):
-                total = np.bincount(place, x, 1).astype(np.int64)
-                at = np.flatnonzero(total)
-                rows += zip([level] * len(at), at.tolist(), total[at].tolist(), strict=True)
-            rows += [(20 + k, r, int((self.customers[k] == r).sum())) for r in (1, 2)]
-        return pd.DataFrame(rows, columns=["level", "at", "n"])
-
-
-PACKED = "bucket int, chunk long, pairs binary, counts binary"
-
-
-def merge_words(words: DataFrame) -> DataFrame:
-    """Per bucket a row with chunk -1: its distinct pairs and training counts; and per chunk the
-    places of that chunk's pairs among them."""
+    context_discount: float
+    root_discount: float
+    customers: int
+    tables: int
+
+    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Probability of words at the root."""
+        return chance(customers, tables, self.customers, self.tables, np.full(len(customers), 1 / (self.types + 1)), self.root_discount)
+
+
+class Contexts:
+    """The restaurants of a bucket."""
+
+    def __init__(self, table: PairTable):
+        self.size = len(table.hashes)
+        self.context, self.word = table.pairs >> 32, table.pairs & LOW
+        self.customers, self.tables = table.counts, np.minimum(table.counts, 1)
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each restaurant, by the number of its token."""
+        return np.bincount(self.context, x, self.size).astype(np.int64)
+
+    def of_words(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, x, self.size).astype(np.int64)
+
+    def sweep(self, root: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        self.tables = seat(self.customers, self.tables, self.total(self.tables)[self.context], root[self.word], discount, rng)
+
+
+MERGED = "bucket int, chunk long, words binary, pairs binary, counts binary, once long, twice long"
+
+
+def merge_pairs(pairs: DataFrame) -> DataFrame:
+    """Per bucket a row with chunk -1: its tokens, pairs and training counts; and per chunk the
+    places of that chunk's tokens and pairs among them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
-        parts = [WordTable.unpacked(*x) for x in zip(pdf["data"], pdf["sizes"], pdf["counted"], strict=True)]
-        v = WordTable.merged(parts)
-        rows = [(bucket, -1, deltas(v.pairs), shrink(v.counts))]
+        parts = [PairTable.unpacked(*x) for x in zip(pdf["words"], pdf["pairs"], pdf["counts"], strict=True)]
+        v = PairTable.merged(parts)
+        rows = [(bucket, -1, *v.packed(), int((v.counts == 1).sum()), int((v.counts == 2).sum()))]
         for chunk, p in zip(pdf["chunk"], parts, strict=True):
-            mine = np.searchsorted(v.hashes, p.hashes)[p.pairs >> 16] << 16 | p.pairs & 0xFFFF
-            rows.append((bucket, int(chunk), deltas(np.searchsorted(v.pairs, mine)), None))
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "pairs", "counts"])
+            number = np.searchsorted(v.hashes, p.hashes)
+            rows.append((bucket, int(chunk), deltas(number), deltas(np.searchsorted(v.pairs, renumbered(p.pairs, number))), None, 0, 0))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in MERGED.split(", ")])
 
-    return cut_lineage(words.groupBy("bucket").applyInPandas(run, PACKED))
+    return cut_lineage(pairs.groupBy("bucket").applyInPandas(run, MERGED))
 
 
-def dishes_of(row) -> Dishes:
-    return Dishes(undeltas(row["pairs"]), grow(row["counts"], np.int64))
+def table_of(row) -> PairTable:
+    return PairTable.unpacked(row["words"], row["pairs"], row["counts"])
 
 
-def collect_totals(merged: DataFrame, before: Totals | None) -> Totals:
-    """Sums over the buckets after a round of sweeps, or of the first seating; at most 65,800 rows."""
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (hashes % np.uint64(shards)).astype(np.int64)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        dishes = dishes_of(pdf.iloc[0])
-        if before:
-            rng = np.random.default_rng(2 * int(pdf["bucket"].iloc[0]))
-            for _ in range(SWEEPS):
-                dishes.sweep(before, rng)
-        return dishes.sums()
-
-    sums = merged.groupBy("bucket").applyInPandas(run, "level int, at long, n long").groupBy("level", "at").agg(F.sum("n").alias("n")).collect()
-    size = {2: 1 << 16, 1: 256, 0: 1}
-    found: dict[int, np.ndarray] = {k + 10 * j: np.zeros(max(n, 3) if j == 2 else n, np.int64) for k, n in size.items() for j in (0, 1, 2)}
-    types = 0
-    for r in sums:
-        if r["level"] == 30:
-            types = r["n"]
-        else:
-            found[r["level"]][r["at"]] = r["n"]
-    ratio = lambda n1, n2: float(min(max(n1 / (n1 + 2 * n2), 0.05), 0.95)) if n1 else 0.5
-    return Totals({k: found[10 + k] for k in size}, {k: found[k] for k in size}, types, {k: ratio(*found[20 + k][1:3]) for k in size})
+
+ROOT = "shard int, n binary, customers binary, buckets array<int>, places array<binary>, tokens long, types long, all_customers long, once long, twice long"
+
+
+def root_row(shard: int, n: np.ndarray, customers: np.ndarray, buckets: list, places: list) -> pd.DataFrame:
+    sums = [int(x) for x in (n.sum(), (n > 0).sum(), customers.sum(), (customers == 1).sum(), (customers == 2).sum())]
+    return pd.DataFrame([(shard, planes(n), planes(customers), buckets, places, *sums)], columns=[x.split()[0] for x in ROOT.split(", ")])
 
 
-def answer_chunks(merged: DataFrame, totals: Totals) -> DataFrame:
-    """Per chunk and bucket: log10 probability of each of its pairs and training count of its word."""
+def root_words(own: DataFrame, shards: int) -> DataFrame:
+    """One row per shard: training counts of its words, in how many contexts each stands (their
+    first tables), and the places of each bucket's words among them."""
 
-    def run(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        dishes = dishes_of(own.iloc[0])
-        rng = np.random.default_rng(2 * int(own["bucket"].iloc[0]) + 1)
-        total = np.zeros(len(dishes.context))
+    def asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                table = table_of(row)
+                rest = Contexts(table)
+                n, customers = rest.of_words(rest.customers), rest.of_words(rest.tables)
+                shard = shard_of(table.hashes, shards)
+                mine = [(int(s), np.flatnonzero(shard == s)) for s in np.unique(shard)]
+                yield pd.DataFrame([(s, row["bucket"], planes(table.hashes[i]), planes(n[i]), planes(customers[i])) for s, i in mine], columns=["shard", "bucket", "words", "n", "customers"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [unplanes(x, np.uint64) for x in pdf["words"]]
+        value, back = np.unique(np.concatenate(words), return_inverse=True)
+        total = lambda c: np.bincount(back, np.concatenate([unplanes(x, np.int64) for x in pdf[c]]), len(value)).astype(np.int64)
+        return root_row(int(pdf["shard"].iloc[0]), total("n"), total("customers"), pdf["bucket"].tolist(), [deltas(np.searchsorted(value, w)) for w in words])
+
+    rows = own.mapInPandas(asked, "shard int, bucket int, words binary, n binary, customers binary")
+    return cut_lineage(rows.groupBy("shard").applyInPandas(merge, ROOT))
+
+
+def seated_root(root: DataFrame, before: Totals | None, pairs_once: int, pairs_twice: int, round_: int) -> tuple[DataFrame, Totals]:
+    """The root seated anew: per bucket and shard the training counts, customers and tables of the
+    bucket's words; and the sums over the model."""
+    s = root.agg(*(F.sum(x).alias(x) for x in ("tokens", "types", "all_customers", "once", "twice"))).first()
+    n = {k: s[k] or 0 for k in s.asDict()}
+    ratio = lambda n1, n2: float(min(max(n1 / (n1 + 2 * n2), 0.05), 0.95)) if n1 else 0.5
+    tables = before.tables if before else n["types"]
+    totals = Totals(n["tokens"], n["types"], ratio(pairs_once, pairs_twice), ratio(n["once"], n["twice"]), n["all_customers"], tables)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                counts, customers = unplanes(row["n"], np.int64), unplanes(row["customers"], np.int64)
+                rng = np.random.default_rng([round_, int(row["shard"])])
+                at = np.minimum(customers, 1)
+                for _ in range(SWEEPS):
+                    at = seat(customers, at, np.full(len(at), totals.tables), np.full(len(at), 1 / (totals.types + 1)), totals.root_discount, rng)
+                rows = [(-1, row["shard"], None, None, None, int(at.sum()))]
+                for bucket, place in zip(row["buckets"], row["places"], strict=True):
+                    i = undeltas(place)
+                    rows.append((bucket, row["shard"], planes(counts[i]), planes(customers[i]), planes(at[i]), 0))
+                yield pd.DataFrame(rows, columns=["bucket", "shard", "n", "customers", "tables", "all_tables"])
+
+    told = cut_lineage(root.mapInPandas(run, "bucket int, shard int, n binary, customers binary, tables binary, all_tables long"))
+    totals.tables = told.where("bucket < 0").agg(F.sum("all_tables")).first()[0] or 0
+    return told.where("bucket >= 0").select(_c("bucket").alias("of"), "shard", "n", "customers", "tables"), totals
+
+
+def told_words(hashes: np.ndarray, told: pd.DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training counts, customers and tables at the root of a bucket's words."""
+    out = np.zeros((3, len(hashes)), np.int64)
+    shard = shard_of(hashes, shards)
+    for s, *found in zip(told["shard"], told["n"], told["customers"], told["tables"], strict=True):
+        mine = shard == s
+        for k, x in enumerate(found):
+            out[k, mine] = unplanes(x, np.int64)
+    return out[0], out[1], out[2]
+
+
+def seated_contexts(own: DataFrame, told: DataFrame, totals: Totals, root: DataFrame, shards: int) -> DataFrame:
+    """The rows of the root with new customers: the tables of the contexts after a round of sweeps."""
+
+    def run(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        table = table_of(own.iloc[0])
+        rest = Contexts(table)
+        _, customers, tables = told_words(table.hashes, told, shards)
+        rng = np.random.default_rng([2, int(own["bucket"].iloc[0])])
+        for _ in range(SWEEPS):
+            rest.sweep(totals.root(customers, tables), totals.context_discount, rng)
+        new = rest.of_words(rest.tables)
+        shard = shard_of(table.hashes, shards)
+        rows = [(int(s), int(own["bucket"].iloc[0]), planes(new[shard == s])) for s in np.unique(shard)]
+        return pd.DataFrame(rows, columns=["at", "bucket", "customers"])
+
+    def merge(key: tuple, root: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        row = root.iloc[0]
+        n = unplanes(row["n"], np.int64)
+        customers = np.zeros(len(n), np.int64)
+        places = dict(zip(row["buckets"], row["places"], strict=True))
+        for bucket, x in zip(new["bucket"], new["customers"], strict=True):
+            customers[undeltas(places[bucket])] += unplanes(x, np.int64)
+        return root_row(int(row["shard"]), n, customers, row["buckets"], row["places"])
+
+    new = own.groupBy("bucket").cogroup(told.groupBy("of")).applyInPandas(run, "at int, bucket int, customers binary")
+    return cut_lineage(root.groupBy("shard").cogroup(new.groupBy("at")).applyInPandas(merge, ROOT))
+
+
+ANSWER = "chunk long, bucket int, counts binary, tables binary, context_customers binary, context_tables binary, n binary, customers binary, root_tables binary"
+
+
+def answer_chunks(merged: DataFrame, told: DataFrame, totals: Totals, shards: int) -> DataFrame:
+    """Per chunk and bucket: training count and tables (summed over the samples) of its pairs, and
+    of its tokens the same as contexts, their training counts, and their place at the root."""
+
+    def run(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        table = table_of(rows[rows["chunk"] < 0].iloc[0])
+        rest = Contexts(table)
+        n, customers, root_tables = told_words(table.hashes, told, shards)
+        root = totals.root(customers, root_tables)
+        rng = np.random.default_rng([4, int(rows["bucket"].iloc[0])])
+        tables = np.zeros(len(rest.context), np.int64)
         for sweep in range(SWEEPS):
-            dishes.sweep(totals, rng)
+            rest.sweep(root, totals.context_discount, rng)
             if sweep:
-                total += dishes.chances(totals)[2]
-        seen = np.bincount(dishes.to_word, np.bincount(dishes.to_middle, dishes.customers[2], len(dishes.middle)), len(dishes.word)).astype(np.int64)
-        count = seen[dishes.to_word][dishes.to_middle]
-        unseen = 1 / (totals.types + 1)  # the one dish for all words that training lacks
-        logs = np.log10(np.where(count > 0, total / (SWEEPS - 1), 1.0))
-        p = np.full(len(count), unseen)
-        for k, place in ((0, np.zeros(len(count), np.int64)), (1, dishes.context & 0xFF), (2, dishes.context)):
-            p = totals.chance(k, np.zeros(1), np.zeros(1), place, p)
-        logs = np.where(count > 0, logs, np.log10(p))
-        at = [undeltas(x) for x in asked["places"]]
-        return pd.DataFrame(
-            {"chunk": asked["asker"], "bucket": asked["of"], "logs": [shrink(logs[i].astype(np.float32)) for i in at], "counts": [shrink(count[i].astype(np.uint32)) for i in at]}
-        )
+                tables += rest.tables
+        of_tokens = (rest.total(rest.customers), rest.total(tables), n, customers, root_tables)
+        out = []
+        for _, asked in rows[rows["chunk"] >= 0].iterrows():
+            pair, word = undeltas(asked["pairs"]), undeltas(asked["words"])
+            out.append((asked["chunk"], asked["bucket"], planes(rest.customers[pair]), planes(tables[pair]), *(planes(x[word]) for x in of_tokens)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWER.split(", ")])
 
-    own = merged.where("chunk < 0").groupBy("bucket")
-    asked = merged.where("chunk >= 0").select(_c("bucket").alias("of"), _c("chunk").alias("asker"), _c("pairs").alias("places")).groupBy("of")
-    return own.cogroup(asked).applyInPandas(run, "chunk long, bucket int, logs binary, counts binary")
+    return merged.groupBy("bucket").cogroup(told.groupBy("of")).applyInPandas(run, ANSWER)
 
 
-TOTALS = "row_key long, id string, lang string, trained boolean, n_tokens long, n_known long, log_counts double, log_p double"
+SUMS = "row_key long, id string, lang string, trained boolean, n_tokens long, n_known long, log_counts double, log_p double"
 
 
-def add_up(texts: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
+def add_up(texts: DataFrame, answered: DataFrame, totals: Totals, buckets: int) -> DataFrame:
     """Sums over the tokens of each text."""
 
     def run(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         t = own.iloc[0]
         data, sizes = text_of(t)
-        hashes, context = token_stream(data, sizes)
-        value, word = np.unique(hashes, return_inverse=True)
-        pairs, where = np.unique(word << 16 | context, return_inverse=True)
-        place = (value % np.uint64(buckets))[pairs >> 16]
-        logs, counts = np.zeros(len(pairs)), np.zeros(len(pairs), np.int64)
-        for b, p, c in zip(got["bucket"], got["logs"], got["counts"], strict=True):
-            mine = place == b
-            logs[mine], counts[mine] = grow(p, np.float32), grow(c, np.uint32)
+        value, back = np.unique(token_hashes(data, sizes), return_inverse=True)
+        pairs, where = np.unique(np.concatenate(([0], back[:-1])) << 32 | back, return_inverse=True)
+        table = PairTable(value, pairs, pairs)
+        logs, counts = np.zeros(len(pairs)), np.zeros(len(value), np.int64)
+        answer = got.set_index("bucket")
+        for bucket, mine, used in table.buckets(buckets):
+            own_n, own_t, ctx_n, ctx_t, n, customers, tables = (unplanes(answer.at[bucket, x.split()[0]], np.int64) for x in ANSWER.split(", ")[2:])
+            at = table.part(mine, used).pairs
+            context, samples = at >> 32, SWEEPS - 1
+            p = chance(own_n, own_t / samples, ctx_n[context], ctx_t[context] / samples, totals.root(customers, tables)[at & LOW], totals.context_discount)
+            logs[mine], counts[used] = np.log10(p), n
         n = token_counts(data, sizes)
         begin = np.cumsum(n) - n
-        per = lambda x: np.add.reduceat(x[where], begin)
-        return pd.DataFrame({**about(t), "n_tokens": n, "n_known": per((counts > 0).astype(np.int64)), "log_counts": per(np.log10(counts + 1.0)), "log_p": per(logs)})
+        counts = counts[back]
+        per = lambda x: np.add.reduceat(x, begin)
+        return pd.DataFrame({**about(t), "n_tokens": n, "n_known": per((counts > 0).astype(np.int64)), "log_counts": per(np.log10(counts + 1.0)), "log_p": per(logs[where])})
 
-    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(run, TOTALS)
+    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(run, SUMS)
 
 
 def text_log_probabilities(docs: DataFrame, train: Column) -> DataFrame:
     """id, trained, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability of
     the text) and perplexity per token, learned from the rows where `train` holds."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = encode(docs, train, words=True)
-    merged = merge_words(chunks.where(_c("kind") == WORDS).select("chunk", "bucket", "data", "sizes", "counted"))
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * shards  # pairs are many more than words
+    chunks = encode(docs, train, chunk_bytes=CHUNK)
+    merged = merge_pairs(chunk_pairs(chunks, buckets))
     own = merged.where("chunk < 0")
-    first = collect_totals(own, None)
-    totals = collect_totals(own, first)
-    n, v = int(first.customers[2].sum()), first.types
-    texts = chunks.where(_c("kind") == TEXTS).select("chunk", "data", "sizes", "ids", "langs", "row_keys", "trained")
-    return add_up(texts, answer_chunks(merged, totals), buckets).select(
+    pairs = own.agg(F.sum("once"), F.sum("twice")).first()
+    once, twice = pairs[0] or 0, pairs[1] or 0
+    root = root_words(own, shards)
+    told, totals = seated_root(root, None, once, twice, 1)
+    root = seated_contexts(own, told, totals, root, shards)
+    told, totals = seated_root(root, totals, once, twice, 3)
+    n, v = totals.tokens, totals.types
+    return add_up(chunks, answer_chunks(merged, told, totals, shards), totals, buckets).select(
         "id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (_c("log_counts") - _c("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), _c("log_p").alias("score"),
         F.pow(F.lit(10.0), -_c("log_p") / _c("n_tokens")).alias("perplexity"),

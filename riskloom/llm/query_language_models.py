@@ -14,10 +14,9 @@ _c = F.col
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents, learned from all rows of quality 1."""
-    ids = labels.where("quality = 1").select("doc_id").distinct()
-    marked = docs.join(ids.withColumn("__trusted", F.lit(True)), "doc_id", "left")
-    scores = cut_lineage(kneser_ney.perplexities(marked, F.coalesce("__trusted", F.lit(False)), _c("lang")))
-    return kneser_ney.judged(scores, ids.select(_c("doc_id").cast("string").alias("id")))
+    ids = labels.where("quality = 1 and doc_id is not null").select(_c("doc_id").cast("string").alias("id")).distinct()
+    scores = cut_lineage(kneser_ney.perplexities(docs, F.lit(True), _c("lang"), ids))
+    return kneser_ney.judged(scores, ids)
 
 
 def quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from brute import lines_of, repeated_lines
 from riskloom.llm import kneser_ney, language, pitman_yor, toxicity
 from riskloom.llm.chat import chat_digest, format_chats, read_back
 from riskloom.llm.fmindex import FmIndex, decontaminate
-from riskloom.llm.grams import encode, gram_counts
+from riskloom.llm.grams import PairTable, encode, gram_counts
 from riskloom.llm.jaccard import runs_for, similarity_join
 from riskloom.llm.linededup import remove_repeated_lines
 from riskloom.llm.packing import Encoder, pack, shortest_pack_first
@@ -182,6 +182,29 @@ def test_text_scores(spark, docs, nothing):
     assert pitman_yor.text_log_probabilities(nothing, F.lit(True)).count() == 0
 
 
+def test_whole_words_are_contexts(spark):
+    """Words with the same last bytes are contexts of their own, the end of a text is one too, and
+    the dishes of a context, the unseen one among them, add up to one."""
+    rows = [(i, " ".join(["mother", "tea", "father", "milk"] * 3)) for i in range(40)] + [(100, "mother tea"), (101, "mother milk"), (102, "tea"), (103, "mother")]
+    got = {r.id: r for r in pitman_yor.text_log_probabilities(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 40).collect()}
+    assert got["100"].score > got["101"].score + 1 and got["103"].score > got["102"].score + 1
+    tokens = rng.integers(0, 30, 2000).astype(np.uint64)
+    table = PairTable.of(np.append(tokens, np.uint64(0)), np.ones(2001, bool))
+    parts = [table.part(mine, used) for _, mine, used in table.buckets(4)]
+    again = PairTable.unpacked(*PairTable.merged(parts).packed())
+    assert (again.pairs == table.pairs).all() and (again.counts == table.counts).all() and (again.hashes == table.hashes).all()
+    rest = pitman_yor.Contexts(table)
+    root = rng.dirichlet(np.ones(rest.size + 1))  # the last one for all unseen words
+    for _ in range(3):
+        rest.sweep(root[:-1], 0.7, rng)
+        n, t = rest.total(rest.customers), rest.total(rest.tables)
+        seen = np.bincount(rest.context, pitman_yor.chance(rest.customers, rest.tables, n[rest.context], t[rest.context], root[rest.word], 0.7), rest.size)
+        other = np.ones(rest.size) - np.bincount(rest.context, root[rest.word], rest.size)
+        assert np.allclose(seen + pitman_yor.chance(0, 0, n, t, other, 0.7), 1, atol=1e-12)
+    totals = pitman_yor.Totals(9, 3, 0.7, 0.6, 9, 4)
+    assert np.isclose(totals.root(np.array([5, 3, 1, 0]), np.array([2, 1, 1, 0])).sum(), 1)
+
+
 def test_seating():
     """Tables stay between one and the customers; more likely parents give more tables."""
     c = np.array([0, 1, 2, 50, 5000])

@@ -16,6 +16,7 @@ from riskloom.llm.linededup import remove_repeated_lines
 from riskloom.llm.packing import pack
 from riskloom.llm.query_language_models import quality_scores
 from riskloom.llm.query_packing import RANKS
+from riskloom.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,7 +28,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is beyond the limit of their language go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    gone = quality_scores(docs.select("doc_id", "text", "lang"), labels).where("rejected").select(F.col("row_key").alias("__key")).distinct()
+    gone = cut_lineage(quality_scores(docs.select("doc_id", "text", "lang"), labels).where("rejected").select(F.col("row_key").alias("__key")).distinct())
     return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(gone, "__key", "left_anti").select(*COLUMNS)
 
 
@@ -38,8 +39,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    kept = similarity_join(docs.select("doc_id", "text")).where("doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").select(*COLUMNS)
+    found = similarity_join(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.expr("doc_id <=> class_id")).alias("__kept"))
+    gone = cut_lineage(found.where("not __kept").select("__id"))  # few, and their size is known: texts need no shuffle
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

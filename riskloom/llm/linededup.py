@@ -43,9 +43,9 @@ NEWLINE = 10
 
 
 class Lines:
-    """The lines of a block and their windows."""
+    """The lines of a block."""
 
-    def __init__(self, block: Block, words: int):
+    def __init__(self, block: Block):
         first, last = runs(~SPACE_BYTES[block.data])
         breaks = np.concatenate(([0], np.cumsum(block.data == NEWLINE)))
         new = np.ones(len(first), bool)
@@ -55,10 +55,17 @@ class Lines:
         self.begin, self.end = first[head], last[tail]
         self.words = tail - head + 1
         self.text = owners(block.starts, self.begin)
-        self.hashes = span_hashes(block.data, self.begin, self.end)
         self.n_words = np.bincount(self.text, self.words, len(block.sizes)).astype(np.int64)
+
+
+class Windows(Lines):
+    """The lines of a block and their windows."""
+
+    def __init__(self, block: Block, words: int):
+        super().__init__(block)
+        self.hashes = span_hashes(block.data, self.begin, self.end)
         total = np.concatenate(([0], np.cumsum(self.words)))
-        n = len(head)
+        n = len(self.begin)
         a = np.arange(n)
         until = np.searchsorted(total[1:], total[:-1] + words)
         fits = until < n
@@ -88,7 +95,7 @@ class Lines:
 def _counted(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            lines = Lines(block, words)
+            lines = Windows(block, words)
             value, n = np.unique(lines.hashes[np.unique(lines.chosen)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["__print", "__n"])
 
@@ -100,7 +107,7 @@ def _placed(words: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            lines = Lines(block, words)
+            lines = Windows(block, words)
             if not len(lines.first):
                 continue
             text, chosen = lines.text[lines.first], lines.chosen
@@ -113,7 +120,7 @@ def _placed(words: int):
             line = chosen[order][cut]
             raw = pa.py_buffer(packed.tobytes())
             offsets = pa.py_buffer((np.append(cut, len(order)) * 16).astype(np.int32).tobytes())
-            rows = block.rows.take(pa.array(lines.text[line]))
+            rows = block.rows.select(["__id", "__key"]).take(pa.array(lines.text[line]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(lines.hashes[line].view(np.int64)), rows.column("__id"), rows.column("__key"), pa.BinaryArray.from_buffers(pa.binary(), len(cut), [None, offsets, raw])],
                 ["__print", "__id", "__key", "__windows"],
@@ -126,10 +133,10 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        column = b.column("__windows")
-        packed = np.frombuffer(b"".join(column.to_pylist()), np.dtype([("hash", "<u8"), ("start", "<i4"), ("end", "<i4")]))
-        n = np.array([len(x) // 16 for x in column.to_pylist()])
-        rows = b.take(pa.array(np.repeat(np.arange(len(n)), n)))
+        found = b.column("__windows").to_pylist()
+        packed = np.frombuffer(b"".join(found), np.dtype([("hash", "<u8"), ("start", "<i4"), ("end", "<i4")]))
+        n = np.array([len(x) // 16 for x in found])
+        rows = b.select(["__id", "__key"]).take(pa.array(np.repeat(np.arange(len(n)), n)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(packed["hash"].view(np.int64)), rows.column("__id"), rows.column("__key"), pa.array(packed["start"]), pa.array(packed["end"])],
             ["__window", "__id", "__key", "__start", "__end"],
@@ -151,14 +158,18 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
         names = block.rows.schema.names
         spans = block.rows.column("__spans").to_pylist()
-        lines = Lines(block, 1)
-        texts, removed, gone = [], [], np.zeros(len(spans), np.int64)
+        lines = Lines(block)
+        fresh, source = [], np.arange(len(spans))  # texts that change, and where each row's text comes from
+        removed, gone = [], np.zeros(len(spans), np.int64)
         at = np.searchsorted(lines.text, np.arange(len(spans) + 1))
         for row, found in enumerate(spans):
+            if not found:
+                removed.append([])
+                continue
             text = block.data[block.starts[row] : block.starts[row] + block.sizes[row]].tobytes()
             begin = lines.begin[at[row] : at[row + 1]] - block.starts[row]
             mine: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in found or ()):
+            for s in sorted((x["start"], x["end"]) for x in found):
                 if mine and s[0] <= mine[-1][1]:
                     mine[-1][1] = max(mine[-1][1], s[1])
                 else:
@@ -170,10 +181,11 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone[row] += lines.words[at[row] + i : at[row] + j].sum()
                 keep.append(text[here:a])
                 here = int(begin[j]) if j < len(begin) else len(text)
-            texts.append(b"".join([*keep, text[here:]]).decode() if mine else None)
+            source[row] = len(spans) + len(fresh)
+            fresh.append(b"".join([*keep, text[here:]]).decode())
             removed.append([{"start": a, "stop": b} for a, b in mine])
         old = block.rows.column("text")
-        fresh = pa.array([x if x is not None else y for x, y in zip(texts, old.to_pylist(), strict=True)], pa.string())
+        fresh = pa.concat_arrays([old, pa.array(fresh, old.type)]).take(pa.array(source)) if fresh else old
         columns = [fresh if n == "text" else block.rows.column(n) for n in names if n != "__spans"]
         out = [pa.array(lines.n_words), pa.array(gone), pa.array(removed, to_arrow_type(RESULT["removed"].dataType))]
         yield pa.RecordBatch.from_arrays([*columns, *out], [*(n for n in names if n != "__spans"), *RESULT.names])

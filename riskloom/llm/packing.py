@@ -37,7 +37,8 @@ _c = F.col
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 # Characters beyond ASCII that count as white space, as UTF-8.
 WIDE_SPACES = [chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-WIDE = re.compile(b"|".join(WIDE_SPACES) + b"|[\x1c-\x1f]")
+WIDE = [*WIDE_SPACES, b"\x1c", b"\x1d", b"\x1e", b"\x1f"]
+SPACE = re.compile(rb"[\x09-\x0d ]")
 NEWLINE = 10
 
 
@@ -64,26 +65,31 @@ class Encoder:
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Encode words: plain ones in one call, with newlines between, the others alone."""
-        plain = [not SPACE_BYTES[np.frombuffer(w[w[:1] == b" " :], np.uint8)].any() and w != b" " for w in words]
-        coded: list[np.ndarray] = [None] * len(words)
-        rows = [i for i, p in enumerate(plain) if p]
-        if rows:
-            ids = np.asarray(self.coder.encode_ordinary(b"\n".join(words[i] for i in rows).decode()), np.uint32)
-            for i, part in zip(rows, np.split(ids, np.flatnonzero(ids == self.break_id)), strict=True):
-                coded[i] = part[1:] if i != rows[0] else part
-        for i, p in enumerate(plain):
-            if not p:
-                coded[i] = np.asarray(self.coder.encode_ordinary(words[i].decode()), np.uint32)
-        n = np.array([len(x) for x in coded], np.int64)
-        at = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, *coded])
+        plain = np.array([w != b" " and not SPACE.search(w, w[:1] == b" ") for w in words], bool)
+        n, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        coded, base = [self.flat], len(self.flat)
+        if plain.any():
+            ids = np.asarray(self.coder.encode_ordinary(b"\n".join(words[i] for i in np.flatnonzero(plain)).decode()), np.uint32)
+            between = ids == self.break_id
+            if int(between.sum()) != int(plain.sum()) - 1:
+                raise ValueError("a word's ids hold a newline")
+            stops = np.append(np.flatnonzero(between), len(ids))
+            n[plain] = np.diff(stops, prepend=-1) - 1
+            at[plain] = base + stops - n[plain] - np.arange(len(stops))
+            coded.append(ids[~between])
+            base += len(coded[-1])
+        for i in np.flatnonzero(~plain):
+            coded.append(np.asarray(self.coder.encode_ordinary(words[i].decode()), np.uint32))
+            n[i], at[i] = len(coded[-1]), base
+            base += len(coded[-1])
+        self.flat = np.concatenate(coded)
         order = np.argsort(all_keys := np.concatenate((self.keys, keys)), kind="stable")
         self.keys, self.at, self.n = all_keys[order], np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
 
     def encode(self, block) -> list[np.ndarray]:
         """The ids of each text of the block."""
         raw = block.data.tobytes()
-        if WIDE.search(raw):
+        if any(x in raw for x in WIDE):
             return [np.asarray(self.coder.encode_ordinary(raw[a : a + n].decode()), np.uint32) for a, n in zip(block.starts, block.sizes, strict=True)]
         d = block.data
         space = SPACE_BYTES[d]
@@ -98,9 +104,13 @@ class Encoder:
         first = np.flatnonzero(begin)
         last = np.concatenate((first[1:], [len(d)]))
         hashes = span_hashes(d, first, last)
-        closing = np.isin(first, ends)
+        closing = np.zeros(len(d), bool)
+        closing[ends] = True
+        closing = closing[first]
         words, where = np.unique(hashes[~closing], return_index=True)
-        known = np.isin(words, self.keys)
+        known = np.zeros(len(words), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)] == words
         if not known.all():
             if len(self.keys) + len(words) > self.most_words:
                 self.forget()

@@ -7,13 +7,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import lines_of, repeated_lines
 
-from riskloom.llm import kneser_ney, language, pitman_yor, toxicity
+from riskloom.llm import kneser_ney, language, linededup, pitman_yor, toxicity
 from riskloom.llm.chat import chat_digest, format_chats, read_back
 from riskloom.llm.fmindex import FmIndex, decontaminate
-from riskloom.llm.grams import PairTable, encode, gram_counts
+from riskloom.llm.grams import PairTable, encode, gram_counts, marked
 from riskloom.llm.jaccard import runs_for, similarity_join
 from riskloom.llm.linededup import remove_repeated_lines
 from riskloom.llm.packing import Encoder, pack, shortest_pack_first
@@ -70,6 +71,33 @@ def test_line_dedup(spark, docs, nothing):
     assert remove_repeated_lines(nothing).count() == 0
 
 
+def test_line_dedup_moves_no_texts(spark):
+    """Rows per fingerprint carry the keys alone: a text is not copied once for each of its lines."""
+    taken = []
+
+    class Rows:
+        def __init__(self, rows):
+            self.rows, self.schema, self.num_rows = rows, rows.schema, rows.num_rows
+
+        def __getattr__(self, name):
+            return getattr(self.rows, name)
+
+        def select(self, names):
+            return Rows(self.rows.select(names))
+
+        def take(self, at):
+            taken.append(list(self.schema.names))
+            return self.rows.take(at)
+
+    class Batch(Rows):
+        def slice(self, *at):
+            return Rows(self.rows.slice(*at))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), pa.array([LONG, LONG[3:]])], ["__id", "__key", "text"])
+    assert sum(b.num_rows for b in linededup._placed(50)([Batch(batch)])) and taken
+    assert all("text" not in names for names in taken)
+
+
 def test_syncmers(docs, nothing):
     rows = sorted(({(d if d is not None else -1, t or "") for d, t in ROWS}))
     got = edited_fingerprints(docs).collect()
@@ -236,6 +264,26 @@ def test_quality_learns_from_all_trusted_rows(spark):
     assert got.where("trained").count() == docs.where(F.pmod(F.xxhash64("text"), F.lit(5)) != 0).count()
 
 
+def test_encoder_learns_words_in_parts(docs):
+    """Words learned in several calls, in any mix, keep their own ids; nothing is sorted that isn't new."""
+    coder = Encoder(RANKS, public_tokenizers.PATTERN)
+    for words in ([b"one"], [b" two", b" ", b"a  b", "\u00e9t\u00e9".encode()], [b"three", b" four"], [b"\t"]):
+        coder.learn(np.arange(len(coder.keys), len(coder.keys) + len(words), dtype=np.uint64), words)
+    every = [b"one", b" two", b" ", b"a  b", "\u00e9t\u00e9".encode(), b"three", b" four", b"\t"]
+    for k, w in enumerate(every):
+        assert coder.flat[coder.at[k] : coder.at[k] + coder.n[k]].tolist() == coder.coder.encode_ordinary(w.decode())
+    assert len(coder.flat) == coder.n.sum()  # as before: no breaks are kept
+
+
+def test_trusted_ids_move_no_texts(spark):
+    """Ids come to the chunks as bits, whatever their number: no plan with a text joins before the chunks."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c"), (2, "d")], "doc_id long, text string")
+    chunks = encode(docs, F.lit(True))
+    got = marked(chunks, spark.createDataFrame([("2",), ("7",)], "id string")).select(F.explode(F.arrays_zip("ids", "trained")).alias("r")).select("r.*").collect()
+    assert Counter((r.ids, r.trained) for r in got) == Counter({("2", True): 2, ("1", False): 1, (None, False): 1})
+    assert "text" not in marked(chunks, spark.createDataFrame([("2",)], "id string")).columns
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 

@@ -12,9 +12,11 @@ all its words). Equal sets form one class, and only classes are joined.
    s_0 = 1 and s_d = 1 - exp(-s_(d-1)); runs are repeated until 1 - (1 - s_DEPTH)^runs reaches the
    target recall. Leaves with the same members are compared once.
 3. Inside a leaf, classes whose signatures agree in `LOOSE` of the places or more are linked, each
-   to one other; leaves that stay large are dealt into blocks, where classes are linked to a few
-   leaders, and the leaders to each other, more loosely still (the triangle inequality of Jaccard
-   distance keeps every pair at the threshold together). Linked classes form candidate groups.
+   to one other. In large leaves, classes that agree in `LEADER` of the places are first linked to
+   a leader; leaders are linked if they agree in `LOOSE` of the places less their radii (the number
+   of differing places is a metric, so no pair of their members is lost). A leaf of more than
+   `DEALT` classes is dealt into blocks, and only the leaders of two blocks meet, in a task for
+   each two. A leaf gives at most one link a class. Linked classes form candidate groups.
 4. Exact check: every pair of a candidate group is compared by its true sets, as sparse matrix
    products. A large group is dealt into blocks and its pairs of blocks are separate tasks. Only
    the number of links of each class, and one link to its cluster, leave a task - never pairs.
@@ -47,7 +49,7 @@ _c = F.col
 COORDINATES = 128
 LEAF, DEPTH = 64, 3
 LOOSE = 0.6  # five standard deviations of the estimate below 0.8
-LEADER, NEAR_LEADER = 0.8, 0.25
+LEADER, DEALT = 0.9, 2048
 BLOCK_ROWS, BLOCK_BYTES = 1500, 16 << 20
 FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = mix(np.arange(1001, COORDINATES + 1001, dtype=np.uint64))
@@ -179,9 +181,11 @@ def slices(table: pa.Table, by: tuple[str, ...]) -> Iterator[tuple[int, int]]:
 
 def clusters(linked: np.ndarray) -> np.ndarray:
     """The smallest number in each part of a graph, given as a symmetric boolean matrix."""
-    label = np.arange(len(linked))
+    label = np.arange(len(linked), dtype=np.int32)
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1, initial=len(label)))
+        new = label.copy()
+        for i in range(0, len(linked), 256):
+            new[i : i + 256] = np.minimum(label[i : i + 256], np.where(linked[i : i + 256], label[None, :], np.int32(len(label))).min(1, initial=len(label)))
         new = new[new]
         if (new == label).all():
             return label
@@ -189,57 +193,79 @@ def clusters(linked: np.ndarray) -> np.ndarray:
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shares of equal places between rows of a and rows of b, some rows at a time."""
-    return np.concatenate([(a[i : i + 256, None, :] == b[None, :, :]).mean(2) for i in range(0, len(a), 256)]) if len(a) else np.zeros((0, len(b)))
-
-
-def linked_to(signed: np.ndarray, dense: bool, loose: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row another row of its cluster (or itself), and the rows that are leaders."""
-    if not dense:
-        return clusters(agreement(signed, signed) >= loose), np.zeros(0, np.int64)
-    leaders, free, near = [], np.ones(len(signed), bool), []
-    mine = np.full(len(signed), -1)
-    while free.any():
-        at = int(np.flatnonzero(free)[0])
-        share = (signed == signed[at]).mean(1)
-        close = free & (share >= LEADER)
-        close[at] = True
-        mine[close] = at
-        free &= ~close
-        leaders.append(at)
-        near.append(share >= NEAR_LEADER)
-    near_of = np.stack(near).astype(np.float32)
-    label = clusters(near_of @ near_of.T > 0)
-    leaders = np.array(leaders)
-    mine[leaders] = leaders[label]
-    return mine, leaders
-
-
-def _linking(loose: float):
-    by = ("node", "block")
+    """Numbers of equal places between rows of a and rows of b."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    mine, other = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for x, y in zip(mine, other, strict=True):
+        out += x[:, None] == y[None, :]
+    return out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups_of(batches, by):
-            key, dense = table.column("key").to_pylist(), table.column("dense").to_numpy()
-            signed = signature_rows(table.column("signature").combine_chunks())
-            node = table.column("node").to_numpy()
-            out: list[tuple] = []
-            for a, b in slices(table, by):
-                if b - a == 2 and not dense[a]:
-                    if (signed[a] == signed[a + 1]).mean() >= loose:
-                        out.append((key[a], key[a + 1], None, None))
-                    continue
-                to, leaders = linked_to(signed[a:b], bool(dense[a]), loose)
-                out += [(key[a + i], key[a + j], None, None) for i, j in enumerate(to.tolist()) if i != j]
-                out += [(key[a + i], None, int(node[a]), signed[a + i].tobytes()) for i in leaders.tolist()]
-            if out:
-                src, dst, nodes, sigs = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary())], ["src", "dst", "node", "signature"])
 
-    return run
+def close(signed: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which leaders may have members that agree in `LOOSE` of the places: those that agree in at
+    most the sum of their radii less."""
+    return agreement(signed, signed).astype(np.int16) >= math.ceil(LOOSE * COORDINATES) - radius[:, None] - radius[None, :]
 
 
-LINKS = "src binary, dst binary, node long, signature binary"
+def linked_to(signed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row another row of its cluster (or itself); the leaders, and their radii: the most
+    places in which one of a leader's rows differs from it."""
+    if len(signed) <= LEAF:
+        every, none = np.arange(len(signed)), np.zeros(len(signed), np.int16)
+        return clusters(close(signed, none)), every, none
+    leaders, radii = [], []
+    mine = np.full(len(signed), -1)
+    free = np.arange(len(signed))
+    while len(free):
+        same = (signed[free] == signed[free[0]]).sum(1)
+        near = same >= LEADER * COORDINATES
+        mine[free[near]] = free[0]
+        leaders.append(free[0])
+        radii.append(COORDINATES - same[near].min())
+        free = free[~near]
+    at, radius = np.array(leaders), np.array(radii, np.int16)
+    mine[at] = at[clusters(close(signed[at], radius))]
+    return mine, at, radius
+
+
+def _linking(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside blocks; of a node that was dealt into several, also the leaders of each block."""
+    by = ("node", "block")
+    for table in groups_of(batches, by):
+        key, parts = table.column("key").to_pylist(), table.column("parts").to_numpy()
+        signed = signature_rows(table.column("signature").combine_chunks())
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        out: list[tuple] = []
+        for a, b in slices(table, by):
+            if b - a == 2 and parts[a] == 1:
+                if (signed[a] == signed[a + 1]).mean() >= LOOSE:
+                    out.append((key[a], key[a + 1], None, None, None, None, None))
+                continue
+            to, leaders, radius = linked_to(signed[a:b])
+            out += [(key[a + i], key[a + j], None, None, None, None, None) for i, j in enumerate(to.tolist()) if i != j]
+            if parts[a] > 1:
+                out += [(key[a + i], None, int(node[a]), int(block[a]), int(parts[a]), r, signed[a + i].tobytes()) for i, r in zip(leaders.tolist(), radius.tolist(), strict=True)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), LINK_TYPES, strict=True)], schema=LINK_TYPES)
+
+
+def _linking_leaders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the leaders of two blocks of a node."""
+    by = ("node", "low", "high")
+    for table in groups_of(batches, by):
+        key, block, radius = table.column("key").to_pylist(), table.column("block").to_numpy(), table.column("radius").to_numpy().astype(np.int16)
+        signed = signature_rows(table.column("signature").combine_chunks())
+        out: list[tuple] = []
+        for a, b in slices(table, by):
+            linked = close(signed[a:b], radius[a:b]) & (block[a:b, None] != block[None, a:b])
+            out += [(key[a + i], key[a + j]) for i, j in enumerate(clusters(linked).tolist()) if i != j]
+        if out:
+            src, dst = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+
+
+LINK_TYPES = pa.schema([("src", pa.binary()), ("dst", pa.binary()), ("node", pa.int64()), ("block", pa.int32()), ("parts", pa.int32()), ("radius", pa.int16()), ("signature", pa.binary())])
+LINKS = "src binary, dst binary, node long, block int, parts int, radius short, signature binary"
 
 
 def candidate_groups(classes: DataFrame, threshold: float) -> DataFrame:
@@ -252,17 +278,18 @@ def candidate_groups(classes: DataFrame, threshold: float) -> DataFrame:
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).where("n > 1")
         small = F.lit(True) if depth == DEPTH else _c("n") <= LEAF
         leaves = sizes.where(small).groupBy("n", "members").agg(F.min("node").alias("node")).select("node", "n")
-        rows = nodes.join(leaves, "node").join(signed, "key").withColumn("dense", _c("n") > LEAF)
-        parts = F.when(_c("dense"), F.ceil(_c("n") / 4096)).otherwise(1)
-        dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), parts).cast("int")).select("node", "block", "dense", "key", "signature")
-        links.append(dealt.repartition("node", "block").sortWithinPartitions("node", "block", "key").mapInArrow(_linking(LOOSE), LINKS))
+        rows = nodes.join(leaves, "node").join(signed, "key").withColumn("parts", F.ceil(_c("n") / DEALT).cast("int"))
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), "parts").cast("int")).select("node", "block", "parts", "key", "signature")
+        links.append(dealt.repartition("node", "block").sortWithinPartitions("node", "block", "key").mapInArrow(_linking, LINKS))
         if depth < DEPTH:
             large = sizes.where(~small).select("node")
             nodes = nodes.join(large, "node").join(signed, "key").select("node", "key", "signature").mapInArrow(_split(threshold), "node long, key binary")
     found = cut_lineage(links[0].unionByName(links[1]).unionByName(links[2]))
-    leaders = found.where("dst is null").select("node", F.lit(0).alias("block"), F.lit(True).alias("dense"), _c("src").alias("key"), "signature")
-    across = leaders.repartition("node").sortWithinPartitions("node", "key").mapInArrow(_linking(NEAR_LEADER), LINKS)
-    edges = found.unionByName(across).where("dst is not null").select("src", "dst")
+    # leaders of a node of several blocks: each block meets every other once
+    leaders = found.where("dst is null").withColumn("other", F.explode(F.sequence(F.lit(0), _c("parts") - 1))).where("other != block")
+    paired = leaders.select("node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), _c("src").alias("key"), "block", "radius", "signature")
+    across = cut_lineage(paired.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "key").mapInArrow(_linking_leaders, "src binary, dst binary"))
+    edges = found.where("dst is not null").select("src", "dst").unionByName(across)
     return components(edges).select(_c("node").alias("key"), _c("component").alias("group"))
 
 

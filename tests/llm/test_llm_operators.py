@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from brute import lines_of, repeated_lines
 
-from riskloom.llm import kneser_ney, language, linededup, pitman_yor, toxicity
+from riskloom.llm import jaccard, kneser_ney, language, linededup, pitman_yor, toxicity
 from riskloom.llm.chat import chat_digest, format_chats, read_back
 from riskloom.llm.fmindex import FmIndex, decontaminate
 from riskloom.llm.grams import PairTable, encode, gram_counts, marked
@@ -136,6 +136,41 @@ def test_jaccard(spark, docs, nothing):
     assert runs_for(0.9999) >= 15
 
 
+def test_loosely_like_classes_form_no_group(spark, monkeypatch):
+    """Classes that agree in a third of the places are no candidates, however many share a leaf; a
+    group of near copies among them is found whole, also when a leaf is dealt into blocks."""
+    own = np.random.default_rng(8)
+    draw = lambda n: own.integers(0, 1 << 16, (n, jaccard.COORDINATES)).astype(np.uint16)
+    values = np.where(own.random((600, jaccard.COORDINATES)) < 0.6, draw(1), draw(600))
+    copies = np.repeat(values[:1], 250, axis=0)
+    np.put_along_axis(copies, own.integers(0, jaccard.COORDINATES, (250, 6)), draw(250)[:, :6], 1)
+    values = np.concatenate((values, copies))
+    nodes: list[list[int]] = [[] for _ in values]
+    for one in jaccard.mix(np.arange(runs_for(0.9999), dtype=np.uint64)):
+        for row, child in zip(*jaccard.children(np.full(len(values), one), values.astype(np.uint64), 0.8), strict=True):
+            nodes[row].append(int(child.view(np.int64)))
+    rows = [(i.to_bytes(4, "big"), v.tobytes(), n) for i, (v, n) in enumerate(zip(values, nodes, strict=True))]
+    classes = spark.createDataFrame([(bytearray(k), bytearray(v), n) for k, v, n in rows], "key binary, signature binary, nodes array<long>")
+    for dealt in (jaccard.DEALT, 100):
+        monkeypatch.setattr(jaccard, "DEALT", dealt)
+        found = jaccard.candidate_groups(classes, 0.8).collect()
+        assert len({bytes(r.group) for r in found}) == 1 and {int.from_bytes(r.key, "big") for r in found} == {0, *range(600, 850)}
+
+
+def test_leaders_keep_every_pair():
+    """Rows that agree in enough places are linked, whatever leaders stand for them."""
+    own = np.random.default_rng(9)
+    base = own.integers(0, 1 << 16, (3, jaccard.COORDINATES))
+    values = np.concatenate([np.where(own.random((150, jaccard.COORDINATES)) < p, b, own.integers(0, 1 << 16, (150, jaccard.COORDINATES))) for b, p in zip(base, (0.97, 0.85, 0.77), strict=True)])
+    to, leaders, _ = jaccard.linked_to(values.astype(np.uint16))
+    part = np.arange(len(to))
+    for _ in to:
+        part = np.minimum(part, part[to])
+        np.minimum.at(part, to, part.copy())
+    same = jaccard.agreement(values, values)
+    assert (part[:, None] == part)[same >= 0.6 * jaccard.COORDINATES].all() and 3 < len(leaders) < 450 and len(set(part)) > 2
+
+
 def test_fm_index():
     for _ in range(60):
         seq = [int(x) for x in rng.integers(1, 4, rng.integers(1, 50))]

@@ -5,7 +5,8 @@ ends, then the end symbol (a newline, which also fills the contexts before a tex
 `ORDER` bytes is one 40-bit number, its newest byte lowest, so it is exact and its shorter forms
 are its low bytes.
 
-1. `encode` (one pass, no shuffle): tasks cut their texts into chunks and write them packed.
+1. `encode` (one pass, no shuffle): tasks cut their texts into chunks and write them packed;
+   `encode_tokens` writes numbers of words in place of texts.
    `marked` brings the ids of a table to the chunks as one bit a text, so no text is moved for it.
 2. `chunk_grams` gives the distinct n-grams of each chunk with their counts in training texts,
    `chunk_pairs` its distinct pairs of neighbouring words, by bucket of the first.
@@ -39,7 +40,9 @@ _c = F.col
 ORDER = 5
 END = 10
 CHUNK_BYTES = 32 << 20
-CHUNKS = "chunk long, data binary, sizes binary, ids array<string>, langs array<string>, row_keys array<long>, trained array<boolean>"
+ABOUT = "ids array<string>, langs array<string>, row_keys array<long>, trained array<boolean>"
+CHUNKS = f"chunk long, data binary, sizes binary, {ABOUT}"
+TOKEN_CHUNKS = f"chunk long, hashes binary, places binary, counts binary, tokens binary, sizes binary, {ABOUT}"
 LOW = 0xFFFFFFFF
 
 
@@ -86,11 +89,11 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def deltas(x: np.ndarray) -> bytes:
     """Rising numbers, packed by their steps (each below 2^32)."""
-    return shrink(np.diff(x, prepend=0).astype(np.uint32))
+    return planes(np.diff(x, prepend=0).astype(np.uint32))
 
 
 def undeltas(x: bytes) -> np.ndarray:
-    return np.cumsum(grow(x, np.uint32).astype(np.int64))
+    return np.cumsum(unplanes(x, np.uint32).astype(np.int64))
 
 
 @dataclass
@@ -109,7 +112,7 @@ class PairTable:
     def of(cls, hashes: np.ndarray, counted: np.ndarray) -> PairTable:
         """From the tokens of whole texts; `counted` are the weights of the tokens."""
         value, back = np.unique(hashes, return_inverse=True)
-        return cls(value, *with_counts(np.concatenate(([0], back[:-1])) << 32 | back, counted))
+        return cls(value, *with_counts(neighbours(back), counted))
 
     @classmethod
     def merged(cls, parts: list[PairTable]) -> PairTable:
@@ -142,6 +145,11 @@ class PairTable:
         return PairTable(self.hashes[used], renumbered(self.pairs[mine], number), self.counts[mine])
 
 
+def neighbours(numbers: np.ndarray) -> np.ndarray:
+    """The pair that ends at each token of whole texts."""
+    return np.concatenate(([0], numbers[:-1])) << 32 | numbers
+
+
 def renumbered(pairs: np.ndarray, number: np.ndarray) -> np.ndarray:
     return number[pairs >> 32] << 32 | number[pairs & LOW]
 
@@ -185,7 +193,9 @@ def unplanes(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(grow(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _encoder(chunk_bytes: int) -> Callable:
+def _encoder(chunk_bytes: int, schema: str, part: Callable, whole: Callable) -> Callable:
+    """`part` gives what is kept of a block and its bytes, `whole` the packed columns of a chunk."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         held: list[tuple] = []
@@ -195,19 +205,18 @@ def _encoder(chunk_bytes: int) -> Callable:
             nonlocal made
             chunk = (task << 24) | made
             made += 1
-            data, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            row = [chunk, bz2.compress(data.tobytes()), shrink(sizes.astype(np.int32)), *(sum((h[2][k] for h in held), []) for k in range(4))]
+            row = [chunk, *whole([h[0] for h in held]), *(sum((h[1][k] for h in held), []) for k in range(4))]
             held.clear()
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-            names = [x.split()[0] for x in CHUNKS.split(", ")]
+            names = [x.split()[0] for x in schema.split(", ")]
+            kinds = [pa.int64(), *[pa.binary()] * (len(names) - 5), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names)
 
         size = 0
         for block in blocks(batches):
-            data, sizes = normal_bytes(block)
+            kept, n = part(block)
             column = lambda n, b=block: b.rows.column(b.rows.schema.get_field_index(n)).to_pylist()
-            held.append((data, sizes, (column("__id"), column("__lang"), column("__key"), column("__train"))))
-            size += len(data)
+            held.append((kept, (column("__id"), column("__lang"), column("__key"), column("__train"))))
+            size += n
             if size >= chunk_bytes:
                 yield flush()
                 size = 0
@@ -217,6 +226,47 @@ def _encoder(chunk_bytes: int) -> Callable:
     return run
 
 
+def _part_bytes(block: Block) -> tuple[tuple, int]:
+    data, sizes = normal_bytes(block)
+    return (data, sizes), len(data)
+
+
+def _packed_bytes(parts: list[tuple]) -> tuple:
+    data, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return bz2.compress(data.tobytes()), shrink(sizes.astype(np.int32))
+
+
+def _part_tokens(block: Block) -> tuple[tuple, int]:
+    data, sizes = normal_bytes(block)
+    value, back = np.unique(token_hashes(data, sizes), return_inverse=True)
+    return (value, back.astype(np.int32), token_counts(data, sizes)), len(data)
+
+
+def _packed_tokens(buckets: int) -> Callable:
+    def run(parts: list[tuple]) -> tuple:
+        value, number = np.unique(np.concatenate([v for v, _, _ in parts]), return_inverse=True)
+        base = np.cumsum([0] + [len(v) for v, _, _ in parts])
+        tokens = np.concatenate([number[a:][back] for a, (_, back, _) in zip(base[:-1], parts, strict=True)])
+        counts = np.bincount(tokens, minlength=len(value))
+        sizes = np.concatenate([n for _, _, n in parts])
+        return planes(value), planes((value % np.uint64(buckets)).astype(np.int32)), planes(counts), planes(ranks(counts)[tokens].astype(np.uint32)), shrink(sizes.astype(np.int32))
+
+    return run
+
+
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """The place of each token when the most frequent come first."""
+    out = np.empty(len(counts), np.int64)
+    out[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return out
+
+
+def tokens_of(row) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a chunk by their numbers among its distinct ones, and those of each text."""
+    order = np.argsort(-unplanes(row["counts"], np.int64), kind="stable")
+    return order[unplanes(row["tokens"], np.uint32)], grow(row["sizes"], np.int32).astype(np.int64)
+
+
 def token_counts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Tokens of each text: its words and the end."""
     begin = np.cumsum(sizes) - sizes
@@ -225,11 +275,20 @@ def token_counts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, train, lang=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write the chunks of `docs`; `train` is a boolean column, `lang` a string column."""
-    rows = docs.select(
+    return cut_lineage(_rows(docs, train, lang).mapInArrow(_encoder(chunk_bytes, CHUNKS, _part_bytes, _packed_bytes), CHUNKS))
+
+
+def encode_tokens(docs: DataFrame, train, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Write the chunks of `docs` as token numbers, the most frequent lowest: the hashes of a
+    chunk's distinct tokens (rising), their buckets and counts, and the tokens of its texts."""
+    return cut_lineage(_rows(docs, train).mapInArrow(_encoder(chunk_bytes, TOKEN_CHUNKS, _part_tokens, _packed_tokens(buckets)), TOKEN_CHUNKS))
+
+
+def _rows(docs: DataFrame, train, lang=None) -> DataFrame:
+    return docs.select(
         _c("doc_id").cast("string").alias("__id"), (F.lit(None).cast("string") if lang is None else lang).alias("__lang"),
         F.xxhash64("doc_id", "text").alias("__key"), F.coalesce(train, F.lit(False)).alias("__train"), "text",
     )
-    return cut_lineage(rows.mapInArrow(_encoder(chunk_bytes), CHUNKS))
 
 
 def marked(chunks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -261,19 +320,13 @@ def chunk_pairs(chunks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chunk_rows(batches):
-            data, sizes = text_of(row)
-            weight = np.repeat(np.array(row["trained"], bool), token_counts(data, sizes))
-            parts, done = [], 0
-            for i, j, a, b in text_groups(sizes, 1 << 20):
-                hashes = token_hashes(data[a:b], sizes[i:j])
-                parts.append(PairTable.of(hashes, weight[done : done + len(hashes)]))
-                done += len(hashes)
-            table = PairTable.merged(parts)
+            tokens, n = tokens_of(row)
+            table = PairTable(unplanes(row["hashes"], np.uint64), *with_counts(neighbours(tokens), np.repeat(np.array(row["trained"], bool), n)))
             rows = [(row["chunk"], b, *table.part(mine, used).packed()) for b, mine, used in table.buckets(buckets)]
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "bucket", "words", "pairs", "counts"])
 
-    return chunks.select("chunk", "data", "sizes", "trained").mapInArrow(run, "chunk long, bucket int, words binary, pairs binary, counts binary")
+    return chunks.select("chunk", "hashes", "counts", "tokens", "sizes", "trained").mapInArrow(run, "chunk long, bucket int, words binary, pairs binary, counts binary")
 
 
 def gram_counts(chunks: DataFrame, grams: DataFrame | None = None) -> DataFrame:

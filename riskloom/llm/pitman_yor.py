@@ -20,7 +20,7 @@ again gives the same values.
 Data flow: pairs are dealt to buckets by the hash of the context, so a restaurant is whole in its
 bucket, and the dishes of the root are dealt to shards by the hash of the word. Buckets and shards
 exchange packed numbers in an order that both know (customers of the root up, customers and tables
-of the root down); the words' hashes are sent once. A chunk of texts asks buckets for its distinct
+of the root down); the words' hashes are sent once, later rows carry the words' shards. A chunk of texts asks buckets for its distinct
 pairs and gets counts and tables back, from which it computes the probabilities. The driver sees
 only sums over the whole model. Every group has the fixed size of a chunk or the share of a bucket
 or shard; a context with very many different words after it is one restaurant, in one bucket.
@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.grams import LOW, PairTable, about, chunk_pairs, deltas, encode, planes, renumbered, text_of, token_counts, token_hashes, undeltas, unplanes
+from riskloom.llm.grams import LOW, PairTable, about, chunk_pairs, deltas, encode_tokens, neighbours, planes, renumbered, tokens_of, undeltas, unplanes
 from riskloom.session import cut_lineage
 
 _c = F.col
@@ -109,28 +109,33 @@ class Contexts:
         self.tables = seat(self.customers, self.tables, self.total(self.tables)[self.context], root[self.word], discount, rng)
 
 
-MERGED = "bucket int, chunk long, words binary, pairs binary, counts binary, once long, twice long"
+MERGED = "bucket int, chunk long, hashes binary, words binary, pairs binary, counts binary, once long, twice long"
 
 
-def merge_pairs(pairs: DataFrame) -> DataFrame:
-    """Per bucket a row with chunk -1: its tokens, pairs and training counts; and per chunk the
-    places of that chunk's tokens and pairs among them."""
+def merge_pairs(pairs: DataFrame, shards: int) -> DataFrame:
+    """Per bucket a row with chunk -1: its tokens (hashes, and as words their shards), pairs and
+    training counts; and per chunk the places of that chunk's tokens and pairs among them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         parts = [PairTable.unpacked(*x) for x in zip(pdf["words"], pdf["pairs"], pdf["counts"], strict=True)]
         v = PairTable.merged(parts)
-        rows = [(bucket, -1, *v.packed(), int((v.counts == 1).sum()), int((v.counts == 2).sum()))]
+        hashes, *packed = v.packed()
+        rows = [(bucket, -1, hashes, planes(shard_of(v.hashes, shards).astype(np.int32)), *packed, int((v.counts == 1).sum()), int((v.counts == 2).sum()))]
         for chunk, p in zip(pdf["chunk"], parts, strict=True):
             number = np.searchsorted(v.hashes, p.hashes)
-            rows.append((bucket, int(chunk), deltas(number), deltas(np.searchsorted(v.pairs, renumbered(p.pairs, number))), None, 0, 0))
+            rows.append((bucket, int(chunk), None, deltas(number), deltas(np.searchsorted(v.pairs, renumbered(p.pairs, number))), None, 0, 0))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in MERGED.split(", ")])
 
     return cut_lineage(pairs.groupBy("bucket").applyInPandas(run, MERGED))
 
 
-def table_of(row) -> PairTable:
-    return PairTable.unpacked(row["words"], row["pairs"], row["counts"])
+def table_of(row) -> tuple[PairTable, np.ndarray]:
+    """The tokens, pairs and counts of a bucket, and the shards of its tokens, which alone go with
+    the rows that are shuffled: there the tokens have no hashes but zeros."""
+    shard = unplanes(row["words"], np.int32)
+    hashes = row.get("hashes")
+    return PairTable.unpacked(planes(np.zeros(len(shard), np.uint64)) if hashes is None else hashes, row["pairs"], row["counts"]), shard
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -145,17 +150,16 @@ def root_row(shard: int, n: np.ndarray, customers: np.ndarray, buckets: list, pl
     return pd.DataFrame([(shard, planes(n), planes(customers), buckets, places, *sums)], columns=[x.split()[0] for x in ROOT.split(", ")])
 
 
-def root_words(own: DataFrame, shards: int) -> DataFrame:
+def root_words(own: DataFrame) -> DataFrame:
     """One row per shard: training counts of its words, in how many contexts each stands (their
     first tables), and the places of each bucket's words among them."""
 
     def asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, row in pdf.iterrows():
-                table = table_of(row)
+                table, shard = table_of(row)
                 rest = Contexts(table)
                 n, customers = rest.of_words(rest.customers), rest.of_words(rest.tables)
-                shard = shard_of(table.hashes, shards)
                 mine = [(int(s), np.flatnonzero(shard == s)) for s in np.unique(shard)]
                 yield pd.DataFrame([(s, row["bucket"], planes(table.hashes[i]), planes(n[i]), planes(customers[i])) for s, i in mine], columns=["shard", "bucket", "words", "n", "customers"])
 
@@ -197,10 +201,9 @@ def seated_root(root: DataFrame, before: Totals | None, pairs_once: int, pairs_t
     return told.where("bucket >= 0").select(_c("bucket").alias("of"), "shard", "n", "customers", "tables"), totals
 
 
-def told_words(hashes: np.ndarray, told: pd.DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def told_words(shard: np.ndarray, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training counts, customers and tables at the root of a bucket's words."""
-    out = np.zeros((3, len(hashes)), np.int64)
-    shard = shard_of(hashes, shards)
+    out = np.zeros((3, len(shard)), np.int64)
     for s, *found in zip(told["shard"], told["n"], told["customers"], told["tables"], strict=True):
         mine = shard == s
         for k, x in enumerate(found):
@@ -208,18 +211,17 @@ def told_words(hashes: np.ndarray, told: pd.DataFrame, shards: int) -> tuple[np.
     return out[0], out[1], out[2]
 
 
-def seated_contexts(own: DataFrame, told: DataFrame, totals: Totals, root: DataFrame, shards: int) -> DataFrame:
+def seated_contexts(own: DataFrame, told: DataFrame, totals: Totals, root: DataFrame) -> DataFrame:
     """The rows of the root with new customers: the tables of the contexts after a round of sweeps."""
 
     def run(key: tuple, own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        table = table_of(own.iloc[0])
+        table, shard = table_of(own.iloc[0])
         rest = Contexts(table)
-        _, customers, tables = told_words(table.hashes, told, shards)
+        _, customers, tables = told_words(shard, told)
         rng = np.random.default_rng([2, int(own["bucket"].iloc[0])])
         for _ in range(SWEEPS):
             rest.sweep(totals.root(customers, tables), totals.context_discount, rng)
         new = rest.of_words(rest.tables)
-        shard = shard_of(table.hashes, shards)
         rows = [(int(s), int(own["bucket"].iloc[0]), planes(new[shard == s])) for s in np.unique(shard)]
         return pd.DataFrame(rows, columns=["at", "bucket", "customers"])
 
@@ -232,21 +234,21 @@ def seated_contexts(own: DataFrame, told: DataFrame, totals: Totals, root: DataF
             customers[undeltas(places[bucket])] += unplanes(x, np.int64)
         return root_row(int(row["shard"]), n, customers, row["buckets"], row["places"])
 
-    new = own.groupBy("bucket").cogroup(told.groupBy("of")).applyInPandas(run, "at int, bucket int, customers binary")
+    new = own.drop("hashes").groupBy("bucket").cogroup(told.groupBy("of")).applyInPandas(run, "at int, bucket int, customers binary")
     return cut_lineage(root.groupBy("shard").cogroup(new.groupBy("at")).applyInPandas(merge, ROOT))
 
 
 ANSWER = "chunk long, bucket int, counts binary, tables binary, context_customers binary, context_tables binary, n binary, customers binary, root_tables binary"
 
 
-def answer_chunks(merged: DataFrame, told: DataFrame, totals: Totals, shards: int) -> DataFrame:
+def answer_chunks(merged: DataFrame, told: DataFrame, totals: Totals) -> DataFrame:
     """Per chunk and bucket: training count and tables (summed over the samples) of its pairs, and
     of its tokens the same as contexts, their training counts, and their place at the root."""
 
     def run(key: tuple, rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        table = table_of(rows[rows["chunk"] < 0].iloc[0])
+        table, shard = table_of(rows[rows["chunk"] < 0].iloc[0])
         rest = Contexts(table)
-        n, customers, root_tables = told_words(table.hashes, told, shards)
+        n, customers, root_tables = told_words(shard, told)
         root = totals.root(customers, root_tables)
         rng = np.random.default_rng([4, int(rows["bucket"].iloc[0])])
         tables = np.zeros(len(rest.context), np.int64)
@@ -261,7 +263,7 @@ def answer_chunks(merged: DataFrame, told: DataFrame, totals: Totals, shards: in
             out.append((asked["chunk"], asked["bucket"], planes(rest.customers[pair]), planes(tables[pair]), *(planes(x[word]) for x in of_tokens)))
         return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWER.split(", ")])
 
-    return merged.groupBy("bucket").cogroup(told.groupBy("of")).applyInPandas(run, ANSWER)
+    return merged.drop("hashes").groupBy("bucket").cogroup(told.groupBy("of")).applyInPandas(run, ANSWER)
 
 
 SUMS = "row_key long, id string, lang string, trained boolean, n_tokens long, n_known long, log_counts double, log_p double"
@@ -272,11 +274,10 @@ def add_up(texts: DataFrame, answered: DataFrame, totals: Totals, buckets: int)
 
     def run(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         t = own.iloc[0]
-        data, sizes = text_of(t)
-        value, back = np.unique(token_hashes(data, sizes), return_inverse=True)
-        pairs, where = np.unique(np.concatenate(([0], back[:-1])) << 32 | back, return_inverse=True)
-        table = PairTable(value, pairs, pairs)
-        logs, counts = np.zeros(len(pairs)), np.zeros(len(value), np.int64)
+        tokens, n_tokens = tokens_of(t)
+        pairs, where = np.unique(neighbours(tokens), return_inverse=True)
+        table = PairTable(unplanes(t["places"], np.int32).astype(np.uint64), pairs, pairs)  # buckets stand for the hashes
+        logs, counts = np.zeros(len(pairs)), np.zeros(len(table.hashes), np.int64)
         answer = got.set_index("bucket")
         for bucket, mine, used in table.buckets(buckets):
             own_n, own_t, ctx_n, ctx_t, n, customers, tables = (unplanes(answer.at[bucket, x.split()[0]], np.int64) for x in ANSWER.split(", ")[2:])
@@ -284,13 +285,12 @@ def add_up(texts: DataFrame, answered: DataFrame, totals: Totals, buckets: int)
             context, samples = at >> 32, SWEEPS - 1
             p = chance(own_n, own_t / samples, ctx_n[context], ctx_t[context] / samples, totals.root(customers, tables)[at & LOW], totals.context_discount)
             logs[mine], counts[used] = np.log10(p), n
-        n = token_counts(data, sizes)
-        begin = np.cumsum(n) - n
-        counts = counts[back]
+        begin = np.cumsum(n_tokens) - n_tokens
+        counts = counts[tokens]
         per = lambda x: np.add.reduceat(x, begin)
-        return pd.DataFrame({**about(t), "n_tokens": n, "n_known": per((counts > 0).astype(np.int64)), "log_counts": per(np.log10(counts + 1.0)), "log_p": per(logs[where])})
+        return pd.DataFrame({**about(t), "n_tokens": n_tokens, "n_known": per((counts > 0).astype(np.int64)), "log_counts": per(np.log10(counts + 1.0)), "log_p": per(logs[where])})
 
-    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(run, SUMS)
+    return texts.drop("hashes").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(run, SUMS)
 
 
 def text_log_probabilities(docs: DataFrame, train: Column) -> DataFrame:
@@ -298,17 +298,17 @@ def text_log_probabilities(docs: DataFrame, train: Column) -> DataFrame:
     the text) and perplexity per token, learned from the rows where `train` holds."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * shards  # pairs are many more than words
-    chunks = encode(docs, train, chunk_bytes=CHUNK)
-    merged = merge_pairs(chunk_pairs(chunks, buckets))
+    chunks = encode_tokens(docs, train, buckets, CHUNK)
+    merged = merge_pairs(chunk_pairs(chunks, buckets), shards)
     own = merged.where("chunk < 0")
     pairs = own.agg(F.sum("once"), F.sum("twice")).first()
     once, twice = pairs[0] or 0, pairs[1] or 0
-    root = root_words(own, shards)
+    root = root_words(own)
     told, totals = seated_root(root, None, once, twice, 1)
-    root = seated_contexts(own, told, totals, root, shards)
+    root = seated_contexts(own, told, totals, root)
     told, totals = seated_root(root, totals, once, twice, 3)
     n, v = totals.tokens, totals.types
-    return add_up(chunks, answer_chunks(merged, told, totals, shards), totals, buckets).select(
+    return add_up(chunks, answer_chunks(merged, told, totals), totals, buckets).select(
         "id", "trained", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (_c("log_counts") - _c("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), _c("log_p").alias("score"),
         F.pow(F.lit(10.0), -_c("log_p") / _c("n_tokens")).alias("perplexity"),

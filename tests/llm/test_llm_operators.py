@@ -14,7 +14,8 @@ from brute import lines_of, repeated_lines
 from riskloom.llm import jaccard, kneser_ney, language, linededup, pitman_yor, toxicity
 from riskloom.llm.chat import chat_digest, format_chats, read_back
 from riskloom.llm.fmindex import FmIndex, decontaminate
-from riskloom.llm.grams import PairTable, encode, gram_counts, marked
+from riskloom.llm.bytetext import blocks
+from riskloom.llm.grams import PairTable, encode, encode_tokens, gram_counts, marked, normal_bytes, token_counts, token_hashes, tokens_of, unplanes
 from riskloom.llm.jaccard import runs_for, similarity_join
 from riskloom.llm.linededup import remove_repeated_lines
 from riskloom.llm.packing import Encoder, pack, shortest_pack_first
@@ -268,6 +269,30 @@ def test_whole_words_are_contexts(spark):
     assert np.isclose(totals.root(np.array([5, 3, 1, 0]), np.array([2, 1, 1, 0])).sum(), 1)
 
 
+def test_token_chunks_hold_no_texts(spark, docs):
+    """The chunks of the model hold the tokens of the texts as numbers, and rows that are shuffled
+    hold no hashes of words."""
+    chunks = encode_tokens(docs.coalesce(1), F.lit(True), 5)
+    assert "data" not in chunks.columns
+    rows = chunks.collect()
+    data, sizes = zip(*(normal_bytes(b) for b in blocks([pa.RecordBatch.from_arrays([pa.array([t for _, t in ROWS], pa.string())], ["text"])])), strict=True)
+    want = {int(r): token_hashes(d, s) for r, (d, s) in enumerate(zip(data, sizes, strict=True))}
+    got = []
+    for row in rows:
+        tokens, n = tokens_of(row.asDict())
+        hashes = unplanes(row["hashes"], np.uint64)
+        assert len(n) == len(row["ids"]) and n.sum() == len(tokens) and (unplanes(row["places"], np.int32) == (hashes % np.uint64(5)).astype(np.int64)).all()
+        got += np.split(hashes[tokens], np.cumsum(n)[:-1])
+    n = np.concatenate([token_counts(d, s) for d, s in zip(data, sizes, strict=True)])
+    texts = np.split(np.concatenate([want[k] for k in sorted(want)]), np.cumsum(n)[:-1])
+    assert sorted(x.tolist() for x in got) == sorted(x.tolist() for x in texts)
+    merged = pitman_yor.merge_pairs(pitman_yor.chunk_pairs(chunks, 5), 3)
+    for row in merged.where("chunk < 0").collect():
+        table, shard = pitman_yor.table_of(row.asDict())
+        bare, again = pitman_yor.table_of({k: v for k, v in row.asDict().items() if k != "hashes"})
+        assert (shard == again).all() and (shard == pitman_yor.shard_of(table.hashes, 3)).all() and (bare.pairs == table.pairs).all() and not bare.hashes.any()
+
+
 def test_seating():
     """Tables stay between one and the customers; more likely parents give more tables."""
     c = np.array([0, 1, 2, 50, 5000])

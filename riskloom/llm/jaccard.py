@@ -194,6 +194,8 @@ def clusters(linked: np.ndarray) -> np.ndarray:
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers of equal places between rows of a and rows of b."""
+    if len(a) * len(b) <= LEAF * LEAF:
+        return (a[:, None, :] == b[None, :, :]).sum(2, dtype=np.uint8)
     out = np.zeros((len(a), len(b)), np.uint8)
     mine, other = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     for x, y in zip(mine, other, strict=True):

@@ -14,7 +14,8 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-_POWERS: list[np.ndarray] = []
+STEP_BITS = 16
+STEP = 1 << STEP_BITS
 
 
 @dataclass
@@ -95,19 +96,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, b, np.uint64)))) for b in (BASE, INVERSE)]
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of `base`."""
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, base % 2**64, np.uint64))))
+
+
+#: Powers up to STEP; a farther one is one of these times a power of base ** STEP. So the memory that
+#: a worker keeps for them does not grow with the longest block it has seen.
+_UP, _DOWN = _powers(int(BASE), STEP), _powers(int(INVERSE), STEP)
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of values[start:end]; equal spans have equal hashes wherever they stand."""
-    up, down = _powers(len(values) + 1)
+    up, down = (_powers(pow(int(b), STEP, 2**64), (len(values) >> STEP_BITS) + 1) for b in (BASE, INVERSE))
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * BASE)
+    for k, a in enumerate(range(0, len(values), STEP)):
+        part = values[a : a + STEP].astype(np.uint64) + np.uint64(1)
+        part *= _UP[: len(part)]
+        part *= up[k]
+        part[:1] += sums[a : a + 1]
+        np.cumsum(part, out=sums[a + 1 : a + 1 + len(part)])
+    back = _DOWN[starts & (STEP - 1)] * down[starts >> STEP_BITS]
+    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64) * BASE)
 
 
 def owners(starts: np.ndarray, positions: np.ndarray) -> np.ndarray:

@@ -40,6 +40,7 @@ _c = F.col
 ORDER = 5
 END = 10
 CHUNK_BYTES = 32 << 20
+MERGED_AT = 1 << 19
 ABOUT = "ids array<string>, langs array<string>, row_keys array<long>, trained array<boolean>"
 CHUNKS = f"chunk long, data binary, sizes binary, {ABOUT}"
 TOKEN_CHUNKS = f"chunk long, hashes binary, places binary, counts binary, tokens binary, sizes binary, {ABOUT}"
@@ -193,11 +194,13 @@ def unplanes(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(grow(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _encoder(chunk_bytes: int, schema: str, part: Callable, whole: Callable) -> Callable:
-    """`part` gives what is kept of a block and its bytes, `whole` the packed columns of a chunk."""
+def _encoder(chunk_bytes: int, schema: str, packer: Callable) -> Callable:
+    """`packer` makes two functions for a task: `part` gives what is kept of a block and its bytes,
+    `whole` the packed columns of a chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
+        part, whole = packer()
         held: list[tuple] = []
         made = 0
 
@@ -226,14 +229,21 @@ def _encoder(chunk_bytes: int, schema: str, part: Callable, whole: Callable) ->
     return run
 
 
-def _part_bytes(block: Block) -> tuple[tuple, int]:
-    data, sizes = normal_bytes(block)
-    return (data, sizes), len(data)
+def _byte_packer() -> tuple[Callable, Callable]:
+    """Bytes are packed as they come: a task holds no chunk of plain text."""
+    stream = bz2.BZ2Compressor()
+
+    def part(block: Block) -> tuple[tuple, int]:
+        data, sizes = normal_bytes(block)
+        return (stream.compress(data), sizes.astype(np.int32)), len(data)
 
+    def whole(parts: list[tuple]) -> tuple:
+        nonlocal stream
+        packed = b"".join([*(p for p, _ in parts), stream.flush()])
+        stream = bz2.BZ2Compressor()
+        return packed, shrink(np.concatenate([n for _, n in parts]))
 
-def _packed_bytes(parts: list[tuple]) -> tuple:
-    data, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return bz2.compress(data.tobytes()), shrink(sizes.astype(np.int32))
+    return part, whole
 
 
 def _part_tokens(block: Block) -> tuple[tuple, int]:
@@ -275,13 +285,13 @@ def token_counts(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, train, lang=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write the chunks of `docs`; `train` is a boolean column, `lang` a string column."""
-    return cut_lineage(_rows(docs, train, lang).mapInArrow(_encoder(chunk_bytes, CHUNKS, _part_bytes, _packed_bytes), CHUNKS))
+    return cut_lineage(_rows(docs, train, lang).mapInArrow(_encoder(chunk_bytes, CHUNKS, _byte_packer), CHUNKS))
 
 
 def encode_tokens(docs: DataFrame, train, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write the chunks of `docs` as token numbers, the most frequent lowest: the hashes of a
     chunk's distinct tokens (rising), their buckets and counts, and the tokens of its texts."""
-    return cut_lineage(_rows(docs, train).mapInArrow(_encoder(chunk_bytes, TOKEN_CHUNKS, _part_tokens, _packed_tokens(buckets)), TOKEN_CHUNKS))
+    return cut_lineage(_rows(docs, train).mapInArrow(_encoder(chunk_bytes, TOKEN_CHUNKS, lambda: (_part_tokens, _packed_tokens(buckets))), TOKEN_CHUNKS))
 
 
 def _rows(docs: DataFrame, train, lang=None) -> DataFrame:
@@ -304,8 +314,12 @@ def _chunk_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in chunk_rows(batches):
         data, sizes = text_of(row)
         trained = np.array(row["trained"], bool)
-        parts = [with_counts(gram_keys(data[a:b], sizes[i:j]), np.repeat(trained[i:j], sizes[i:j])) for i, j, a, b in text_groups(sizes)]
-        keys, counts = summed([k for k, _ in parts], [n for _, n in parts])
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j, a, b in text_groups(sizes, 1 << 20):
+            parts.append(with_counts(gram_keys(data[a:b], sizes[i:j]), np.repeat(trained[i:j], sizes[i:j])))
+            if sum(len(k) for k, _ in parts[1:]) > max(MERGED_AT, len(parts[0][0])):
+                parts = [summed(*zip(*parts, strict=True))]
+        keys, counts = summed(*zip(*parts, strict=True))
         arrays = [pa.array([row["chunk"]], pa.int64()), pa.array([keys.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, ["chunk", "keys", "counts"])
 

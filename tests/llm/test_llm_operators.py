@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from brute import lines_of, repeated_lines
 
-from riskloom.llm import jaccard, kneser_ney, language, linededup, pitman_yor, toxicity
+from riskloom.llm import bytetext, grams, jaccard, kneser_ney, language, linededup, pitman_yor, toxicity
 from riskloom.llm.chat import chat_digest, format_chats, read_back
 from riskloom.llm.fmindex import FmIndex, decontaminate
 from riskloom.llm.bytetext import blocks
@@ -335,6 +335,51 @@ def test_encoder_learns_words_in_parts(docs):
     assert len(coder.flat) == coder.n.sum()  # as before: no breaks are kept
 
 
+def test_span_hashes_keep_no_long_tables():
+    """A worker that has hashed a long block holds no more than before; far spans hash like near ones."""
+    values = rng.integers(0, 256, 3_000_000).astype(np.uint8)
+    values[2_900_000:2_970_000] = values[70_100:140_100] = values[:70_000]
+    starts = np.array([0, 70_100, 2_900_000, 5, 65_505, 3_000_000])
+    got = bytetext.span_hashes(values, starts, starts + [70_000, 70_000, 70_000, 0, 0, 0])
+    n = np.uint64(70_000)
+    plain = sum((int(v) + 1) * pow(int(bytetext.BASE), i, 2**64) for i, v in enumerate(values[:70_000].tolist())) + int(n) * int(bytetext.BASE)
+    assert (got[:3] == bytetext.mix(np.array([plain % 2**64], np.uint64))).all() and len(set(got[3:].tolist())) == 1
+    kept = [x for v in vars(bytetext).values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, np.ndarray)]
+    assert sum(x.nbytes for x in kept) < 4 << 20
+
+
+def test_chunks_are_packed_as_they_come(docs):
+    """What is held of a chunk's blocks is packed; the next chunk starts anew."""
+    texts = [LONG, "", None, " A  b\n"] * 9
+    part, whole = grams._byte_packer()
+    for _ in range(2):
+        held, plain = [], []
+        for block in blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], limit=len(LONG) * 2):
+            data, sizes = normal_bytes(block)
+            kept, n = part(block)
+            assert n == len(data)
+            held.append(kept)
+            plain.append((data, sizes))
+        assert len(held) > 2 and sum(len(p) for p, _ in held) < sum(len(d) for d, _ in plain) / 2
+        packed, sizes = whole(held)
+        got = grams.text_of({"data": packed, "sizes": sizes})
+        assert all(np.array_equal(a, np.concatenate(b)) for a, b in zip(got, zip(*plain, strict=True), strict=True))
+
+
+def test_chunk_grams_in_parts(monkeypatch):
+    """However often parts are merged, a chunk's n-grams and counts are those of all its texts."""
+    part, whole = grams._byte_packer()
+    texts = [prose(40) for _ in range(50)]
+    block = next(blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]))
+    data, sizes = whole([part(block)[0]])
+    row = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([data]), pa.array([sizes]), pa.array([[i % 3 > 0 for i in range(50)]])], ["chunk", "data", "sizes", "trained"])
+    one = next(grams._chunk_grams([row]))
+    cut = grams.text_groups
+    monkeypatch.setattr(grams, "MERGED_AT", 10)
+    monkeypatch.setattr(grams, "text_groups", lambda sizes, step: cut(sizes, 500))
+    assert next(grams._chunk_grams([row])).equals(one) and one.num_rows == 1
+
+
 def test_trusted_ids_move_no_texts(spark):
     """Ids come to the chunks as bits, whatever their number: no plan with a text joins before the chunks."""
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c"), (2, "d")], "doc_id long, text string")

@@ -13,6 +13,10 @@ Keys are 61-bit polynomial hashes of the rotations, computed in O(length) a word
 hashes, so a very long word costs its length, not its square. Every emitted pair is checked
 exactly (Levenshtein distance 1 with a bound, so also linear), which makes a hash collision harmless.
 
+Joins of words ask for sort-merge: the files of a word table are far smaller than its rows in
+memory, and by the files' size Spark would collect hundreds of thousands of words on the driver for
+a broadcast.
+
 `spelling_variants(docs)` takes the runs `[A-Za-z\\u00C0-\\u00FF]+` of the texts, lower-cases
 A-Z only, and with h the unsigned CRC-32 of "<doc_id>:<run>" deletes the code point h % length of
 the runs where 199 divides h (a planted typo). Words are the distinct results with at least
@@ -39,6 +43,7 @@ _c = F.col
 RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOD, BASE, END = (1 << 61) - 1, 1_000_003, 0x110000
+NO_BROADCAST = "merge"
 
 
 def rotation_keys(word: str) -> Iterator[tuple[str, int, int]]:
@@ -84,8 +89,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b) with a < b for every two words at edit distance one, each pair once."""
     keys = words.select("word").mapInPandas(_keys, "word string, kind string, klen long, key long").distinct()
     cut, full = keys.where("kind = 'cut'"), keys.where("kind = 'full'")
-    same = cut.alias("x").join(cut.alias("y"), ["klen", "key"]).where(_c("x.word") < _c("y.word")).select(_c("x.word").alias("a"), _c("y.word").alias("b"))
-    shorter = cut.alias("x").join(full.alias("y"), ["klen", "key"]).select(_c("x.word").alias("u"), _c("y.word").alias("v"))
+    same = cut.alias("x").join(cut.alias("y").hint(NO_BROADCAST), ["klen", "key"]).where(_c("x.word") < _c("y.word")).select(_c("x.word").alias("a"), _c("y.word").alias("b"))
+    shorter = cut.alias("x").join(full.alias("y").hint(NO_BROADCAST), ["klen", "key"]).select(_c("x.word").alias("u"), _c("y.word").alias("v"))
     shorter = shorter.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
     pairs = same.unionByName(shorter).distinct()
     return pairs.where((_c("a") != _c("b")) & (F.levenshtein("a", "b", 1) == 1))
@@ -97,16 +102,16 @@ def spelling_variants(docs: DataFrame, min_chars: int = 6, min_count: int = 5, r
     pairs = near_pairs(words)
     both = pairs.select(_c("a").alias("word"), _c("b").alias("near")).unionByName(pairs.select(_c("b").alias("word"), _c("a").alias("near")))
     counts = words.select(_c("word").alias("near"), _c("n").alias("near_n"))
-    best = both.join(counts, "near").groupBy("word").agg(
+    best = both.join(counts.hint(NO_BROADCAST), "near").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min_by(F.struct("near", "near_n"), F.struct(-_c("near_n"), _c("near"))).alias("top")
     )
-    table = words.join(best, "word", "left").select(
+    table = words.join(best.hint(NO_BROADCAST), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(_c("top.near_n") >= ratio * _c("n"), _c("top.near")).alias("form"),
         F.when(_c("top.near_n") >= ratio * _c("n"), _c("top.near_n")).alias("form_n"),
     )
     table = cut_lineage(table)
-    return table.join(roots(table.select("word", "form")), "word").select("word", "form", "root", _c("n").cast("long"), "n_near", _c("form_n").cast("long"))
+    return table.join(roots(table.select("word", "form")).hint(NO_BROADCAST), "word").select("word", "form", "root", _c("n").cast("long"), "n_near", _c("form_n").cast("long"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -114,7 +119,7 @@ def roots(forms: DataFrame) -> DataFrame:
     until no pointer moves; the number of rounds is the logarithm of the longest chain."""
     ptr = cut_lineage(forms.select("word", F.coalesce("form", "word").alias("root")))
     while True:
-        hop = ptr.alias("p").join(ptr.alias("q"), _c("p.root") == _c("q.word")).select(_c("p.word"), _c("q.root").alias("root"), (_c("q.root") != _c("p.root")).alias("moved"))
+        hop = ptr.alias("p").join(ptr.alias("q").hint(NO_BROADCAST), _c("p.root") == _c("q.word")).select(_c("p.word"), _c("q.root").alias("root"), (_c("q.root") != _c("p.root")).alias("moved"))
         hop = cut_lineage(hop)
         if not hop.where("moved").limit(1).count():
             return hop.select("word", "root")

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.llm import permuterm
 from riskloom.llm.permuterm import rotation_keys, spelling_variants
 
 
@@ -86,3 +87,20 @@ def test_rotations_are_linear_and_match():
 def test_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, None), (None, "")]) == {}
+
+
+def test_words_are_never_broadcast(spark, monkeypatch):
+    """Files of words are far smaller than the words in memory, so Spark's estimate does not decide."""
+    plans, write = [], permuterm.cut_lineage
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(permuterm, "cut_lineage", written)
+    rows = corpus()
+    out = spelling_variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(out.collect()) == len(plain(rows))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
